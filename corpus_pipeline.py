@@ -1,10 +1,57 @@
-"""From raw documents to token ids: quality, line dedup, near-dedup, decontamination, encoding."""
+"""From raw documents to token ids: quality, line dedup, near-duplicates, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet in the
+shared folder and reads it again as the next one's documents, so that a lost executor costs at most one stage's work.
+All but the last return the columns of documents; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from facetspark.llm import decontamination, language_model, line_dedup, pieces, simhash
+from facetspark.llm.common import read, stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's threshold."""
+    return language_model.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand on many sites, but for each line's first place."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates by shingles of five words."""
+    return simhash.first_of_group(docs, shingle=5)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and the number of tokens."""
+    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_duplicates),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", contamination),
+    ("sentencepiece_encoding", encoding),
+]
+#: Stages with a language model and a codec are beyond SQL; tests hold the whole against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

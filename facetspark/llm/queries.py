@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import decontamination, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
+from facetspark.llm import archives, decontamination, html_text, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
 from facetspark.llm.common import read
 
 
@@ -41,10 +41,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -36,6 +36,8 @@ SEED = 42
 #: (lowest bit, width) of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Fingerprints whose variants one task makes.
+DEALT = 25_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 18
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -132,7 +134,8 @@ def links(fps: DataFrame) -> DataFrame:
     Not all such pairs: as many as keep components the same.
     """
     block_value = reduce(lambda e, b: e.when(F.col("block") == b, F.col("fp").bitwiseAND(int(_block(b).view(np.int64)))), range(3), F.when(F.lit(False), F.lit(0)))
-    dealt = fps.select("fp").mapInArrow(_variants, "key long, fp long, block tinyint, own boolean").withColumn("value", block_value)
+    n = -(-fps.count() // DEALT) or 1
+    dealt = fps.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, fp long, block tinyint, own boolean").withColumn("value", block_value)
     by_key, by_value = Window.partitionBy("key"), Window.partitionBy("key", "value").orderBy("fp")
     ordered = by_key.orderBy("value", "fp")
     met = (
@@ -182,9 +185,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_group(docs: DataFrame) -> DataFrame:
+def first_of_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents that are the least of their component, with all their columns; one row for each."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
