@@ -13,7 +13,7 @@ refer to it. Payloads of fewer bytes than `min_bytes` are never revisits.
 Distribution. Every page becomes an ARC record and is parsed again in one pass that returns its digest; digests are
 reduced on the map side to the smallest page (so a digest with a third of all pages costs no more), and joined back.
 The archives are written by Spark's text writer, whose line separator is the end of a WARC record, into the shared
-folder, in files of about `FILE_BYTES`, and read back as whole files: one file is one task's unit of work, so no task
+folder, in gzip files of about `FILE_BYTES` before compression, and read back as whole files: one file is one task's unit of work, so no task
 holds more than a file. Nothing is opened by local paths.
 
 Defined results: a null html is an empty payload; a null url is written as an empty one and read as null; equal rows
@@ -24,6 +24,7 @@ page of any length up to 2 GB is written whole; only page_id, url and html are r
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import uuid
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, new_path, stage
+from facetspark.llm.common import as_documents, checked_broadcast, new_path, stage
 
 #: Fixed header lines and field lists of the two ARC versions.
 ARC_VERSIONS = {
@@ -185,7 +186,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):
             rows = []
-            for head, block in parse_warc(raw.as_py()):
+            for head, block in parse_warc(gzip.decompress(raw.as_py())):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 declared = int(http.rpartition(b"Content-Length: ")[2])
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -204,8 +205,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     n_files = max(1, math.ceil((digests.agg(F.sum("n")).first()[0] or 0) / FILE_BYTES))
     first = digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("n") >= min_bytes))
     repeats = digests.join(first.select("digest", "first"), "digest").where("page_id <> first").select("page_id", F.col("first").alias("original")).distinct()
-    rows = own.join(repeats, "page_id", "left").select("page_id", "url", "html", "original").repartition(n_files, F.xxhash64("page_id", "url"))
-    rows.mapInArrow(_convert, "value string").write.option("lineSep", END).text(path)
+    rows = own.join(checked_broadcast(repeats), "page_id", "left").select("page_id", "url", "html", "original").repartition(n_files, F.xxhash64("page_id", "url"))
+    rows.mapInArrow(_convert, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
