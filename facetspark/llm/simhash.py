@@ -19,13 +19,14 @@ result; an empty table gives an empty table; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.llm.common import as_documents, drop_staged, stage
@@ -35,7 +36,12 @@ SHINGLE = 3
 SEED = 42
 #: (lowest bit, width) of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Similarity (Jaccard, shingles of five words) of near copies.
+SIMILAR = 0.8
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Rows of a group up to which they are compared one by one.
+FEW = 8
 #: Fingerprints whose variants one task makes.
 DEALT = 25_000
 #: Shingles whose bits are counted at once.
@@ -88,44 +94,83 @@ def _block(b: int) -> np.uint64:
     return np.uint64(((1 << width) - 1) << low)
 
 
+#: For each block, the flips of at most one bit outside it.
+_OUTSIDE = [_flips([i for i in range(64) if not int(_block(b)) >> i & 1], 1) for b in range(3)]
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, all variants within distance 1 outside it; the block's own bits hold its number."""
-    flips = [_flips([i for i in range(64) if not int(_block(b)) >> i & 1], 1) for b in range(3)]
+    """For each block, all variants within distance 1 outside it, the block's own bits being 0.
+
+    rest holds the block's number (2 bits), its value in the fingerprint (22) and the flip (6): with key, it tells the
+    fingerprint, so that no more than these two numbers are shuffled.
+    """
     for batch in batches:
         every = batch.column(0).to_numpy().view(np.uint64)
         for at in range(0, len(every), 4096):
             fp = every[at : at + 4096]
-            for b, masks in enumerate(flips):
-                key = ((fp & ~_block(b)) | np.uint64(b << BLOCKS[b][0]))[:, None] ^ masks[None, :]
-                own = np.zeros((len(fp), len(masks)), bool)
-                own[:, 0] = True
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64)), pa.array(np.full(key.size, b, np.int8)), pa.array(own.ravel())], ["key", "fp", "block", "own"])
+            for b, masks in enumerate(_OUTSIDE):
+                key = (fp & ~_block(b))[:, None] ^ masks[None, :]
+                value = ((fp & _block(b)) >> np.uint64(BLOCKS[b][0])).astype(np.int32)
+                rest = (value[:, None] << 6) + np.arange(len(masks), dtype=np.int32)[None, :] + (b << 28)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rest.ravel())], ["key", "rest"])
+
+
+def _signed(x) -> int:
+    return int(np.uint64(x).view(np.int64))
+
+
+def _told(block: int) -> Column:
+    """The fingerprint that key and rest tell, for a block."""
+    flips = F.get(F.array(*[F.lit(_signed(m)) for m in _OUTSIDE[block]]), F.col("rest").bitwiseAND(63))
+    return F.col("key").bitwiseXOR(flips).bitwiseOR(F.shiftleft(F.col("value"), BLOCKS[block][0]))
 
 
 def _cells(inner: int, outer: int):
-    """(key, fp, block) to (key, cell, fp, core): core rows lie within inner of the cell in the block, others within outer."""
+    """(key, block, fp, vary) to (key, block, cell, fp, core): core rows lie within inner of the cell in the block, others
+    within outer. Only bits of vary, in which the group's rows differ at all, are flipped. Of two values one bit apart,
+    one has a bit more; for (0, 1) it is enough that this one loses it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balls = [_flips(list(range(low, low + width)), outer) if outer else np.zeros(1, np.uint64) for low, width in BLOCKS]
+        balls = [_flips(list(range(low, low + width)), outer) for low, width in BLOCKS]
         cores = [1 if inner == 0 else 1 + width for _, width in BLOCKS]
         for batch in batches:
-            keys, fps, blocks = (batch.column(i).to_numpy() for i in range(3))
+            keys, blocks, fps, vary = (batch.column(i).to_numpy() for i in range(4))
             for b in range(3):
                 here = np.flatnonzero(blocks == b)
                 for at in range(0, len(here), 4096):
                     i, masks = here[at : at + 4096], balls[b]
-                    cell = (fps[i].view(np.uint64) & _block(b))[:, None] ^ masks[None, :]
+                    value = (fps[i].view(np.uint64) & _block(b))[:, None]
+                    cell = value ^ masks[None, :]
                     core = np.broadcast_to(np.arange(len(masks)) < cores[b], cell.shape)
-                    rep = lambda x: pa.array(np.repeat(x, len(masks)))
-                    yield pa.RecordBatch.from_arrays([rep(keys[i]), pa.array(cell.ravel().view(np.int64)), rep(fps[i]), pa.array(core.ravel())], ["key", "cell", "fp", "core"])
+                    may = vary[i].view(np.uint64)[:, None]
+                    if (inner, outer) == (0, 1):
+                        may = may & value
+                    use = (masks[None, :] & ~may) == 0
+                    n = use.sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i], n)), pa.array(np.full(n.sum(), b, np.int8)), pa.array(cell[use].view(np.int64)), pa.array(np.repeat(fps[i], n)), pa.array(core[use])], ["key", "block", "cell", "fp", "core"])
 
     return run
 
 
-def _stars(cells: DataFrame) -> DataFrame:
-    """In each cell with a core row, links from every row to the least core row."""
-    centre = F.min(F.when(F.col("core"), F.col("fp"))).over(Window.partitionBy("key", "cell"))
-    return cells.withColumn("centre", centre).where("centre <> fp").select("fp", "centre")
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _linked(groups: DataFrame, inner: int, outer: int) -> DataFrame:
+    """Links (fp, centre) within the groups of rows (key, block, fp) of equal key and block.
+
+    Groups of up to `FEW` rows are compared row by row with those before; in larger ones all rows go to cells, and those
+    in a cell with a core row are linked to the least core row, so that the work grows with the rows and not their square.
+    """
+    w = Window.partitionBy("key", "block")
+    counted = groups.withColumn("n", F.count("*").over(w))
+    before = F.array_compact(F.array(*[F.lag("fp", k).over(w.orderBy("fp")) for k in range(1, FEW)]))
+    few = counted.where((F.col("n") > 1) & (F.col("n") <= FEW)).withColumn("before", before).select("fp", F.explode(F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS)).alias("centre"))
+    vary = F.bit_or("fp").over(w).bitwiseAND(F.bitwise_not(F.bit_and("fp").over(w)))
+    cells = counted.where(F.col("n") > FEW).select("key", "block", "fp", vary.alias("vary")).mapInArrow(_cells(inner, outer), "key long, block tinyint, cell long, fp long, core boolean")
+    centre = F.min(F.when(F.col("core"), F.col("fp"))).over(Window.partitionBy("key", "block", "cell"))
+    stars = cells.withColumn("centre", centre).where("centre <> fp").select("fp", "centre")
+    return few.union(stars)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -133,23 +178,23 @@ def links(fps: DataFrame) -> DataFrame:
 
     Not all such pairs: as many as keep components the same.
     """
-    block_value = reduce(lambda e, b: e.when(F.col("block") == b, F.col("fp").bitwiseAND(int(_block(b).view(np.int64)))), range(3), F.when(F.lit(False), F.lit(0)))
     n = -(-fps.count() // DEALT) or 1
-    dealt = fps.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, fp long, block tinyint, own boolean").withColumn("value", block_value)
-    by_key, by_value = Window.partitionBy("key"), Window.partitionBy("key", "value").orderBy("fp")
-    ordered = by_key.orderBy("value", "fp")
-    met = (
-        dealt.withColumn("before", F.lag("fp").over(ordered)).withColumn("after", F.lead("fp").over(ordered)).where("before is not null or after is not null").drop("before", "after")
-        .withColumn("first", F.first("fp").over(by_value))
-        .withColumn("mixed", F.min("value").over(by_key) != F.max("value").over(by_key))
-    )
-    met = stage(met, "simhash-met")
+    dealt = fps.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, rest int").repartition("key").withColumn("block", F.shiftright("rest", 28))
+    by_key = Window.partitionBy("key", "block")
+    ordered = by_key.orderBy("rest")
+    met = dealt.withColumn("before", F.lag("rest").over(ordered)).withColumn("after", F.lead("rest").over(ordered)).where("before is not null or after is not null").drop("before", "after")
+    # Rows of one flip other than 0 agree outside the block; they meet in the key of flip 0 as well, which is enough.
+    flip = F.col("rest").bitwiseAND(63)
+    met = met.withColumn("low", F.min(flip).over(by_key)).withColumn("high", F.max(flip).over(by_key)).where("low = 0 or low < high")
+    met = met.withColumn("value", F.shiftright("rest", 6).bitwiseAND((1 << 22) - 1).cast("bigint")).withColumn("own", F.col("rest").bitwiseAND(63) == 0)
+    met = met.withColumn("fp", F.when(F.col("block") == 0, _told(0)).when(F.col("block") == 1, _told(1)).otherwise(_told(2)))
+    met = met.withColumn("first", F.first("fp").over(Window.partitionBy("key", "block", "value").orderBy("rest"))).withColumn("mixed", F.min("value").over(by_key) != F.max("value").over(by_key))
+    met = stage(met.select("key", "block", "own", "fp", "first", "mixed"), "simhash-met")
     same = met.where("fp <> first").select("fp", F.col("first").alias("centre"))
-    near = _stars(met.where("mixed and fp = first").select("key", "fp", "block").mapInArrow(_cells(0, 1), "key long, cell long, fp long, core boolean"))
-    # All that differs lies in the masked block: rows that agree outside it.
-    agree = met.where("own and mixed").withColumn("n", F.count("*").over(by_key)).where("n > 1").select("key", "fp", "block")
-    inside = _stars(agree.mapInArrow(_cells(1, 2), "key long, cell long, fp long, core boolean"))
-    found = same.union(near).union(inside).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= RADIUS)
+    near = _linked(met.where("mixed and fp = first").select("key", F.col("block").cast("tinyint").alias("block"), "fp"), 0, 1)
+    # What differs lies, all of it, in the masked block: rows that agree outside it.
+    inside = _linked(met.where("own and mixed").select("key", F.col("block").cast("tinyint").alias("block"), "fp"), 1, 2)
+    found = same.union(near).union(inside).where(_apart("fp", "centre") <= RADIUS)
     out = stage(found.select(F.greatest("fp", "centre").alias("u"), F.least("fp", "centre").alias("v")).distinct(), "simhash-links")
     drop_staged(met)
     return out
@@ -185,9 +230,79 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; one row for each."""
-    kept = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def word_fingerprint(words: list[str]) -> int:
+    """The fingerprint of a text's words, each weighted by the root of its count; 0 without words."""
+    counts = Counter(words)
+    if not counts:
+        return 0
+    digest = xxhash.xxh64_digest
+    bits = np.unpackbits(np.frombuffer(b"".join([digest(w.encode(), SEED) for w in counts]), np.uint8).reshape(-1, 8), axis=1)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def _shingles(text: str | None) -> set[bytes]:
+    """Digests of the shingles of five words; fewer words make one shingle."""
+    words = _words(text)
+    return {xxhash.xxh3_128_digest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a: str | None, b: str | None, least: float = SIMILAR) -> bool:
+    """Whether the texts' sets of shingles of five words have a Jaccard similarity of at least least; texts without
+    words are similar to each other."""
+    x, y = _shingles(a), _shingles(b)
+    return len(x & y) >= least * len(x | y)
+
+
+def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id and component_id: classes of documents that are similar() to one another, directly or by way of others.
+
+    Edits of a few words in a hundred leave a similarity of 0.8 on shingles of five words but turn ten or so bits of
+    such shingles' fingerprint; of the words' own fingerprint they turn three at most in all but a few cases. So the
+    ball hashing runs over fingerprints of words (weighted by the root of their counts), and every colliding pair is
+    verified on shingles of five words. Texts with the same words in the same order are one class from the start. Of
+    different texts with one fingerprint, each is compared with the least; of linked fingerprints, the least texts are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, marks = [], []
+            for t in batch.column(1):
+                words = _words(t.as_py())
+                fps.append(word_fingerprint(words))
+                marks.append(xxhash.xxh3_128_digest(" ".join(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "fp", "mark"])
+
+    texts = as_documents(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked = stage(texts.mapInArrow(run, "doc_id long, fp long, mark binary"), "marks")
+    nodes = stage(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    least_of = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
+    apart = links(least_of.select("fp"))
+    first, second = least_of.select(F.col("fp").alias("u"), F.col("rep").alias("a")), least_of.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
+    pairs = apart.join(first, "u").join(second, "v").select("a", "b").union(nodes.join(least_of.where("n > 1"), "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    pairs = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "colliding-pairs")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
+
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    at_hand = stage(texts.join(wanted, "doc_id", "left_semi").join(nodes.select(F.col("node").alias("doc_id"), "mark"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "colliding-texts")
+    left = pairs.join(at_hand.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    both = left.join(at_hand.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    roots = components(stage(both.mapInArrow(check, "u long, v long"), "similar-pairs"))
+    named = nodes.join(roots, F.col("node") == F.col("u"), "left").select("mark", F.coalesce("v", "node").alias("component_id"))
+    return marked.join(named, "mark").select("doc_id", "component_id")
+
+
+def first_of_group(docs: DataFrame) -> DataFrame:
+    """The documents that are the least of their class of near copies, with all their columns; one row for each."""
+    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
