@@ -25,8 +25,8 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by shingles of five words."""
-    return simhash.first_of_group(docs, shingle=5)
+    """One document of each group of near copies: a similarity of 0.8 or more on shingles of five words."""
+    return simhash.first_of_group(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

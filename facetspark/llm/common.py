@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -82,6 +82,12 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterable[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def once(expression: Column) -> Column:
+    """expression, to be evaluated where it stands: the condition, always true, isn't deterministic, so that no filter
+    that a caller puts on what is made of it takes a copy along into its own condition, to be evaluated per element."""
+    return F.when(F.monotonically_increasing_id() >= 0, expression)
+
+
 def as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns: whatever else the input carries, under whatever name, plays no part."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import checked_broadcast, stage
+from facetspark.llm.common import checked_broadcast, once, stage
 
 MIN_SITES = 10
 MIN_WORDS = 3
@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
     elsewhere = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("pos") != F.col("first.pos"))
     drops = hits.where(elsewhere).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set("pos")).alias("_drops"))
     joined = docs.join(drops, (docs["doc_id"] == drops["_doc"]) & (F.xxhash64(docs["text"]) == drops["_mark"]), "left")
-    joined = joined.withColumn("_lines", F.split("text", "\n"))
+    joined = joined.withColumn("_lines", once(F.split("text", "\n")))
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("_lines"), F.col("_drops")), "\n"))
     more = [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *more)

@@ -31,7 +31,7 @@ from facetspark.llm.common import arrow_rows, as_documents
 
 SPACE = "▁"
 #: Words and pairs kept in a worker's memory before the caches start anew.
-CACHE = 400_000
+CACHE = 200_000
 LONGEST_KEPT = 64
 
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents
+from facetspark.llm.common import as_documents, once
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Common words of the languages at hand, by which running prose is told from lists and noise.
@@ -43,13 +43,13 @@ RULES = (
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules use."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = as_documents(docs, ["doc_id", "text"]).select("doc_id", text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    out = as_documents(docs, ["doc_id", "text"]).select("doc_id", text.alias("text"), once(F.array_remove(F.split(text, SPACE), "")).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     grams = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("grams", grams)
+    out = out.withColumn("grams", once(grams))
     placed = F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
-    out = out.withColumn("placed", placed)
+    out = out.withColumn("placed", once(placed))
     equal = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    out = out.withColumn("again", F.sort_array(F.transform(F.filter("placed", lambda x, i: equal(F.get("placed", i - 1), x) | equal(F.get("placed", i + 1), x)), lambda x: x["i"])))
+    out = out.withColumn("again", once(F.sort_array(F.transform(F.filter("placed", lambda x, i: equal(F.get("placed", i - 1), x) | equal(F.get("placed", i + 1), x)), lambda x: x["i"]))))
     n_repeat = F.aggregate(F.transform("again", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("again", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     many = lambda c: F.size(c).cast("long")
     return out.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetspark.llm import archives, decontamination, html_text, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
 from facetspark.llm.common import read
+from facetspark.llm.oracles import oracle_sql  # noqa: F401  the queries' other half
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,3 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
