@@ -6,9 +6,8 @@ Search. Test items are partitioned by their number of shingles n, in powers of t
 its m least shingle hashes (bottom-m MinHash), m = n - ceil(0.8 n) + 1: a document that holds 0.8 of the item's
 shingles can miss m - 1 of them at most, so it must hold one of the sketch. The search therefore loses no leak,
 however long the document is, where fixed-length signatures would drown a short item in a long text. Every size
-partition has its own bound on hash values, the greatest in its sketches, and its own least number of shingles, by
-which documents that are too short for the partition are left out; a document's shingle hashes, in one pass over the
-text, are looked up in the sketches of the partitions that they may belong to.
+partition has its own least number of shingles, by which documents that are too short for it are left out. In one pass
+over the text, a document's shingle hashes up to the greatest one in any sketch are looked up in the sketches.
 
 Verification. Documents found this way, and no others, are joined with their items once more and the shingles are
 compared as words: exact containment.
@@ -71,7 +70,7 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
     every, sketch = sketches(items, contained)
     sketch = stage(sketch, "sketches")
     shingles = stage(every, "benchmark-shingles")
-    # By size partition: hashes beyond its bound are in no sketch of it. One bound for all spares the join most rows.
+    # Hashes beyond the greatest bound are in no sketch.
     bounds = sketch.groupBy("size").agg(F.max("hash").alias("bound"), F.min("need").alias("least")).agg(F.max("bound"), F.min("least")).first()
     bound, least = (bounds[0], bounds[1]) if bounds[0] is not None else (-(1 << 63), 1)
     texts = as_documents(docs, ["doc_id", "text"])
