@@ -151,6 +151,23 @@ def f_measure(p: Column, r: Column) -> Column:
     return 2 * r * p / (r + p + 1e-6) + 0.35 * p
 
 
+def binary_label(y: Column) -> Column:
+    """-1 as 0, others as they are."""
+    return F.when(y == -1, 0).otherwise(y)
+
+
+def decode_type(t: Column) -> tuple[Column, Column]:
+    """Major and minor part, from 1, of a type code from 1 with three minor parts to a major one."""
+    return F.floor((t - 1) / 3).cast("int") + 1, F.pmod(t - 1, F.lit(3)).cast("int") + 1
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a hue in degrees, saturation and value, all of the latter in 0..1."""
+    turn = lambda n: F.pmod(F.lit(float(n)) + h / 60, F.lit(6.0))
+    part = lambda n: v - v * s * F.greatest(F.lit(0.0), F.least(turn(n), 4 - turn(n), F.lit(1.0)))
+    return part(5), part(3), part(1)
+
+
 #: Names of curvature types, detectors and channel combinations.
 CURVATURE_NAMES = {1: "convex", 2: "concave", 3: "saddle"}
 DETECTORS = ("dog", "log", "hess_det")

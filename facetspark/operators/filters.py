@@ -117,3 +117,25 @@ def mesh_weights(triangle_distance: DataFrame, triangles: DataFrame, radius: flo
     """
     hit = triangle_distance.where(F.col("d") <= radius).select("mol_id", "v", "t").join(triangles.select("mol_id", "t", "area", F.explode(F.array("a", "b", "c")).alias("u")), ["mol_id", "t"])
     return hit.groupBy("mol_id", "v", "u").agg(F.sum("area").alias("w"))
+
+
+def smooth_coordinates(near: DataFrame, vertices: DataFrame, sigma: float, columns: Sequence[str] = ("x", "y", "z"), unit: bool = False, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
+    """keys, v and the columns, each blurred at sigma, all in one aggregate; unit puts the result back on the unit sphere."""
+    field = vertices.select(*keys, F.col("v").alias("u"), *columns)
+    joined = near.join(field, [*keys, "u"])
+    w = F.col("w") if "w" in near.columns else F.lit(1.0)
+    out = joined.groupBy(*keys, "v").agg(*[gaussian(sigma)(F.col("d"), w, F.col(c)).alias(c) for c in columns])
+    if unit:
+        norm = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0)))
+        out = out.withColumn("_norm", norm).withColumns({c: F.try_divide(F.col(c), F.col("_norm")) for c in columns}).drop("_norm")
+    return out
+
+
+def spherical_scale_space(near: DataFrame, vertices: DataFrame, small: float, steps: int, columns: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = ("mol_id",)) -> DataFrame:
+    """Unit vectors blurred over and over: level k has had k + 1 small blurs, each put back on the sphere."""
+    out, now = None, vertices
+    for k in range(steps):
+        now = smooth_coordinates(near, now, small, columns, True, keys)
+        level = now.withColumn("level", F.lit(k))
+        out = level if out is None else out.unionByName(level)
+    return out

@@ -120,3 +120,15 @@ def local_pca(near: DataFrame, values: DataFrame, columns: list[str]) -> DataFra
 
     keyed = own.select(F.col("mol_id").cast("long"), F.col("v").cast("long"), "mean", "cov", "x")
     return keyed.mapInPandas(directions, "mol_id long, v long, direction array<double>, projection double")
+
+
+def hessian_responses(local: DataFrame, scales: DataFrame, sigmas: list[float]) -> DataFrame:
+    """mol_id, v, level, and the three combined responses, over local(mol_id, v, u, p, q) and scales(mol_id, v, level,
+    prop, value), whose values count times their level's sigma. All levels and properties go through one fit."""
+    scaled = scales.withColumn("value", F.col("value") * F.element_at(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("level") + 1))
+    a = scaled.select("mol_id", "v", "level", "prop", F.col("value").alias("own"))
+    b = scaled.select("mol_id", F.col("v").alias("u"), "level", "prop", F.col("value").alias("near"))
+    steps = local.select("mol_id", "v", "u", "p", "q").join(b, ["mol_id", "u"]).join(a, ["mol_id", "v", "level", "prop"])
+    keyed = steps.select(F.struct("mol_id", "level", "prop").alias("mol_id"), "v", "p", "q", (F.col("near") - F.col("own")).alias("df"))
+    h = hessian(keyed, gradient(keyed)).select("mol_id.mol_id", "v", "mol_id.level", "mol_id.prop", "hpp", "hpq", "hqq")
+    return combine_channels(h)

@@ -214,3 +214,60 @@ def pca_variance(rows: DataFrame, k: int) -> DataFrame:
 def running_activity(predictions: DataFrame) -> DataFrame:
     """mol_id, activity: the sum of predictions over runs."""
     return predictions.groupBy("mol_id").agg(F.sum("activity").alias("activity"))
+
+
+def _fit_and_test(x: np.ndarray, y: np.ndarray, xt: np.ndarray, c: float) -> np.ndarray:
+    """Predictions for xt of a linear SVM on columns scaled by the training rows."""
+    mean, sigma = x.mean(axis=0), x.std(axis=0)
+    sigma[sigma == 0] = 1
+    w, b = linear_svm((x - mean) / sigma, y, c)
+    return np.where((xt - mean) / sigma @ w + b >= 0, 1.0, -1.0)
+
+
+def nested_cross_validate(rows: DataFrame, cs: Sequence[float], outer: int, inner: int) -> DataFrame:
+    """fold, c, n, balanced_accuracy over rows(id, x, y, fold): each outer fold chooses c by inner folds (by id) on its
+    training rows, the first least error winning, and scores it on the rows left out. One task for each outer fold."""
+    jobs = rows.sparkSession.createDataFrame([(f,) for f in range(outer)], "test int")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        names = ["fold", "c", "n", "balanced_accuracy"]
+        g = g.sort_values("id")
+        test = (g["fold"] == g["test"]).to_numpy()
+        if not test.any() or g[~test]["y"].nunique() < 2:
+            return pd.DataFrame(columns=names)
+        x, y = _matrix(g[~test])
+        part = np.arange(len(y)) % inner
+        wrong = []
+        for c in cs:
+            wrong.append(sum((_fit_and_test(x[part != k], y[part != k], x[part == k], c) != y[part == k]).sum() for k in range(inner) if len(set(y[part != k])) > 1))
+        best = cs[int(np.argmin(wrong))]
+        xt, yt = _matrix(g[test])
+        p = _fit_and_test(x, y, xt, best)
+        recall = float(np.mean([np.mean(p[yt == k] == k) for k in np.unique(yt)]))
+        return pd.DataFrame([(int(g["test"].iloc[0]), float(best), len(yt), recall)], columns=names)
+
+    return rows.join(F.broadcast(jobs)).groupBy("test").applyInPandas(one, "fold int, c double, n long, balanced_accuracy double")
+
+
+def kernel_cross_validate(gram: DataFrame, labels: DataFrame, cs: Sequence[float]) -> DataFrame:
+    """number, c, n, loss of kernel SVMs over gram(m1, m2, k), both triangles given, and labels(mol_id, y, fold).
+
+    A Gram matrix is one task's work for each c, so it is for as many objects as its square fits a task.
+    """
+    a = labels.select(F.col("mol_id").alias("m1"), F.col("y").alias("y1"), F.col("fold").alias("f1"))
+    cells = gram.join(a, "m1").join(labels.select(F.col("mol_id").alias("m2")), "m2")
+    jobs = gram.sparkSession.createDataFrame(grid({"c": [float(c) for c in cs]}), "number int, c double")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        k = g.pivot(index="m1", columns="m2", values="k").sort_index().fillna(0.0)
+        who = g.drop_duplicates("m1").set_index("m1").loc[k.index]
+        k, y, fold = k[k.index].to_numpy(), who["y1"].to_numpy(float), who["f1"].to_numpy()
+        loss = 0
+        for f in np.unique(fold):
+            train_, test = fold != f, fold == f
+            if len(set(y[train_])) > 1:
+                a_ = kernel_svm(k[np.ix_(train_, train_)], y[train_], g["c"].iloc[0])
+                loss += int((np.where((k[np.ix_(test, train_)] + 1) @ a_ >= 0, 1.0, -1.0) != y[test]).sum())
+        return pd.DataFrame([(g["number"].iloc[0], g["c"].iloc[0], len(y), loss)], columns=["number", "c", "n", "loss"])
+
+    return cells.join(F.broadcast(jobs)).groupBy("number").applyInPandas(one, "number int, c double, n long, loss long")

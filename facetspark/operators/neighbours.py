@@ -111,3 +111,17 @@ def grid_hessian(grid: DataFrame) -> DataFrame:
     det = xx * yy - xy * xy
     unit = 1 + gx * gx + gy * gy
     return cells.select("y", "x", det.alias("det"), (det / (unit * unit)).alias("gauss"), F.sqrt(sx * sx + sy * sy).alias("sobel"))
+
+
+def vector_extrema(vectors: DataFrame, projectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Extrema of vectors(mol_id, v, level, vec) on each vertex's own direction, projectors(mol_id, v, level, mean,
+    direction): at least (1) or at most (-1) all of the ring and the vertex itself, at the level and those beside it."""
+    onto = lambda x: F.aggregate(F.zip_with(F.zip_with(x, F.col("mean"), lambda a, m: a - m), F.col("direction"), lambda a, d: a * d), F.lit(0.0), lambda s, y: s + y)
+    own = vectors.join(projectors, ["mol_id", "v", "level"]).withColumn("value", onto(F.col("vec")))
+    ring = edges.select("mol_id", F.col("src").alias("v"), F.col("dst").alias("u")).union(vectors.select("mol_id", "v", F.col("v").alias("u")).distinct())
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = projectors.join(ring, ["mol_id", "v"]).withColumn("step", steps).where("u <> v or step <> 0").withColumn("at", F.col("level") + F.col("step"))
+    other = vectors.select("mol_id", F.col("v").alias("u"), F.col("level").alias("at"), F.col("vec").alias("near"))
+    seen = around.join(other, ["mol_id", "u", "at"]).groupBy("mol_id", "v", "level").agg(F.max(onto(F.col("near"))).alias("most"), F.min(onto(F.col("near"))).alias("least"), F.count_distinct("step").alias("n"))
+    out = own.join(seen, ["mol_id", "v", "level"]).where("n = 3")
+    return out.withColumn("kind", F.when(F.col("value") >= F.col("most"), 1).when(F.col("value") <= F.col("least"), -1)).where("kind is not null").select("mol_id", "level", "v", "value", "kind")

@@ -31,14 +31,15 @@ def order_statistics(df: DataFrame, value: str, of_count) -> list[float]:
     share = [w / max(n - 1, 1) for w in wanted]
     at = v.agg(F.percentile_approx("v", [max(0.0, s - slack) for s in share], ACCURACY), F.percentile_approx("v", [min(1.0, s + slack) for s in share], ACCURACY)).first()
     brackets = list(zip(at[0], at[1]))
-    below = v.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)], *[F.count_if(F.col("v") <= hi).alias(f"t{i}") for i, (_, hi) in enumerate(brackets)]).first()
+    got = v.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)], *[F.count_if(F.col("v") <= hi).alias(f"t{i}") for i, (_, hi) in enumerate(brackets)]).first()
+    below = [got[f"b{i}"] for i in range(len(wanted))]
     for i, w in enumerate(wanted):
-        if not below[f"b{i}"] <= w < below[f"t{i}"]:
-            raise ArithmeticError("a bracket misses its rank")
+        if not below[i] <= w < got[f"t{i}"]:  # beyond the percentiles' accuracy: then all values are ranked
+            brackets[i], below[i] = (float("-inf"), float("inf")), 0
     keys = F.array(*[F.when((F.col("v") >= lo) & (F.col("v") <= hi), i) for i, (lo, hi) in enumerate(brackets)])
     inside = v.select("v", F.explode(F.array_compact(keys)).alias("k")).groupBy("k", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
-    need = F.element_at(F.array(*[F.lit(w - below[f"b{i}"]) for i, w in enumerate(wanted)]), F.col("k") + 1)
+    need = F.element_at(F.array(*[F.lit(w - below[i]) for i, w in enumerate(wanted)]), F.col("k") + 1)
     found = inside.withColumn("upto", upto).where(F.col("upto") > need).groupBy("k").agg(F.min("v").alias("v")).collect()  # a row for each rank
     return [v for _, v in sorted((r["k"], r["v"]) for r in found)]
 

@@ -380,6 +380,21 @@ def svm_linear(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("number", "c").agg((F.sum("loss") / F.sum("n")).alias("error"), F.avg("balanced_accuracy").alias("balanced_accuracy"))
 
 
+@query()
+def svm_nested(spark: SparkSession, d: str) -> DataFrame:
+    return learn.nested_cross_validate(svm_rows(spark, d), [0.01, 0.1, 1.0], 5, 3)
+
+
+@query()
+def svm_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel SVM on the Gram matrix of two classes of embeddings."""
+    own = vectors(spark, d).where("key in (2, 7)")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    gram = kernels.vector_gram(own.select(F.col("v").alias("mol_id"), "vec"), dot)
+    labels = own.select(F.col("v").alias("mol_id"), F.when(F.col("key") == 2, 1).otherwise(-1).alias("y"), (F.col("v") % 5).cast("int").alias("fold"))
+    return learn.kernel_cross_validate(gram, labels, [0.1, 1.0, 10.0])
+
+
 @query()
 def l0_select(spark: SparkSession, d: str) -> DataFrame:
     return learn.select_l0(svm_rows(spark, d), 0.1)

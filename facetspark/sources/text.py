@@ -118,3 +118,37 @@ def tag_classes(all_lines: DataFrame, active: str, inactive: str) -> DataFrame:
 
 def threshold_classes(values: DataFrame, threshold: float) -> DataFrame:
     return values.withColumn("y", F.when(F.col("value") < threshold, -1).otherwise(1))
+
+
+def write_libsvm(md: DataFrame, labels: DataFrame, path: str) -> None:
+    """Lines "label index:value ...", indices from 1 in ascending order, of md(mol_id, type from 0, cnt) and integer labels."""
+    cells = md.where("cnt <> 0").select("mol_id", F.struct(F.col("type"), F.concat_ws(":", (F.col("type") + 1).cast("string"), F.col("cnt").cast("string")).alias("cell")).alias("x"))
+    rows = cells.groupBy("mol_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["cell"]).alias("cells"))
+    text = labels.select("mol_id", F.col("y").cast("int").cast("string").alias("y")).join(rows, "mol_id", "left")
+    text.select(F.concat_ws(" ", "y", F.array_join("cells", " ")).alias("value")).write.text(path)
+
+
+def connections(bonds: DataFrame) -> DataFrame:
+    """The symmetric connection table (mol_id, i, j, order) of bonds given once."""
+    return bonds.select("mol_id", "i", "j", "order").unionByName(bonds.select("mol_id", F.col("j").alias("i"), F.col("i").alias("j"), "order"))
+
+
+def surface_with_property(triangles: DataFrame, values: DataFrame) -> DataFrame:
+    """Triangles with each corner's value as value_a, value_b and value_c."""
+    out = triangles
+    for corner in "abc":
+        out = out.join(values.select("mol_id", F.col("v").alias(corner), F.col("value").alias(f"value_{corner}")), ["mol_id", corner], "left")
+    return out
+
+
+def stage_table(spark: SparkSession, path: str, name: str, make, reload: bool = False) -> DataFrame:
+    """The stage's table: read from path if it is to be reloaded, else made, written there by object and read back."""
+    at = f"{path}/{STAGES.get(name, name)}"
+    if not reload:
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def write_predictions(predictions: DataFrame, path: str, run: str) -> None:
+    """Appends mol_id, activity of a run to the table of predictions."""
+    predictions.select("mol_id", "activity", F.lit(run).alias("run")).write.mode("append").parquet(path)
