@@ -60,6 +60,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterable[tuple]], size: int = 2000) -> DataFrame:
     """rows(*values of a row of df) gives output tuples; batches hold at most size tuples."""
     spark = df.sparkSession
@@ -67,7 +74,7 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterable[tuple]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for batch in batches:
+        for batch in parts(batches):
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 out += rows(*values)
                 if len(out) >= size:

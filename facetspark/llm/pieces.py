@@ -62,6 +62,7 @@ class Codec:
         self.byte_of = [of_byte.get(i, -1) for i in every]
         self.shown = [" ⁇ " if lib.is_unknown(i) else "" if lib.is_control(i) else "" if self.byte_of[i] >= 0 else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
         self.decimal = [str(i) for i in every]
+        self.controls = frozenset(i for i in every if lib.is_control(i))
         self.byte_ids = frozenset(self.bytes.values())
         self.words: dict[str, list[int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -160,7 +161,8 @@ class Codec:
                         raw.clear()
                     out.append(self.shown[i])
             text = "".join(out) + _utf8(bytes(raw))
-        return text[1:] if ids and self.piece[ids[0]].startswith(SPACE) else text
+        first = next((i for i in ids if i not in self.controls), None)  # controls show nothing
+        return text[1:] if first is not None and self.piece[first].startswith(SPACE) else text
 
 
 def _utf8(raw: bytes) -> str:

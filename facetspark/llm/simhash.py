@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, drop_staged, stage
+from facetspark.llm.common import as_documents, drop_staged, parts, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -287,7 +287,7 @@ def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     pairs = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "colliding-pairs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 100):
             keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
