@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,18 +10,19 @@ from pyspark.sql import functions as F
 from facetspark.functions.expressions import array_distance, distance
 
 
-def within_radius(points: DataFrame, radius: float, coords: Sequence[str] = ("x", "y", "z"), itself: bool = False) -> DataFrame:
+def within_radius(points: DataFrame, radius: float, coords: Sequence[str] = ("x", "y", "z"), itself: bool = False, sides: int | None = None) -> DataFrame:
     """mol_id, v, u, d for points of an object at distance radius or less, both ways.
 
-    Points are dealt to cells of side radius; one side looks into the 3^dims cells around its own, so that the join has
-    an equi-key and compares neighbours only.
+    Points are dealt to cells of side radius along the first `sides` coordinates (all, if None); one side looks into the
+    3^sides cells around its own, so that the join has an equi-key and compares neighbours only. Objects of a few points
+    want few sides, as every one triples the rows of one side of the join; large ones want all.
     """
-    cells = [F.floor(F.col(c) / radius).cast("bigint") for c in coords]
+    cells = [F.floor(F.col(c) / radius).cast("bigint") for c in coords[:sides]]
     a = points.select("mol_id", F.col("v"), *[F.col(c).alias(f"a_{c}") for c in coords], *[k.alias(f"k{i}") for i, k in enumerate(cells)])
-    around = F.explode(F.array(*[F.struct(*[(k + d).alias(f"k{i}") for i, (k, d) in enumerate(zip(cells, ds))]) for ds in product((-1, 0, 1), repeat=len(coords))]))
-    b = points.select("mol_id", F.col("v").alias("u"), *[F.col(c).alias(f"b_{c}") for c in coords], around.alias("cell"))
-    b = b.select("mol_id", "u", *[f"b_{c}" for c in coords], "cell.*")
-    found = a.join(b, ["mol_id", *[f"k{i}" for i in range(len(coords))]])
+    b = points.select("mol_id", F.col("v").alias("u"), *[F.col(c).alias(f"b_{c}") for c in coords], *[k.alias(f"k{i}") for i, k in enumerate(cells)])
+    for i in range(len(cells)):
+        b = b.withColumn("_step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"k{i}", F.col(f"k{i}") + F.col("_step")).drop("_step")
+    found = a.join(b, ["mol_id", *[f"k{i}" for i in range(len(cells))]])
     found = found.select("mol_id", "v", "u", distance([F.col(f"a_{c}") for c in coords], [F.col(f"b_{c}") for c in coords]).alias("d"))
     return found.where((F.col("d") <= radius) & (F.lit(itself) | (F.col("v") != F.col("u"))))
 

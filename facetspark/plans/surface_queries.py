@@ -45,7 +45,7 @@ def within_radius(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT mol_id, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u FROM (SELECT * FROM n UNION ALL SELECT * FROM r)""")
 def radius_plus_adjacent(spark: SparkSession, d: str) -> DataFrame:
     p = items(spark, d)
-    return neighbours.plus_adjacent(neighbours.within_radius(p, 12.0), path_edges(p))
+    return neighbours.plus_adjacent(neighbours.within_radius(p, 12.0, sides=0), path_edges(p))
 
 
 @query(f"""WITH {PTS}, m AS (SELECT a.mol_id, a.p AS v, b.p AS u, {DIST} AS d FROM pts a JOIN pts b ON a.mol_id = b.mol_id), t AS (SELECT mol_id, p AS t FROM pts x WHERE EXISTS (SELECT 1 FROM pts y WHERE y.mol_id = x.mol_id AND y.p = x.p + 2))

@@ -145,9 +145,10 @@ def test_radius_join_agrees_with_all_pairs(spark):
     rng = np.random.default_rng(2)
     xyz = rng.uniform(-3, 3, (60, 3))
     points = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "mol_id int, v int, x double, y double, z double")
-    got = {(r["v"], r["u"]) for r in neighbours.within_radius(points, 1.3).collect()}
     far = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
-    assert got == {(i, j) for i in range(60) for j in range(60) if i != j and far[i, j] <= 1.3}
+    for sides in (None, 2, 1, 0):
+        got = {(r["v"], r["u"]) for r in neighbours.within_radius(points, 1.3, sides=sides).collect()}
+        assert got == {(i, j) for i in range(60) for j in range(60) if i != j and far[i, j] <= 1.3}
 
 
 def test_blur_of_constant(spark):
