@@ -19,6 +19,7 @@ result; an empty table gives an empty table; only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, drop_staged, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, parts, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -38,6 +39,11 @@ SEED = 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Similarity (Jaccard, shingles of five words) of near copies.
 SIMILAR = 0.8
+#: Texts of a sample in which shingles are counted, and the count from which one is frequent (a matter of cost only).
+SAMPLE = 5000
+OFTEN = 8
+#: How many of a group its texts are compared with, round by round; in the last, all.
+FIRST = (1, 16, None)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows of a group up to which they are compared one by one.
@@ -258,46 +264,112 @@ def similar(a: str | None, b: str | None, least: float = SIMILAR) -> bool:
     return len(x & y) >= least * len(x | y)
 
 
+def _shingle_numbers(words: list[str]) -> np.ndarray:
+    """The sorted set of 64-bit numbers of the shingles of five words; fewer words make one shingle."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    each = np.fromiter((digest(w.encode(), SEED) for w in words), np.uint64, len(words))
+    n = max(1, len(words) - 4)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(5, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+        out ^= out >> np.uint64(31)
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _frequent(texts: DataFrame, n: int) -> np.ndarray:
+    """Numbers of shingles that `OFTEN` or more of about `SAMPLE` texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            for t in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_numbers(_words(t.as_py())).view(np.int64))], ["key"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    found = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefixes(texts: DataFrame, n: int, least: float) -> DataFrame:
+    """key, doc_id, size and pos: the shingles of each text's prefix, at their places in its order.
+
+    All texts order their shingles alike, frequent ones last. Of two texts with a similarity of least or more, each has
+    at most size - least * size shingles without the other, so the first that they share is in both prefixes.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            keys, ids, sizes, places = [np.zeros(0, np.uint64)], [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = _shingle_numbers(_words(t.as_py()))
+                if not len(own):
+                    continue
+                often = np.isin(own, sent.value)
+                take = len(own) - math.ceil(least * len(own) - 1e-6) + 1
+                keys.append(np.concatenate((own[~often], own[often]))[:take])
+                ids.append(i)
+                sizes.append(len(own))
+                places.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), places)), pa.array(np.repeat(np.array(sizes, np.int32), places)), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in places]]))], ["key", "doc_id", "size", "pos"])
+
+    return texts.mapInArrow(run, "key long, doc_id long, size int, pos int")
+
+
+def _apart_in_words(a: str | None, b: str | None) -> int:
+    return (word_fingerprint(_words(a)) ^ word_fingerprint(_words(b))).bit_count()
+
+
 def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id and component_id: classes of documents that are similar() to one another, directly or by way of others.
 
-    Edits of a few words in a hundred leave a similarity of 0.8 on shingles of five words but turn ten or so bits of
-    such shingles' fingerprint; of the words' own fingerprint they turn three at most in all but a few cases. So the
-    ball hashing runs over fingerprints of words (weighted by the root of their counts), and every colliding pair is
-    verified on shingles of five words. Texts with the same words in the same order are one class from the start. Of
-    different texts with one fingerprint, each is compared with the least; of linked fingerprints, the least texts are.
+    Only pairs whose fingerprints of words differ in at most RADIUS bits count; all of these do. Texts with the same words in the same order are one class from the start. Of the
+    others, those that share a shingle of their prefixes (_prefixes) are compared, but for pairs whose sizes or places
+    of that shingle rule a similarity of least out. A group of texts with one shingle is first compared with the one of
+    them that shares most, then with the first few, then all with all; pairs that are in one class by then are left out,
+    so that n copies of one text make about n comparisons, and in the end every pair is compared or in one class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, marks = [], []
-            for t in batch.column(1):
-                words = _words(t.as_py())
-                fps.append(word_fingerprint(words))
-                marks.append(xxhash.xxh3_128_digest(" ".join(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "fp", "mark"])
-
-    texts = as_documents(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = stage(texts.mapInArrow(run, "doc_id long, fp long, mark binary"), "marks")
-    nodes = stage(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
-    least_of = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
-    apart = links(least_of.select("fp"))
-    first, second = least_of.select(F.col("fp").alias("u"), F.col("rep").alias("a")), least_of.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
-    pairs = apart.join(first, "u").join(second, "v").select("a", "b").union(nodes.join(least_of.where("n > 1"), "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    pairs = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "colliding-pairs")
+        for batch in parts(batches):
+            marks = [xxhash.xxh3_128_digest(" ".join(_words(t.as_py()))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["doc_id", "mark"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
-            keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [_apart_in_words(a, b) <= RADIUS and similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    at_hand = stage(texts.join(wanted, "doc_id", "left_semi").join(nodes.select(F.col("node").alias("doc_id"), "mark"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "colliding-texts")
-    left = pairs.join(at_hand.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    both = left.join(at_hand.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    roots = components(stage(both.mapInArrow(check, "u long, v long"), "similar-pairs"))
-    named = nodes.join(roots, F.col("node") == F.col("u"), "left").select("mark", F.coalesce("v", "node").alias("component_id"))
-    return marked.join(named, "mark").select("doc_id", "component_id")
+    texts = as_documents(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked = stage(texts.mapInArrow(run, "doc_id long, mark binary"), "marks")
+    nodes = stage(marked.groupBy("mark").agg(F.min("doc_id").alias("node")), "nodes")
+    own = texts.join(checked_broadcast(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    by_key = Window.partitionBy("key")
+    met = stage(_prefixes(own, nodes.count(), least).withColumn("n", F.count("*").over(by_key)).where("n > 1"), "prefixes")
+    weights = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    ranked = stage(met.join(weights, "doc_id").withColumn("rank", F.row_number().over(by_key.orderBy(F.desc("weight"), "doc_id"))).drop("weight"), "ranked")
+    drop_staged(met)
+    at_hand = stage(own.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "colliding-texts")
+    roots = compared = None
+    for first in FIRST:
+        named = ranked.withColumn("class", F.col("doc_id"))
+        if roots is not None:
+            named = ranked.join(roots, F.col("doc_id") == F.col("u"), "left").withColumn("class", F.coalesce("v", "doc_id")).drop("u", "v")
+        mixed = named.withColumn("mixed", F.min("class").over(by_key) < F.max("class").over(by_key)).where("mixed").drop("mixed")
+        a, b = mixed.alias("a"), (mixed if first is None else mixed.where(F.col("rank") <= first)).alias("b")
+        rest = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+        may = (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6) & ((1 + least) * rest >= least * (F.col("a.size") + F.col("b.size")) - 1e-6)
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") > F.col("b.rank")) & (F.col("a.class") != F.col("b.class")) & may)
+        pairs = pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct()
+        pairs = stage(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), "colliding-pairs")
+        left = pairs.join(at_hand.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+        both = left.join(at_hand.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+        found = both.mapInArrow(check, "u long, v long")
+        roots = components(stage(found if roots is None else found.union(roots.select("u", "v")), "similar-pairs"))
+        compared = pairs if compared is None else compared.union(pairs)
+    out = nodes.join(roots, F.col("node") == F.col("u"), "left").select("mark", F.coalesce("v", "node").alias("component_id"))
+    return marked.join(out, "mark").select("doc_id", "component_id")
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
