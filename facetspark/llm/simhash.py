@@ -182,7 +182,8 @@ def _linked(groups: DataFrame, inner: int, outer: int) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (u > v) between the distinct fingerprints of fps(fp) that differ in at most RADIUS bits.
 
-    Not all such pairs: as many as keep components the same.
+    Not all such pairs: as many as keep components of fingerprints the same. So they are no candidates for a test of the
+    texts, which may fail for a link and hold for a pair left out; near_copies has candidates of its own.
     """
     n = -(-fps.count() // DEALT) or 1
     dealt = fps.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, rest int").repartition("key").withColumn("block", F.shiftright("rest", 28))

@@ -62,3 +62,14 @@ def test_texts_on_one_fingerprint_are_compared_with_one_another(spark):
     swapped = [*words[:100], words[101], words[100], *words[102:]]
     texts = [" ".join(x) for x in (other, words, swapped)]
     assert len({simhash.word_fingerprint(x.split()) for x in texts}) == 1 and got(spark, texts) == [0, 1, 1]
+
+
+def test_pairs_that_links_leaves_out_are_compared(spark):
+    texts = copies(59)
+    fps = [simhash.word_fingerprint(simhash._words(t)) for t in texts]
+    df = spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in set(fps)], "fp long")
+    linked = {frozenset((r["u"] % (1 << 64), r["v"] % (1 << 64))) for r in simhash.links(df).collect()}
+    found = got(spark, texts)
+    near = [(i, j) for i in range(60) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS and simhash.similar(texts[i], texts[j])]
+    out = [(i, j) for i, j in near if fps[i] != fps[j] and frozenset((fps[i], fps[j])) not in linked]
+    assert out and all(found[i] == found[j] for i, j in out)
