@@ -318,14 +318,10 @@ def _prefixes(texts: DataFrame, n: int, least: float) -> DataFrame:
     return texts.mapInArrow(run, "key long, doc_id long, size int, pos int")
 
 
-def _apart_in_words(a: str | None, b: str | None) -> int:
-    return (word_fingerprint(_words(a)) ^ word_fingerprint(_words(b))).bit_count()
-
-
 def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id and component_id: classes of documents that are similar() to one another, directly or by way of others.
 
-    Only pairs whose fingerprints of words differ in at most RADIUS bits count; all of these do. Texts with the same words in the same order are one class from the start. Of the
+    Exact: no fingerprint decides. Texts with the same words in the same order are one class from the start. Of the
     others, those that share a shingle of their prefixes (_prefixes) are compared, but for pairs whose sizes or places
     of that shingle rule a similarity of least out. A group of texts with one shingle is first compared with the one of
     them that shares most, then with the first few, then all with all; pairs that are in one class by then are left out,
@@ -339,7 +335,7 @@ def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
-            keep = [_apart_in_words(a, b) <= RADIUS and similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
     texts = as_documents(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -73,3 +73,8 @@ def test_pairs_that_links_leaves_out_are_compared(spark):
     near = [(i, j) for i in range(60) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS and simhash.similar(texts[i], texts[j])]
     out = [(i, j) for i, j in near if fps[i] != fps[j] and frozenset((fps[i], fps[j])) not in linked]
     assert out and all(found[i] == found[j] for i, j in out)
+
+
+def test_similar_texts_are_found_whatever_their_fingerprints(spark):
+    texts = copies(30) + ["", "one two", "one two", "one two three"]
+    assert len(set(classes(texts, simhash.RADIUS))) > len(set(classes(texts))) and got(spark, texts) == classes(texts)
