@@ -246,6 +246,23 @@ def test_decoding_equals_the_library(library, ids):
     assert pieces.codec(pieces.default_model()).decode(ids) == library.decode(ids)
 
 
+def test_pair_tests_along_spines_equal_the_procedure(library):
+    codec, r = pieces.codec(pieces.default_model()), random.Random(1)
+    ids = [i for p, i in codec.id.items() if pieces.SPACE not in p[1:]]
+    own = r.sample([i for i in ids if codec.piece[i][0] != pieces.SPACE], 400)
+    for a, b in [(r.choice(ids), r.choice(own)) for _ in range(4000)] + [(a, b) for a in own[:40] for b in own[:40]]:
+        assert codec.compatible(a, b) == (codec.halves(a) is not None and codec.replayed(a, b))
+
+
+def test_caches_turn_over_and_bad_bytes_are_many(library, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 7)
+    codec = pieces.Codec(pieces.default_model())
+    text = " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("in", "on", "", "é漢")) * 3
+    assert codec.encode(text) == library.encode(text) and len(codec.packed) <= 7
+    bad = [codec.bytes[0xC3]] * 5000
+    assert codec.decode(bad) == "\ufffd" * 5000
+
+
 def test_encoding(docs, rows, library):
     got = as_set(pieces.digests(docs))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
