@@ -10,15 +10,19 @@ an ISO 8601 timestamp from the 14-digit one, the record type, and block and payl
 Of records with equal payloads, the one with the smallest number is the response and the others are revisits that
 refer to it. Payloads of fewer bytes than `min_bytes` are never revisits.
 
-Distribution. Every page becomes an ARC record and is parsed again in one pass that returns its digest; digests are
-reduced on the map side to the smallest page (so a digest with a third of all pages costs no more), and joined back.
-The archives are written by Spark's text writer, whose line separator is the end of a WARC record, into the shared
-folder, in gzip files of about `FILE_BYTES` before compression, and read back as whole files: one file is one task's unit of work, so no task
-holds more than a file. Nothing is opened by local paths.
-
-Defined results: a null html is an empty payload; a null url is written as an empty one and read as null; equal rows
-stay separate rows (equal page_id: each is a response if it is the smallest); an empty table gives an empty table; a
-page of any length up to 2 GB is written whole; only page_id, url and html are read.
+Distribution. Digests are reduced on the map side to the smallest page (so a digest with a third of all pages costs no
+more) and joined back by page and digest. Every page then becomes an ARC record, is parsed again and written as a WARC
+record, a gzip member of its own, by Spark's text writer into the shared folder, in files of about `FILE_BYTES` before
+compression. A member's last byte is the highest of its length, 0 below 16 MB; so the writer's line separator is that
+byte (a longer record gets an empty member behind it), and a file is nothing but members. Files are read back whole:
+one file is one task's unit of work, so no task holds more than a file. Nothing is opened by local paths, and payloads
+are bytes of any kind throughout.
+
+Defined results: a null html is an empty payload; a null url is written as an empty one and read as null; a null
+page_id is no number: it comes back null, and its record revisits the smallest page with its payload, or is a response
+if no page with a number has it. Rows with one page_id and different payloads are separate records, each by its own
+payload; equal rows stay separate rows (each is a response if it is the smallest); an empty table gives an empty table;
+a page of any length up to 2 GB is written whole; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import gzip
 import hashlib
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, new_path, stage
+from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, new_path, parts, stage
 
 #: Fixed header lines and field lists of the two ARC versions.
 ARC_VERSIONS = {
@@ -110,16 +115,17 @@ def parse_arc(raw: bytes) -> Iterator[Record]:
         yield Record("" if got["URL"] == "-" else got["URL"], got["Archive-date"], got["Content-type"], body, int(status) if status.isdigit() else None)
 
 
-def record_id(number: int) -> str:
-    """A UUID of version 8 that holds a signed 64-bit number."""
-    u = number & ((1 << 64) - 1)
-    return f"<urn:uuid:{uuid.UUID(int=(0x6661636574 << 88) | (8 << 76) | ((u >> 62) << 64) | (2 << 62) | (u & ((1 << 62) - 1)))}>"
+def record_id(number: int | None) -> str:
+    """A UUID of version 8 that holds a signed 64-bit number, or none."""
+    u = (number or 0) & ((1 << 64) - 1)
+    head = (0x6661636574 << 8) | (number is None)
+    return f"<urn:uuid:{uuid.UUID(int=(head << 80) | (8 << 76) | ((u >> 62) << 64) | (2 << 62) | (u & ((1 << 62) - 1)))}>"
 
 
-def number_of(identifier: str) -> int:
+def number_of(identifier: str) -> int | None:
     value = uuid.UUID(identifier[10:-1]).int
     u = ((value >> 64) & 3) << 62 | (value & ((1 << 62) - 1))
-    return u - (1 << 64) if u >> 63 else u
+    return None if (value >> 80) & 255 else u - (1 << 64) if u >> 63 else u
 
 
 def iso_date(date: str) -> str:
@@ -128,7 +134,7 @@ def iso_date(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
-def to_warc(r: Record, number: int, original: int | None) -> str:
+def to_warc(r: Record, number: int | None, original: int | None) -> bytes:
     """The WARC record, without the line ends after it; original is the number of the response that r repeats."""
     digest = "sha1:" + sha1(r.payload)
     http = f"HTTP/1.0 {r.status or 200} OK\r\nContent-Type: {r.kind}\r\nContent-Length: {len(r.payload)}\r\n\r\n".encode()
@@ -140,7 +146,7 @@ def to_warc(r: Record, number: int, original: int | None) -> str:
     if original is not None:
         head |= {"WARC-Refers-To": record_id(original), "WARC-Profile": PROFILE}
     head["Content-Length"] = str(len(block))
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n" + block.decode("utf-8", "surrogateescape")
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode("utf-8", "surrogateescape") + block
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,7 +156,7 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = raw.find(b"\r\n\r\n", at)
         if not raw.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no record at {at}")
-        head = dict(x.split(": ", 1) for x in raw[at:end].decode().split("\r\n")[1:])
+        head = dict(x.split(": ", 1) for x in raw[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:])
         start = end + 4
         at = start + int(head["Content-Length"])
         if raw[at : at + 4] != END.encode():
@@ -166,47 +172,85 @@ def _record(page_id: int, url: str | None, html: str | None) -> Record:
     return back
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        records = [_record(i, "", h) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sha1(r.payload) for r in records]), pa.array([len(r.payload) for r in records], pa.int64())], ["page_id", "digest", "n"])
+def member(record: bytes) -> bytes:
+    """The record as it stands in a file, but for the last byte, which is 0."""
+    out = gzip.compress(record + END.encode(), 6, mtime=0)
+    return (out if not out[-1] else out + gzip.compress(b"", mtime=0))[:-1]
+
+
+def unpacked(raw: bytes) -> Iterator[bytes]:
+    """What each gzip member of a file holds; the file itself if it isn't compressed."""
+    if not raw.startswith(b"\x1f\x8b"):
+        yield raw
+        return
+    while raw:
+        one = zlib.decompressobj(31)
+        yield one.decompress(raw) + one.flush()
+        if not one.eof:
+            raise ValueError("a member without an end")
+        raw = one.unused_data
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows = [to_warc(_record(i, u, h), i, o) for i, u, h, o in zip(*(part.column(k).to_pylist() for k in range(4)))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+    for part in parts(batches, 256):
+        rows = [member(to_warc(_record(i, u, h), i, o)) for i, u, h, o in zip(*(part.column(k).to_pylist() for k in range(4)))]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+
+
+def _write(members: DataFrame, path: str) -> None:
+    """members(value): gzip members without their last byte, to files at path."""
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
-        for raw in batch.column(0):
-            rows = []
-            for head, block in parse_warc(gzip.decompress(raw.as_py())):
+    for batch in parts(batches, 1):
+        rows = []
+        for record in unpacked(batch.column(0)[0].as_py()):
+            for head, block in parse_warc(record):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 declared = int(http.rpartition(b"Content-Length: ")[2])
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] == "response" and (len(payload) != declared or sha1(payload) != digest):
                     raise ValueError(f"damaged payload in {head['WARC-Record-ID']}")
-                original = head.get("WARC-Refers-To")
-                rows.append((number_of(head["WARC-Record-ID"]), head["WARC-Target-URI"] or None, declared, digest, head["WARC-Type"], number_of(original) if original else None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                original, url = head.get("WARC-Refers-To"), head["WARC-Target-URI"].encode("utf-8", "surrogateescape").decode(errors="replace")
+                rows.append((number_of(head["WARC-Record-ID"]), url or None, declared, digest, head["WARC-Type"], number_of(original) if original else None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """WARC files of all pages at path, a folder that all executors share."""
-    own = as_documents(pages, ["page_id", "url", "html"])
-    digests = stage(own.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, n long"), "digests")
-    n_files = max(1, math.ceil((digests.agg(F.sum("n")).first()[0] or 0) / FILE_BYTES))
-    first = digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("n") >= min_bytes))
-    repeats = digests.join(first.select("digest", "first"), "digest").where("page_id <> first").select("page_id", F.col("first").alias("original")).distinct()
-    rows = own.join(checked_broadcast(repeats), "page_id", "left").select("page_id", "url", "html", "original").repartition(n_files, F.xxhash64("page_id", "url"))
-    rows.mapInArrow(_convert, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    payload = F.coalesce("html", F.lit(""))
+    own = as_documents(pages, ["page_id", "url", "html"]).withColumn("page_id", F.col("page_id").cast("long")).withColumn("digest", F.sha1(payload.cast("binary")))
+    groups = own.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"), F.max(F.octet_length(payload)).cast("long").alias("n"))
+    groups = stage(groups, "digests")
+    n_files = max(1, math.ceil((groups.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0) / FILE_BYTES))
+    first = groups.where((F.col("copies") > 1) & (F.col("n") >= min_bytes) & F.col("first").isNotNull()).select("digest", "first")
+    later = ~F.col("page_id").eqNullSafe(F.col("first"))
+    repeats = own.select("page_id", "digest").join(checked_broadcast(first), "digest").where(later).distinct()
+    repeats = stage(repeats.select(F.col("page_id").alias("page"), F.col("digest").alias("same"), F.col("first").alias("original")), "repeats")
+    both = own.join(checked_broadcast(repeats), F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    rows = both.select("page_id", "url", "html", "original").repartition(n_files, F.xxhash64("page_id", "url", "html"))
+    _write(rows.mapInArrow(_convert, "value binary"), path)
+    drop_staged(groups)
+    drop_staged(repeats)
+
+
+def convert_archives(spark, source: str, path: str) -> None:
+    """WARC files at path of the ARC files at source, gzip-compressed or not; each record is a response, numbered by a
+    hash of its file and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1):
+            name, raw = batch.column(0)[0].as_py(), b"".join(unpacked(batch.column(1)[0].as_py()))
+            for i, r in enumerate(parse_arc(raw)):
+                number = int.from_bytes(hashlib.blake2b(f"{name}:{i}".encode(), digest_size=8).digest(), "big", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([member(to_warc(r, number, None))], pa.binary())], ["value"])
+
+    files = spark.read.format("binaryFile").load(source).select("path", "content")
+    _write(files.mapInArrow(run, "value binary"), path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
