@@ -8,8 +8,8 @@ known truth, `TRAINING_PAGES` of them) by gradient ascent on the regularised lik
 decoded by Viterbi on the executors. The weights, a few hundred numbers, are all that is broadcast.
 
 Each page is one row's work, nothing is shuffled. Defined results: a null or empty html, or one without main text,
-gives an empty text; unclosed elements end with the page, stray ends are skipped, and a cut tag or comment is markup to
-the page's end; pages of any length are read whole in linear time; equal rows stay separate rows; an empty table gives
+gives an empty text; unclosed elements end with the page, stray ends are skipped, and a cut tag, quoted value or
+comment is markup to the page's end; pages, attributes and texts of any length are read whole in linear time; equal rows stay separate rows; an empty table gives
 an empty table; only page_id, url and html are read.
 """
 
@@ -51,8 +51,14 @@ HINTS = {
     "text": "content article post entry story body main maincontent text articlebody prose",
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+|[^>]*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|([^<]+)|(<)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quote opens a value only behind an equals sign, and one that isn't closed is markup to the page's end; nothing is
+#: ever scanned twice.
+_QUOTED = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|{_QUOTED})*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)|([^<]++)|(<)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|(\S++))?+)?+")
+_NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
+#: Words from which a block with a copyright notice is more than the notice.
+NOTICE_WORDS = 64
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 
@@ -67,8 +73,12 @@ class Block:
 
 
 def _hints(attributes: str) -> frozenset:
-    if not attributes or not attributes.strip():
+    if not attributes or attributes.isspace():
         return frozenset()
+    return _known_hints(attributes) if len(attributes) < 256 else _found_hints(attributes)
+
+
+def _found_hints(attributes: str) -> frozenset:
     found = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
@@ -76,11 +86,14 @@ def _hints(attributes: str) -> frozenset:
             for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
                 if w in _HINT:
                     found.add(_HINT[w])
-        elif name.lower() == "hidden" or "display:none" in value.replace(" ", "").lower():
+        elif name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "").lower():
             found.add("hidden")
     return frozenset(found)
 
 
+_known_hints = functools.lru_cache(4096)(_found_hints)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page that have text."""
     page, out = page or "", []
@@ -154,8 +167,8 @@ def features(found: list[Block]) -> list[list[str]]:
         own.add(f"words:{min(words.bit_length(), 7)}")
         own.add(f"linked:{min(4, 4 * b.linked // size)}")
         own.add("stop" if b.text[-1] in ".!?…:\"'”»" else "nostop")
-        if re.search(r"©|\(c\)|copyright|all rights reserved", b.text[:200], re.I):
-            own.add("copyright")
+        if _NOTICE.search(b.text):
+            own.add("copyright" if words < NOTICE_WORDS else "mentions copyright")
         own.add("first" if i == 0 else "last" if i == n - 1 else f"place:{4 * i // n}")
         if tags and tags[-1] in ("h1", "h2", "h3", "h4") and not ({"nav", "aside", "footer", "form"} & set(tags)):
             own.add("heading")

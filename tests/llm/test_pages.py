@@ -1,7 +1,9 @@
 import base64
 import gzip
 import hashlib
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
@@ -100,6 +102,55 @@ def test_main_text():
     assert html_text.extract(PAGE, html_text.default_field()) == "Title & more& First line. Second line here. Point one."
 
 
+def test_attributes_of_any_length():
+    long = "x>" * 10_000
+    page = f"<article><p>One.<img alt=\"{long}\" title='{long}'><p class=a data-x='{{\"class\": \"advert\"}}'>Two \"quoted\".<a \"odd>three</a> a=\"b</article>"
+    assert [b.text for b in html_text.blocks(page)] == ["One.", 'Two "quoted".three a="b'] and not any(h for b in html_text.blocks(page) for _, h in b.path)
+    assert html_text.blocks("<p>seen<p class=\"cut> gone </p>")[-1].text == "seen"
+    start = time.monotonic()
+    html_text.blocks("<a b=\"><c d='" * 200_000)
+    html_text.blocks("<a \"><b\" \">" * 200_000)
+    assert time.monotonic() - start < 20
+
+
+class Articles(HTMLParser):
+    """Brute force for pages with one article each: the blocks inside it."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skipped, self.blocks = False, 0, [""]
+
+    def handle_starttag(self, tag, _):
+        self.inside |= tag == "article"
+        self.skipped += tag in ("script", "style")
+        if tag in html_text.BLOCKS or tag == "br":
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.skipped -= tag in ("script", "style")
+        if tag in html_text.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.blocks[-1] += data
+
+
+def test_the_query_against_another_parser(spark):
+    from facetspark.llm import queries
+
+    sf, expected = "/root/testdata/sf0.01", {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parser = Articles()
+        parser.feed(r["html"])
+        parser.close()
+        expected[r["page_id"]] = r["url"], " ".join(t for b in parser.blocks if (t := " ".join(b.split())))
+    got = {r["page_id"]: (r["url"], r["text"]) for r in queries.op8_html_text(spark, sf).collect()}
+    wrong = [i for i in expected if got[i] != expected[i]]
+    assert set(got) == set(expected) and len(wrong) <= 0.01 * len(got), wrong
+
+
 def test_viterbi_is_the_best_path():
     field = html_text.default_field()
     names = html_text.features(html_text.blocks(PAGE))[:9]
