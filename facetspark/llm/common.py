@@ -89,6 +89,18 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterable[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def column(df: DataFrame, name: str) -> Column:
+    return df[f"`{name.replace('`', '``')}`"]
+
+
 def once(expression: Column) -> Column:
     """expression, to be evaluated where it stands: the condition, always true, isn't deterministic, so that no filter
     that a caller puts on what is made of it takes a copy along into its own condition, to be evaluated per element."""
@@ -97,4 +109,4 @@ def once(expression: Column) -> Column:
 
 def as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns: whatever else the input carries, under whatever name, plays no part."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    return df.select(*[column(df, c) for c in columns])

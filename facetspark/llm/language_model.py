@@ -1,259 +1,342 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-Symbols. A text is a sequence of `SYMBOLS` classes of its UTF-8 bytes (small letters one by one; capitals, digits,
-kinds of punctuation and marks, and other bytes by groups), four to an n-gram. Word n-grams would be joined by a
-shuffle of a row for each word of the corpus, 2.1 GB for 0.49 GB of input, beyond this operator's disk budget of 1.5
-times the input; over classes the model has at most SYMBOLS ** 4 n-grams a language, a bound that no corpus passes.
-
-Training. Each task counts the n-grams of all trusted documents in its part; the counts are dealt out in shards by
-language and n-gram, summed, and joined with the counts of their contexts and of their shorter forms, order by order:
-the highest order has plain counts, lower ones continuation counts (how many different symbols stand before), each
-order and language its own three discounts, estimated from its counts of counts. The counts cover all trusted
-documents, so what is gathered grows with the input.
-
-Scoring. The joined counts are turned into one table of conditional probabilities a language, broadcast (bounded as
-above; languages are taken in groups of `LANGS_AT_ONCE`), and every document gets the mean
-negative log-likelihood of all its symbols; perplexity is its exponential. Thresholds are quantiles over the trusted
-documents, by language and by length class (the mean of few symbols varies more), exact on scores rounded to 0.001
-nats, plus a margin for what the model hasn't seen. A document is rejected above its threshold.
-
-Defined results: a null or empty text has no perplexity and is rejected; a null language is one of its own, "";
-a length class without trusted documents takes its language's threshold, and a language without any keeps its documents; labels may repeat
-and carry nulls (a document is trusted if some row with its doc_id has quality 1); equal rows stay separate rows; an
-empty table gives an empty table; only doc_id, text and lang, and doc_id and quality of the labels, are read.
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, over pairs of words.
+
+Words are what white space separates, as they are; marks before the first and behind the last word count as words.
+
+Training. Of the trusted documents of each language, a sample drawn by a hash of the document, half of them or about
+`TRAINING_CHARS` characters, whichever is less, gives the counts of all its pairs, summed on the map side and then by language and pair;
+joined with the counts of their first words (as contexts) and with the continuation counts of their second words (how
+many different words stand before), they give probabilities. Either order has, by language, three discounts of its own,
+estimated from its counts of counts.
+
+Scoring. The log-probability of a document is a sum over its words and pairs: with the weights
+
+    word w: log(share that w as a context leaves to single words) + log p(w) - log p(unknown word)
+    pair vw: log p(w after v) - log(share that v leaves) - log p(w)
+
+all that no count knows weighs 0, and every word adds log p(unknown word). So each document is joined, as counts, with
+the weights of its words and pairs. The commonest of these, at most `HOT`, are broadcast, which leaves no hot key to the
+join; the rest is dealt into shards of about `SHARD` weights each. A task packs, for each shard, the keys of a block of
+documents (four bytes each; with the shard they tell the key up to one chance in 16,000 that a key unknown to the model
+is taken for another). Sorted behind its shard's weights, a pack becomes partial sums, which are added up by block.
+Shards are dealt over as many tasks as the input has parts, so that their size doesn't grow with the corpus; all
+documents are scored, over whole texts.
+
+Limits. Perplexity is the exponential of the mean negative log-likelihood of a word. The mean of few words varies more,
+so limits are set to the mean over the document and `PRIOR` words of its language's average. They are quantiles by
+language, on scores rounded to 0.001 nats, and a margin: the upper one of trusted documents that the model hasn't seen,
+the lower one (repeated words are all too likely) of all trusted ones, as copies of those it has seen may come. A
+document beyond one is rejected.
+
+Defined results: a null or empty text, or one of white space, has no perplexity and is rejected; a null language is one
+of its own, ""; a language without trusted documents, or with all of them drawn, keeps its documents; labels may repeat and carry nulls (a document
+is trusted if some row with its doc_id has quality 1); equal rows stay separate rows in classify(), and keep_good()
+drops all rows of a doc_id of which one row is rejected, but for a null doc_id, whose rows stay; an empty table gives an
+empty table; only doc_id, text and lang, and doc_id and quality of the labels, are read.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, stage
 
-ORDER = 4
-SYMBOLS = 40
-#: Quantile of the trusted documents' scores up to which documents are kept, and nats added to it.
+#: Characters of trusted text a language, about, from which the model is counted.
+TRAINING_CHARS = 12_000_000
+#: Quantiles of the trusted documents' scores between which documents are kept, and nats added on either side.
 QUANTILE = 0.999
 MARGIN = 0.05
-#: A length class holds scores of texts of up to this many times as many symbols as the one before.
-LENGTH_STEP = 4
-#: Languages whose tables (SYMBOLS ** ORDER numbers of 4 bytes) a worker holds at a time; more take more passes.
-LANGS_AT_ONCE = 8
-#: Symbols scored or counted at once.
-CHUNK = 1 << 20
+#: Average words that a document's score has besides its own.
+PRIOR = 20
+#: Weights that are broadcast (12 bytes each), and weights in a shard.
+HOT = 1 << 19
+SHARD = 1 << 18
 TRUSTED_ROWS = 4_000_000
-
-
-def classes() -> bytes:
-    """The class of each byte; 0 stands before and after a text."""
-    out = bytearray(256)
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            out[b] = 1 + b - 97
-        elif "A" <= c <= "Z":
-            out[b] = 27
-        elif c.isdigit() and b < 128:
-            out[b] = 28
-        elif c == " ":
-            out[b] = 29
-        elif c == "\n":
-            out[b] = 30
-        elif c == ".":
-            out[b] = 31
-        elif c == ",":
-            out[b] = 32
-        elif c in "!?":
-            out[b] = 33
-        elif c in "'\"`()[]{}":
-            out[b] = 34
-        elif c in "-_/:;@\\+=~^":
-            out[b] = 35
-        elif c in "#*$%&|<>":
-            out[b] = 36
-        elif b < 128:
-            out[b] = 35
-        elif b >= 0xC0:
-            out[b] = 37
-        else:
-            out[b] = 38 + ((b >> 5) & 1)
-    return bytes(out)
-
-
-_CLASSES = classes()
-
-
-def codes(text: str) -> Iterator[np.ndarray]:
-    """The n-grams of a text as numbers, one for each symbol and for the end, by chunks."""
-    raw = bytes(ORDER - 1) + text.encode().translate(_CLASSES) + b"\0"
-    for at in range(0, len(raw) - ORDER + 1, CHUNK):
-        s = np.frombuffer(raw, np.uint8, min(CHUNK + ORDER - 1, len(raw) - at), at).astype(np.int32)
-        n = len(s) - ORDER + 1
-        code = s[:n].copy()
-        for i in range(1, ORDER):
-            code *= SYMBOLS
-            code += s[i : i + n]
-        yield code
+#: Documents in a block.
+BLOCK = 500
+#: Least discount, so that every context leaves a share to words not seen in it.
+LEAST_DISCOUNT = 0.05
+#: Fixed odd multipliers of the keys.
+_MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return as_documents(docs, ["doc_id", "text", "lang"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return as_documents(docs, ["doc_id", "text", "lang"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return as_documents(labels, ["doc_id", "quality"]).where("quality = 1").select("doc_id").distinct()
+    return as_documents(labels, ["doc_id", "quality"]).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, code, cnt over all docs(text, lang): summed within tasks, then in shards by language and n-gram."""
+def numbers(text: str, lang: str) -> np.ndarray:
+    """The words of a text in its language as 64-bit numbers, between those of the two marks."""
+    words, seed, digest = text.split(), zlib.crc32(lang.encode()), xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in ("\n", *words, "\n\n")), np.uint64, len(words) + 2)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX[2]
+    return x ^ (x >> np.uint64(29))
+
+
+def word_keys(w: np.ndarray) -> np.ndarray:
+    return _mixed(w * _MIX[0])
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mixed(v * _MIX[0] + w * _MIX[1] + np.uint64(1))
+
+
+def shares(texts: DataFrame, chars: int = TRAINING_CHARS) -> DataFrame:
+    """lang and share: how much of its texts make about so many characters, a half at most."""
+    totals = texts.groupBy("lang").agg(F.sum(F.length("text")).alias("total"))
+    return totals.select("lang", F.least(F.lit(0.5), F.try_divide(F.lit(float(chars)), F.col("total"))).alias("share"))
+
+
+def drawn(df: DataFrame, share: DataFrame, yes: bool = True) -> DataFrame:
+    """The rows of df(doc_id, lang, ...) that a hash draws for training, or those that it doesn't."""
+    hit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    return df.join(checked_broadcast(share), "lang").where(hit if yes else ~hit).drop("share")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
 
-        def add(lang: str) -> None:
-            if lang not in held:
-                held[lang] = np.zeros(SYMBOLS**ORDER, np.int32)
-            at, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
-            held[lang][at] += n.astype(np.int32)
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """lang, v, w, cnt: the pairs of neighbouring words in texts(text, lang)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for code in codes(text) if text else ():
-                    waiting.setdefault(lang, []).append(code)
-            for lang in [k for k, v in waiting.items() if sum(map(len, v)) > CHUNK]:
-                add(lang)
-            while len(held) + len(waiting) > LANGS_AT_ONCE:  # so that memory doesn't grow with the languages
-                lang = next(iter(waiting or held))
-                if lang in waiting:
-                    add(lang)
-                yield from given(lang, held.pop(lang))
-        for lang in list(waiting):
-            add(lang)
-        for lang, n in held.items():
-            yield from given(lang, n)
-
-    def given(lang: str, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[part].astype(np.int64))], ["lang", "code", "cnt"])
-
-    return docs.select("text", "lang").mapInArrow(run, "lang string, code int, cnt long").groupBy("lang", "code").agg(F.sum("cnt").alias("cnt"))
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """Rows of the model: lang, size (of the n-gram), code, p (discounted share), back (weight of the shorter form).
-
-    p is null where only the n-gram's own use as a context is known. The sum of a row's p and of its context's back
-    times the shorter n-gram's probability is the interpolated probability.
-    """
-    counts = stage(count_ngrams(docs), "ngrams")
-    out = None
-    for size in range(ORDER, 0, -1):
-        if size < ORDER:
-            counts = counts.groupBy("lang", (F.col("code") % SYMBOLS**size).alias("code")).agg(F.count("*").alias("cnt"))
-        out_of = counts.groupBy("lang").agg(*[F.count_if(F.col("cnt") == r).alias(f"n{r}") for r in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        share = lambda r: F.greatest(F.lit(0.0), F.least(F.lit(float(r)), F.coalesce(F.lit(r) - (r + 1) * y * F.try_divide(F.col(f"n{r + 1}"), F.col(f"n{r}")), F.lit(r * 0.5))))
-        discounts = out_of.select("lang", F.when(F.col("n1") + F.col("n2") > 0, share(1)).otherwise(0.5).alias("d1"), F.when(F.col("n1") + F.col("n2") > 0, share(2)).otherwise(1.0).alias("d2"), F.when(F.col("n1") + F.col("n2") > 0, share(3)).otherwise(1.5).alias("d3")) if size else None
-        context = F.floor(F.col("code") / SYMBOLS).cast("int")
-        rows = counts.join(discounts, "lang").withColumn("context", context).withColumn("d", F.when(F.col("cnt") == 1, F.col("d1")).when(F.col("cnt") == 2, F.col("d2")).otherwise(F.col("d3")))
-        totals = rows.groupBy("lang", "context").agg(F.sum("cnt").alias("total"), *[F.sum((F.col("cnt") == 1).cast("int")).alias("k1"), F.sum((F.col("cnt") == 2).cast("int")).alias("k2"), F.sum((F.col("cnt") > 2).cast("int")).alias("k3"), F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.first("d3").alias("d3")])
-        back = (F.col("k1") * F.col("d1") + F.col("k2") * F.col("d2") + F.col("k3") * F.col("d3")) / F.col("total")
-        shares = rows.join(totals.select("lang", "context", "total"), ["lang", "context"]).select("lang", F.lit(size).alias("size"), "code", ((F.col("cnt") - F.col("d")) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("back"))
-        backs = totals.select("lang", F.lit(size - 1).alias("size"), F.col("context").alias("code"), F.lit(None).cast("double").alias("p"), back.alias("back"))
-        part = shares.unionByName(backs)
-        out = part if out is None else out.unionByName(part)
-    return stage(out, "model")
-
-
-def dense(size: np.ndarray, code: np.ndarray, p: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """The log-probability of every n-gram of ORDER symbols, from the model's rows of a language."""
-    lower = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for n in range(1, ORDER + 1):
-        weight = np.ones(SYMBOLS ** (n - 1), np.float32)
-        rows = (size == n - 1) & ~np.isnan(back)
-        weight[code[rows]] = back[rows]
-        # A row for each first symbol: all but that one are the shorter form, as lower has them in order.
-        prob = np.repeat(weight, SYMBOLS).reshape(-1, len(lower))
-        prob *= lower[None, :]
-        prob = prob.ravel()
-        rows = (size == n) & ~np.isnan(p)
-        prob[code[rows]] += p[rows]
-        lower = prob
-    return np.log(np.maximum(lower, np.float32(1e-12), out=lower), out=lower)
-
-
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols and nll (mean negative log-likelihood; null without a text or a model)."""
-    spark, texts = docs.sparkSession, _texts(docs)
-    langs, out = sorted(r[0] for r in model.select("lang").distinct().collect()), None
-    for i in range(0, max(1, len(langs)), LANGS_AT_ONCE):
-        group = langs[i : i + LANGS_AT_ONCE]
-        rows = model.where(F.col("lang").isin(group)).toPandas()  # at most about 2 * SYMBOLS ** ORDER rows a language
-        tables = {lang: tuple(own[c].to_numpy(t) for c, t in (("size", np.int8), ("code", np.int32), ("p", np.float32), ("back", np.float32))) for lang, own in rows.groupby("lang")}
-        sent = spark.sparkContext.broadcast(tables)
-        rest = F.lit(True) if not langs else F.col("lang").isin(group) if i + LANGS_AT_ONCE < len(langs) else ~F.col("lang").isin(langs[:i])
-        scored = texts.where(rest).mapInArrow(_scorer(sent, uuid.uuid4().hex), "doc_id long, lang string, n_symbols long, nll double")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+                own = numbers(text, lang).view(np.int64)
+                if len(own) > 2:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(own) - 1), pa.string()), pa.array(own[:-1]), pa.array(own[1:])], ["lang", "v", "w"])
+
+    return texts.select("text", "lang").mapInArrow(run, "lang string, v long, w long").groupBy("lang", "v", "w").agg(F.count("*").alias("cnt"))
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3 of counts(lang, cnt): what is taken off counts of 1, 2 and more."""
+    of = counts.groupBy("lang").agg(*[F.count_if(F.col("cnt") == r).alias(f"n{r}") for r in (1, 2, 3, 4)])
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+
+    def share(r: int) -> Column:
+        raw = F.lit(float(r)) - (r + 1) * y * F.try_divide(F.col(f"n{r + 1}"), F.col(f"n{r}"))
+        return F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(r)), F.coalesce(raw, F.lit(r * 0.5)))).alias(f"d{r}")
+
+    return of.select("lang", share(1), share(2), share(3))
+
+
+def _off(cnt: Column) -> Column:
+    return F.when(cnt == 1, F.col("d1")).when(cnt == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The weights: lang, v (null: a single word), w, cnt, weight; and for each language lang, unknown."""
+    pairs = stage(count_pairs(texts), "pairs")
+    contexts = pairs.join(checked_broadcast(discounts(pairs)), "lang").withColumn("off", _off(F.col("cnt")))
+    contexts = contexts.groupBy("lang", F.col("v").alias("word")).agg(F.sum("cnt").alias("total"), (F.sum("off") / F.sum("cnt")).alias("left"), F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.first("d3").alias("d3"))
+    contexts = stage(contexts, "contexts")
+    follow = stage(pairs.groupBy("lang", F.col("w").alias("word")).agg(F.count("*").alias("cnt")), "continuations")
+    lower = discounts(follow).join(follow.groupBy("lang").agg(F.sum("cnt").alias("sum"), F.count("*").alias("words")), "lang")
+    marked = follow.join(checked_broadcast(lower), "lang").withColumn("off", _off(F.col("cnt")))
+    unknown = stage(marked.groupBy("lang").agg(F.log(F.sum("off") / F.first("sum") / (F.first("words") + 1)).alias("unknown")), "unknown")
+    single = marked.join(checked_broadcast(unknown), "lang").select("lang", "word", "unknown", ((F.col("cnt") - F.col("off")) / F.col("sum") + F.exp("unknown")).alias("p"))
+    single = stage(single, "single")
+    both = contexts.join(single, ["lang", "word"], "full").select("lang", F.lit(None).cast("long").alias("v"), F.col("word").alias("w"), F.coalesce("total", F.lit(1)).alias("cnt"), (F.coalesce(F.log("left"), F.lit(0.0)) + F.coalesce(F.log("p") - F.col("unknown"), F.lit(0.0))).alias("weight"))
+    joined = pairs.join(checked_broadcast(contexts.withColumnRenamed("word", "v")), ["lang", "v"]).join(checked_broadcast(single.withColumnRenamed("word", "w").drop("unknown")), ["lang", "w"])
+    p = (F.col("cnt") - _off(F.col("cnt"))) / F.col("total") + F.col("left") * F.col("p")
+    known = joined.select("lang", "v", "w", "cnt", (F.log(p) - F.log("left") - F.log("p")).alias("weight"))
+    out = stage(both.unionByName(known), "weights")
+    for table in (pairs, contexts, follow, single):
+        drop_staged(table)
+    return out, unknown
 
 
-def _scorer(sent, name: str):
+def keyed(weights: DataFrame) -> DataFrame:
+    """key, cnt and weight of the model's weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            n, nll = [], []
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = len(text.encode())
-                n.append(raw)
-                if not raw or lang not in sent.value:
-                    nll.append(None)
-                    continue
-                table = _tables.get((name, lang))
-                if table is None:
-                    if len(_tables) >= LANGS_AT_ONCE or any(k[0] != name for k in _tables):
-                        _tables.clear()
-                    table = _tables[name, lang] = dense(*sent.value[lang])
-                nll.append(-sum(float(table[code].sum(dtype=np.float64)) for code in codes(text)) / (raw + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.string()), pa.array(n, pa.int64()), pa.array(nll, pa.float64())], ["doc_id", "lang", "n_symbols", "nll"])
+        for batch in batches:
+            alone, (v, w) = batch.column(0).is_null().to_numpy(False), (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
+            key = np.where(alone, word_keys(w), pair_keys(v, w))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3).cast(pa.float32())], ["key", "cnt", "weight"])
+
+    return weights.select("v", "w", "cnt", "weight").mapInArrow(run, "key long, cnt long, weight float")
+
+
+def _place(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each key, and what tells it there."""
+    return (keys & np.uint64(0xFFFFFFFF)) % np.uint64(shards), (keys >> np.uint64(32)).astype(np.uint32)
+
+
+def _looked_up(keys: np.ndarray, weights: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of asked in sorted keys (0 if absent), and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.float32), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    there = keys[at] == asked
+    return np.where(there, weights[at], np.float32(0)), there
+
+
+_PACK = "slot int, kind int, block long, keys binary, ends binary, doc_id array<long>, lang array<string>, n_words array<long>, own array<double>"
+
+
+def _rows(of: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*of), kinds)], [x.split()[0] for x in _PACK.split(", ")])
+
+
+def _packs(hot, shards: int, salts: int):
+    """Blocks of (doc_id, text, lang) to a row (kind 2) of the documents with what the hot weights give them, and a row
+    (kind 1) for each shard: four bytes for each key, and at which key each document ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights = hot.value
+        first = TaskContext.get().partitionId() << 32
+        for i, part in enumerate(parts(batches, BLOCK)):
+            block, ids, langs = first + i, part.column(0).to_pylist(), part.column(2).to_pylist()
+            sizes, own, cold, of = [], [], [], []
+            for j, (text, lang) in enumerate(zip(part.column(1).to_pylist(), langs)):
+                w = numbers(text, lang)
+                sizes.append(len(w) - 2)
+                asked = np.concatenate((word_keys(w), pair_keys(w[:-1], w[1:]))) if len(w) > 2 else w[:0]
+                found, there = _looked_up(keys, weights, asked)
+                own.append(float(found.sum(dtype=np.float64)))
+                cold.append(asked[~there])
+                of.append(np.full(len(cold[-1]), j, np.int64))
+            place, rest = _place(np.concatenate(cold), shards)
+            order = np.argsort(place.astype(np.uint16 if shards < 1 << 16 else np.uint64), kind="stable")
+            place, rest, of = place[order], rest[order], np.concatenate(of)[order]
+            salt = block % salts
+            yield _rows([(int(block % shards) * salts + salt, 2, block, None, None, ids, langs, sizes, own)])
+            starts = np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64))
+            out = []
+            for s in np.flatnonzero(np.diff(starts)):
+                here = slice(starts[s], starts[s + 1])
+                ends = np.cumsum(np.bincount(of[here], minlength=len(ids))).astype(np.uint32)
+                out.append((int(s) * salts + salt, 1, block, rest[here].tobytes(), ends.tobytes(), None, None, None, None))
+                if len(out) == 64:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of slots: a shard's weights (kind 0), then packs, which become partial sums by document."""
+    slot, keys, weights = None, np.zeros(0, np.uint32), np.zeros(0, np.float32)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {f.name: batch.column(k)[i] for k, f in enumerate(batch.schema)}
+            if slot != row["slot"].as_py():
+                slot, keys, weights = row["slot"].as_py(), keys[:0], weights[:0]
+            kind = row["kind"].as_py()
+            if kind == 0:
+                keys, weights = (np.frombuffer(row[c].as_py(), t) for c, t in (("keys", np.uint32), ("ends", np.float32)))
+            elif kind == 2:
+                yield batch.slice(i, 1).select(["block", "ends", "doc_id", "lang", "n_words", "own"])
+            else:
+                found, _ = _looked_up(keys, weights, np.frombuffer(row["keys"].as_py(), np.uint32))
+                upto = np.concatenate(([0.0], np.cumsum(found, dtype=np.float64)))[np.frombuffer(row["ends"].as_py(), np.uint32)]
+                sums = np.diff(upto, prepend=0.0).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), pa.array([sums], pa.binary()), *[batch.column(k).slice(i, 1) for k in range(5, 9)]], ["block", "ends", "doc_id", "lang", "n_words", "own"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The rows of a block to its documents."""
+    base = next(r for r in table.to_pylist() if r["doc_id"] is not None)
+    total = np.array(base["own"], np.float64)
+    for x in table.column("ends"):
+        if x.is_valid:
+            total = total + np.frombuffer(x.as_py(), np.float32)
+    return pa.table({"doc_id": pa.array(base["doc_id"], pa.int64()), "lang": pa.array(base["lang"], pa.string()), "n_words": pa.array(base["n_words"], pa.int64()), "known": pa.array(total)})
+
+
+def _packed(shards: int, salts: int):
+    """A shard's rows (shard, rest, weight) to one row for each of its slots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rest, weight = table.column("rest").to_numpy().view(np.int64).astype(np.uint32), table.column("weight").to_numpy()
+        order, s = np.argsort(rest, kind="stable"), table.column("shard")[0].as_py()
+        keys, weights = rest[order].tobytes(), weight[order].astype(np.float32).tobytes()
+        return pa.Table.from_batches([_rows([(s * salts + k, 0, -1, keys, weights, None, None, None, None)]) for k in range(salts)])
 
     return run
 
 
-#: Tables of the model at hand, in a Python worker.
-_tables: dict = {}
+def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int = HOT, shard_rows: int = SHARD) -> DataFrame:
+    """doc_id, lang, n_words and nll (mean negative log-likelihood of a word; null without words or a model)."""
+    spark, texts = docs.sparkSession, _texts(docs)
+    model = stage(keyed(weights), "keys")
+    # The least count with at most hot_rows weights at or above it; counts are few different numbers.
+    counts, least, rows = model.groupBy("cnt").agg(F.count("*").alias("n")).orderBy(F.desc("cnt")).toLocalIterator(), None, 0
+    for r in counts:
+        if rows + r["n"] > hot_rows:
+            break
+        least, rows = r["cnt"], rows + r["n"]
+    n = model.count() - rows
+    commonest = model.where(F.col("cnt") >= least).select("key", "weight").toArrow() if rows else None
+    keys = commonest.column("key").to_numpy().view(np.uint64) if rows else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((keys[order], commonest.column("weight").to_numpy()[order] if rows else np.zeros(0, np.float32)))
+    shards = max(1, math.ceil(n / shard_rows))
+    salts = max(1, math.ceil(texts.rdd.getNumPartitions() / shards))
+    cold = model if least is None else model.where(F.col("cnt") < least)
+    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    shares = cold.select((low % shards).cast("int").alias("shard"), F.shiftrightunsigned("key", 32).alias("rest"), "weight").groupBy("shard").applyInArrow(_packed(shards, salts), _PACK)
+    packs = texts.mapInArrow(_packs(hot, shards, salts), _PACK)
+    dealt = packs.union(shares).repartition(shards * salts, "slot").sortWithinPartitions("slot", "kind")
+    sums = dealt.mapInArrow(_sums, "block long, ends binary, doc_id array<long>, lang array<string>, n_words array<long>, own array<double>")
+    total = sums.groupBy("block").applyInArrow(_added, "doc_id long, lang string, n_words long, known double")
+    nll = -(F.col("known") / (F.col("n_words") + 1) + F.col("unknown"))
+    out = total.join(checked_broadcast(unknown), "lang", "left").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, nll).alias("nll"))
+    out = stage(out, "scores")
+    drop_staged(model)
+    return out
+
 
+def limits(scored: DataFrame, trusted: DataFrame, share: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
+    """lang, mean (of a word), low and high.
 
-def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """lang, length (class; -1: all) and limit: the quantile of the trusted documents' rounded scores, plus the margin."""
+    high is a quantile, plus the margin, of trusted documents that the model hasn't seen; low one of all, less the margin.
+    """
     own = scored.join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi").where("nll is not null")
-    own = own.select("lang", F.explode(F.array("length", F.lit(-1))).alias("length"), "bin")
-    bins = own.groupBy("lang", "length", "bin").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("lang", "length").orderBy("bin")
-    placed = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "length")))
-    return placed.where(F.col("upto") >= F.ceil(F.lit(quantile) * F.col("all"))).groupBy("lang", "length").agg((F.min("bin") / 1000 + margin).alias("limit"))
+    new, words = drawn(own, share, False), F.col("n_words") + 1
+    means = stage(new.groupBy("lang").agg((F.sum(F.col("nll") * words) / F.sum(words)).alias("mean")), "means")
+    rated = lambda df, q: df.join(checked_broadcast(means), "lang").groupBy("lang", "mean").agg(F.percentile(F.round(rating(prior), 3), F.lit(q)).alias("q"))
+    low = rated(own, 1 - quantile).select("lang", (F.col("q") - margin).alias("low"))
+    return rated(new, quantile).select("lang", "mean", (F.col("q") + margin).alias("high")).join(checked_broadcast(low), "lang")
+
+
+def rating(prior: int = PRIOR) -> Column:
+    """The mean over a document's words and prior words of its language's average."""
+    words = F.col("n_words") + 1
+    return (F.col("nll") * words + F.col("mean") * prior) / (words + prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """A row for each document: doc_id, lang, n_symbols, perplexity, threshold (as a perplexity) and kept."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, chars: int = TRAINING_CHARS) -> DataFrame:
+    """A row for each document: doc_id, lang, n_words, perplexity, score, low, high (limits of the score) and kept."""
     trusted = stage(trusted_ids(labels), "trusted")
-    model = train(_texts(docs).join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi"))
-    length = F.floor(F.log(float(LENGTH_STEP), F.greatest("n_symbols", F.lit(1)).cast("double")) + 1e-9).cast("int")
-    scored = stage(score(docs, model).withColumn("length", length).withColumn("bin", F.floor(F.col("nll") * 1000 + 0.5).cast("long")), "scores")
-    limits = stage(thresholds(scored, trusted, quantile, margin), "thresholds")
-    kept = F.when(F.col("n_symbols") == 0, False).otherwise(F.coalesce(F.col("bin") / 1000 <= F.col("limit"), F.lit(True)))
-    whole = limits.where("length = -1").select("lang", F.col("limit").alias("whole"))
-    judged = scored.join(checked_broadcast(limits), ["lang", "length"], "left").join(checked_broadcast(whole), "lang", "left").withColumn("limit", F.coalesce("limit", "whole"))
-    return judged.select("doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    known = _texts(docs).join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi")
+    share = stage(shares(known, chars), "shares")
+    weights, unknown = train(drawn(known, share))
+    scored = score(docs, weights, unknown)
+    drop_staged(weights)
+    bounds = stage(limits(scored, trusted, share, quantile, margin), "limits")
+    judged = scored.join(checked_broadcast(bounds), "lang", "left").withColumn("score", F.round(rating(), 3))
+    kept = F.when(F.col("n_words") == 0, False).otherwise(F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True)))
+    return judged.select("doc_id", "lang", "n_words", F.exp("nll").alias("perplexity"), "score", "low", "high", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    bad = stage(classify(docs, labels).where("not kept").select("doc_id").distinct(), "rejected")
-    return docs.join(checked_broadcast(bad, TRUSTED_ROWS), "doc_id", "left_anti")
+    bad = stage(classify(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return docs.join(checked_broadcast(bad, TRUSTED_ROWS), column(docs, "doc_id").cast("long") == bad["doc_id"], "left_anti")

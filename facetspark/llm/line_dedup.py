@@ -6,8 +6,9 @@ task more than any other. Lines whose estimate is clear of the threshold are dec
 it get exact distinct counts in a second pass over them alone. Of a boilerplate line, the first place (the least
 doc_id, then position) stays and all others go, so no content is lost.
 
-Lines end at \\n and are compared without the spaces, tabs and carriage returns around them; those with fewer than
-`MIN_WORDS` words are never removed. Hashes have 96 bits.
+Lines end at \\n and are compared without the spaces, tabs and carriage returns around them. The count of sites alone
+decides, for short lines and for scripts without spaces as for all others; only blank lines are never removed. Hashes
+have 96 bits.
 
 Defined results: a null source is no site; a null text stays null, an empty one stays empty; equal rows (of one doc_id
 and text) are treated alike, and a kept first place is kept in all of them; texts of any length are one row's work,
@@ -20,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import checked_broadcast, once, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, once, stage
 
 MIN_SITES = 10
-MIN_WORDS = 3
 LG_K = 12
 #: Relative half-width of the band in which lines get exact counts: over 15 standard errors of the sketch.
 BAND = 0.25
@@ -32,7 +32,7 @@ BAND = 0.25
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, mark, pos, key, check and the columns of more, a row for each line that may be removed."""
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    bare = rows.withColumn("line", F.expr("trim(BOTH ' \t\r' FROM line)")).where(F.col("line").rlike(r"^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){" + str(MIN_WORDS - 1) + r"}[^\x20\x09-\x0D]"))
+    bare = rows.withColumn("line", F.expr("trim(BOTH ' \t\r' FROM line)")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return bare.select("doc_id", "mark", "pos", *more, F.xxhash64("line").alias("key"), F.hash("line").alias("check"))
 
 
@@ -47,7 +47,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
     near = spread.where(F.col("estimate") <= min_sites * (1 + band) + 1)
     exact = lines.join(checked_broadcast(near.select("key", "check")), ["key", "check"]).groupBy("key", "check").agg(F.count_distinct("source").alias("n_sites"))
     counted = near.join(exact.where(F.col("n_sites") >= min_sites).select("key", "check"), ["key", "check"], "left_semi")
-    return stage(sure.unionByName(counted).select("key", "check", "first"), "boilerplate")
+    out = stage(sure.unionByName(counted).select("key", "check", "first"), "boilerplate")
+    drop_staged(spread)
+    return out
 
 
 def _without(lines: Column, drops: Column) -> Column:
@@ -59,14 +61,14 @@ def _without(lines: Column, drops: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, counts: bool = False) -> DataFrame:
     """docs with all their columns, text without repeated boilerplate; counts adds n_lines and n_removed."""
-    extra = ("source",)
-    own = docs.select(*[F.col(f"`{c}`") for c in ("doc_id", "text", *extra)])
+    own = as_documents(docs, ["doc_id", "text", "source"])
     table = checked_broadcast(boilerplate(own, min_sites, band))
     hits = _lines(own).join(table, ["key", "check"])
     elsewhere = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("pos") != F.col("first.pos"))
-    drops = hits.where(elsewhere).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set("pos")).alias("_drops"))
-    joined = docs.join(drops, (docs["doc_id"] == drops["_doc"]) & (F.xxhash64(docs["text"]) == drops["_mark"]), "left")
-    joined = joined.withColumn("_lines", once(F.split("text", "\n")))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("_lines"), F.col("_drops")), "\n"))
-    more = [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *more)
+    of, mark, at, split = (fresh(docs, name) for name in ("of_document", "of_text", "drop_at", "split_lines"))
+    drops = hits.where(elsewhere).groupBy(F.col("doc_id").alias(of), F.col("mark").alias(mark)).agg(F.sort_array(F.collect_set("pos")).alias(at))
+    joined = docs.join(drops, (docs["doc_id"] == drops[of]) & (F.xxhash64(docs["text"]) == drops[mark]), "left")
+    joined = joined.withColumn(split, once(F.split("text", "\n")))
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(_without(F.col(split), F.col(at)), "\n"))
+    more = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    return joined.select(*[text.alias("text") if c == "text" else column(docs, c) for c in docs.columns], *more)

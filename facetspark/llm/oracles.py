@@ -36,7 +36,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _op4() -> str:
-    words = rf"^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{line_dedup.MIN_WORDS - 1}}}[^\x20\x09-\x0D]"
+    words = r"[^\x20\x09-\x0D]"
     return f"""WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
 b AS (SELECT key, min(doc_id * 10000000 + pos) AS first FROM k WHERE regexp_matches(key, '{words}') GROUP BY key HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
 r AS (SELECT k.*, first IS NOT NULL AND first <> doc_id * 10000000 + pos AS gone FROM k LEFT JOIN b USING (key))

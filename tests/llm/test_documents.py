@@ -113,7 +113,7 @@ def test_personal_data(docs, rows):
 @pytest.mark.parametrize(("min_sites", "band"), [(5, 0.25), (5, 0.0), (2, 0.25), (1000, 0.25)])
 def test_line_dedup(docs, rows, min_sites, band):
     sites, first = defaultdict(set), {}
-    may = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 3
+    may = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 1
     marks = {t: i for i, (t, *_) in enumerate((r[1],) for r in rows)}
     for i, t, _, source, *_ in rows:
         for p, x in enumerate((t or "").split("\n")):
@@ -132,8 +132,21 @@ def test_line_dedup(docs, rows, min_sites, band):
     assert marks and as_set(line_dedup.dedup_lines(docs, min_sites, band).select("doc_id", "text")) == expected
 
 
-def test_line_dedup_keeps_other_columns(docs):
-    assert line_dedup.dedup_lines(docs, 5).columns == docs.columns
+CLASHES = ["_lines", "_drops", "_doc", "_mark", "of_document", "Of_Text", "drop_at", "split_lines", "a.b", "_n", "_kept", "class", "rank", "_row", "doc"]
+
+
+def test_columns_of_all_names_pass_through(docs):
+    more = docs
+    for c in CLASHES:
+        more = more.withColumn(c, F.col("doc_id"))
+    for step in (lambda df: line_dedup.dedup_lines(df, 5), simhash.first_of_group, decontamination_of_nothing, lambda df: language_model.keep_good(df, df.selectExpr("doc_id", "1 AS quality"))):
+        got = step(more)
+        assert got.columns == more.columns
+        assert got.count() and got.where(" or ".join(f"not `{c}` <=> doc_id" for c in CLASHES)).count() == 0
+
+
+def decontamination_of_nothing(df):
+    return decontamination.clean(df, df.sparkSession.createDataFrame([(1, "no such words anywhere at all")], "item_id long, text string"))
 
 
 @pytest.mark.parametrize("shingle", [3, 5])
@@ -301,53 +314,57 @@ def test_decontamination(spark, docs, rows):
 
 
 def brute_force_model(texts):
-    """Interpolated modified Kneser-Ney over symbols, by its formulas."""
-    grams = Counter(tuple(s[i : i + 4]) for t in texts for s in [[0] * 3 + [language_model.classes()[b] for b in t.encode()] + [0]] for i in range(len(s) - 3))
-    counts = {4: grams}
-    for n in (3, 2, 1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    discount = {}
-    for n, c in counts.items():
-        of = Counter(c.values())
-        if of[1] + of[2] == 0:
-            discount[n] = (0.5, 1.0, 1.5)
-            continue
-        y = of[1] / (of[1] + 2 * of[2])
-        discount[n] = tuple(max(0.0, min(float(k), k - (k + 1) * y * of[k + 1] / of[k] if of[k] else k / 2)) for k in (1, 2, 3))
-    total, back = defaultdict(int), defaultdict(float)
-    for n, c in counts.items():
-        for g, k in c.items():
-            total[g[:-1], n] += k
-            back[g[:-1], n] += discount[n][min(k, 3) - 1]
-
-    def p(g):
-        if not g:
-            return 1 / language_model.SYMBOLS
-        n, h = len(g), g[:-1]
-        if not total[h, n]:
-            return p(g[1:])
-        k = counts[n][g]
-        return (k - discount[n][min(k, 3) - 1] if k else 0) / total[h, n] + back[h, n] / total[h, n] * p(g[1:])
-
+    """Interpolated modified Kneser-Ney over pairs of words, by its formulas: the probability of a word after another."""
+    pairs = Counter(p for t in texts for s in [["<", *t.split(), ">"]] if len(s) > 2 for p in zip(s, s[1:]))
+    before = Counter(w for _, w in pairs)
+
+    def discounts(counts):
+        of = Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else None
+        return [max(language_model.LEAST_DISCOUNT, min(float(k), k - (k + 1) * y * of[k + 1] / of[k] if of[k] and y is not None else k / 2)) for k in (1, 2, 3)]
+
+    high, low = discounts(pairs), discounts(before)
+    off = lambda d, k: d[min(k, 3) - 1] if k else 0
+    n = sum(before.values())
+    unknown = sum(off(low, k) for k in before.values()) / n / (len(before) + 1)
+
+    def p(v, w):
+        own = {x: k for (u, x), k in pairs.items() if u == v}
+        shorter = (before[w] - off(low, before[w])) / n + unknown
+        if not own:
+            return shorter
+        total = sum(own.values())
+        return (own.get(w, 0) - off(high, own.get(w, 0))) / total + sum(off(high, k) for k in own.values()) / total * shorter
+
+    p.words = [*before, "never seen"]
     return p
 
 
-def test_language_model_against_its_formulas(spark):
-    train = ["the stone, the river", "the rivers\nof Stone 12"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(train)], "doc_id long, text string, lang string")
-    p = brute_force_model(train)
-    model = language_model.train(docs)
-    probe = [*train, "$$$ unseen", "a", "", None]
-    scored = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame([(i, t, "en") for i, t in enumerate(probe)], "doc_id long, text string, lang string"), model).collect()}
-    for i, t in enumerate(probe):
-        if not t:
-            assert scored[i]["nll"] is None
-            continue
-        s = [0] * 3 + [language_model.classes()[b] for b in t.encode()] + [0]
-        expected = -sum(math.log(p(tuple(s[k : k + 4]))) for k in range(len(s) - 3)) / (len(s) - 3)
-        assert scored[i]["nll"] == pytest.approx(expected, abs=2e-5)
-    every = sum(p((1, 2, 3, k)) for k in range(language_model.SYMBOLS))
-    assert every == pytest.approx(1)
+TRAIN = ["the stone, the river", "the rivers\nof Stone 12", "of the river of the stone of the river", "the the stone", "", "a river a stone a hill of the hill"]
+
+
+@pytest.mark.parametrize(("hot", "shard", "block"), [(1 << 19, 1 << 18, 500), (0, 3, 2), (6, 1 << 18, 1), (4, 2, 500)])
+def test_language_model_against_its_formulas(spark, monkeypatch, hot, shard, block):
+    """However many weights are broadcast or stand in a shard, and in however many blocks the documents are."""
+    monkeypatch.setattr(language_model, "BLOCK", block)
+    rows = [(i, t, lang) for lang in ("en", "de") for i, t in enumerate(TRAIN if lang == "en" else TRAIN[:2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    weights, unknown = language_model.train(docs)
+    probe = [*TRAIN, "$$$ unseen", "a", "of of of of", None, " ", "the stone " * 500]
+    df = spark.createDataFrame([(100 * k + i, t, lang) for k, lang in enumerate(("en", "de", "xx")) for i, t in enumerate(probe)], "doc_id long, text string, lang string").repartition(3)
+    scored = language_model.score(df, weights, unknown, hot, shard).collect()
+    assert len(scored) == 3 * len(probe)
+    models = {"en": brute_force_model(TRAIN), "de": brute_force_model(TRAIN[:2])}
+    for r in scored:
+        words = (probe[r["doc_id"] % 100] or "").split()
+        assert r["n_words"] == len(words) and r["lang"] == ("en", "de", "xx")[r["doc_id"] // 100]
+        if not words or r["lang"] == "xx":
+            assert r["nll"] is None
+        else:
+            s = ["<", *words, ">"]
+            assert r["nll"] == pytest.approx(-sum(math.log(models[r["lang"]](*x)) for x in zip(s, s[1:])) / (len(s) - 1), abs=1e-4)
+    for v in ("the", "of", "never seen"):
+        assert sum(models["en"](v, w) for w in models["en"].words) == pytest.approx(1)
 
 
 def test_classifier(spark, docs, none):
@@ -357,22 +374,39 @@ def test_classifier(spark, docs, none):
     labels = spark.createDataFrame([(i, 1 if i < 50 else None) for i in range(60)] + [(0, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     kept = {x["doc_id"]: x["kept"] for x in language_model.classify(df, labels).collect()}
-    assert all(kept[i] for i in range(60)) and not any(kept[100 + i] for i in range(10))
+    assert sum(kept[i] for i in range(60)) >= 58 and not any(kept[100 + i] for i in range(10))
     assert not kept[200] and kept[201] and kept[202]
     left = language_model.keep_good(df, labels)
-    assert left.columns == df.columns and left.count() == 62
+    assert left.columns == df.columns and left.count() == sum(kept.values())
     assert language_model.classify(docs, labels).count() == docs.count()
     assert language_model.classify(none, labels.limit(0)).count() == 0
-    assert language_model.classify(docs, labels.limit(0)).where("kept").count() == docs.where("length(text) > 0").count()
-
-
-def test_languages_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "LANGS_AT_ONCE", 2)
-    df = spark.createDataFrame([(i, f"text number {i} of some words", f"l{i % 5}") for i in range(20)], "doc_id long, text string, lang string")
-    model = language_model.train(df)
-    once = {r["doc_id"]: r["nll"] for r in language_model.score(df, model).collect()}
-    monkeypatch.setattr(language_model, "LANGS_AT_ONCE", 8)
-    assert once == {r["doc_id"]: r["nll"] for r in language_model.score(df, model).collect()} and None not in once.values()
+    assert language_model.classify(docs, labels.limit(0)).where("kept").count() == docs.where("text rlike '[^ \\n\\t]'").count()
+
+
+def test_limits_are_quantiles_by_language(spark):
+    sf = "/root/testdata/sf0.01"
+    df, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = language_model.trusted_ids(labels)
+    known = language_model._texts(df).join(trusted, "doc_id", "left_semi")
+    share = language_model.shares(known)
+    seen = {r["doc_id"] for r in language_model.drawn(known, share).collect()}
+    ids = {r["doc_id"] for r in trusted.collect()}
+    out = [r for r in language_model.classify(df, labels).collect()]
+    for lang in {r["lang"] for r in out}:
+        own = [r for r in out if r["lang"] == lang and r["doc_id"] in ids and r["perplexity"] is not None]
+        new = [r for r in own if r["doc_id"] not in seen]
+        mean = sum(math.log(r["perplexity"]) * (r["n_words"] + 1) for r in new) / sum(r["n_words"] + 1 for r in new)
+        score = lambda r: round((math.log(r["perplexity"]) * (r["n_words"] + 1) + mean * language_model.PRIOR) / (r["n_words"] + 1 + language_model.PRIOR), 3)  # noqa: E731, B023
+        q = language_model.QUANTILE
+        low, high = np.quantile([score(r) for r in own], 1 - q) - language_model.MARGIN, np.quantile([score(r) for r in new], q) + language_model.MARGIN
+        assert 0 < len(new) < len(own)
+        for r in out:
+            if r["lang"] == lang:
+                assert (r["low"], r["high"]) == (pytest.approx(low, abs=2e-3), pytest.approx(high, abs=2e-3))
+                assert r["kept"] == (r["perplexity"] is not None and r["low"] <= r["score"] <= r["high"])
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+    kept = {r["doc_id"] for r in out if r["kept"]}
+    assert len(bad - kept) >= 0.6 * len(bad) and len(ids & kept) >= 0.99 * len(ids)
 
 
 def test_empty_tables(spark, none):
