@@ -15,8 +15,8 @@ Scoring. The log-probability of a document is a sum over its words and pairs: wi
 
 all that no count knows weighs 0, and every word adds log p(unknown word). So each document is joined, as counts, with
 the weights of its words and pairs. The commonest of these, at most `HOT`, are broadcast, which leaves no hot key to the
-join; the rest is dealt into shards of about `SHARD` weights each. A task packs, for each shard, the keys of a block of
-documents (four bytes each; with the shard they tell the key up to one chance in 16,000 that a key unknown to the model
+join; the rest is dealt into shards of about `SHARD` weights each, and a filter of fixed size, broadcast too, leaves out
+most keys that no shard has. A task packs, for each shard, the keys of a block of documents (four bytes each; with the shard they tell the key up to one chance in 16,000 that a key unknown to the model
 is taken for another). Sorted behind its shard's weights, a pack becomes partial sums, which are added up by block.
 Shards are dealt over as many tasks as the input has parts, so that their size doesn't grow with the corpus; all
 documents are scored, over whole texts.
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, stage
 
 #: Characters of trusted text a language, about, from which the model is counted.
-TRAINING_CHARS = 12_000_000
+TRAINING_CHARS = 4_000_000
 #: Quantiles of the trusted documents' scores between which documents are kept, and nats added on either side.
 QUANTILE = 0.999
 MARGIN = 0.05
@@ -60,6 +60,9 @@ PRIOR = 20
 HOT = 1 << 19
 SHARD = 1 << 18
 TRUSTED_ROWS = 4_000_000
+#: A bit for each key by its first bits, 8 MB in all, tells most keys that the shards don't have; a page is a task's share.
+FILTER_BITS = 26
+PAGE_BITS = 16
 #: Documents in a block.
 BLOCK = 500
 #: Least discount, so that every context leaves a share to words not seen in it.
@@ -197,7 +200,7 @@ def _packs(hot, shards: int, salts: int):
     (kind 1) for each shard: four bytes for each key, and at which key each document ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights = hot.value
+        keys, weights, bits = hot.value
         first = TaskContext.get().partitionId() << 32
         for i, part in enumerate(parts(batches, BLOCK)):
             block, ids, langs = first + i, part.column(0).to_pylist(), part.column(2).to_pylist()
@@ -208,7 +211,9 @@ def _packs(hot, shards: int, salts: int):
                 asked = np.concatenate((word_keys(w), pair_keys(w[:-1], w[1:]))) if len(w) > 2 else w[:0]
                 found, there = _looked_up(keys, weights, asked)
                 own.append(float(found.sum(dtype=np.float64)))
-                cold.append(asked[~there])
+                asked = asked[~there]
+                at = asked >> np.uint64(64 - FILTER_BITS)
+                cold.append(asked[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1])
                 of.append(np.full(len(cold[-1]), j, np.int64))
             place, rest = _place(np.concatenate(cold), shards)
             order = np.argsort(place.astype(np.uint16 if shards < 1 << 16 else np.uint64), kind="stable")
@@ -272,6 +277,23 @@ def _packed(shards: int, salts: int):
     return run
 
 
+def _page(table: pa.Table) -> pa.Table:
+    """The places of keys within a page of the filter to the page's bits."""
+    bits = np.zeros(1 << PAGE_BITS, np.uint8)
+    place = table.column("place").to_numpy()
+    bits[place & ((1 << PAGE_BITS) - 1)] = 1
+    return pa.table({"page": pa.array([int(place[0]) >> PAGE_BITS], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    place = F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int")
+    pages = keys.select(place.alias("place")).distinct().groupBy(F.shiftright("place", PAGE_BITS)).applyInArrow(_page, "page int, bits binary")
+    out = np.zeros((1 << (FILTER_BITS - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
+    for r in pages.toLocalIterator():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int = HOT, shard_rows: int = SHARD) -> DataFrame:
     """doc_id, lang, n_words and nll (mean negative log-likelihood of a word; null without words or a model)."""
     spark, texts = docs.sparkSession, _texts(docs)
@@ -286,10 +308,10 @@ def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int
     commonest = model.where(F.col("cnt") >= least).select("key", "weight").toArrow() if rows else None
     keys = commonest.column("key").to_numpy().view(np.uint64) if rows else np.zeros(0, np.uint64)
     order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], commonest.column("weight").to_numpy()[order] if rows else np.zeros(0, np.float32)))
+    cold = model if least is None else model.where(F.col("cnt") < least)
+    hot = spark.sparkContext.broadcast((keys[order], commonest.column("weight").to_numpy()[order] if rows else np.zeros(0, np.float32), _filter(cold)))
     shards = max(1, math.ceil(n / shard_rows))
     salts = max(1, math.ceil(texts.rdd.getNumPartitions() / shards))
-    cold = model if least is None else model.where(F.col("cnt") < least)
     low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
     shares = cold.select((low % shards).cast("int").alias("shard"), F.shiftrightunsigned("key", 32).alias("rest"), "weight").groupBy("shard").applyInArrow(_packed(shards, salts), _PACK)
     packs = texts.mapInArrow(_packs(hot, shards, salts), _PACK)
