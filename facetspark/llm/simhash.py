@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, parts, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -43,7 +43,7 @@ SIMILAR = 0.8
 SAMPLE = 5000
 OFTEN = 8
 #: How many of a group its texts are compared with, round by round; in the last, all.
-FIRST = (1, 16, None)
+FIRST = (16, None)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows of a group up to which they are compared one by one.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long), a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -280,20 +280,20 @@ def _shingle_numbers(words: list[str]) -> np.ndarray:
 
 
 def _frequent(texts: DataFrame, n: int) -> np.ndarray:
-    """Numbers of shingles that `OFTEN` or more of about `SAMPLE` texts hold."""
+    """Numbers of shingles that `OFTEN` or more of about `SAMPLE` texts(node, text) hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             for t in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_numbers(_words(t.as_py())).view(np.int64))], ["key"])
 
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    found = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN).select("key").toPandas()
-    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0)
+    found = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
 
 
-def _prefixes(texts: DataFrame, n: int, least: float) -> DataFrame:
-    """key, doc_id, size and pos: the shingles of each text's prefix, at their places in its order.
+def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
+    """node, fp (word fingerprint), size (shingles) and keys (the shingles of the prefix, in order) of texts(node, text).
 
     All texts order their shingles alike, frequent ones last. Of two texts with a similarity of least or more, each has
     at most size - least * size shingles without the other, so the first that they share is in both prefixes.
@@ -302,76 +302,133 @@ def _prefixes(texts: DataFrame, n: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            keys, ids, sizes, places = [np.zeros(0, np.uint64)], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = _shingle_numbers(_words(t.as_py()))
-                if not len(own):
-                    continue
+            fps, sizes, keys = [], [], []
+            for t in batch.column(1):
+                words = _words(t.as_py())
+                own = _shingle_numbers(words)
                 often = np.isin(own, sent.value)
-                take = len(own) - math.ceil(least * len(own) - 1e-6) + 1
-                keys.append(np.concatenate((own[~often], own[often]))[:take])
-                ids.append(i)
+                take = len(own) - math.ceil(least * len(own) - 1e-6) + 1 if len(own) else 0
+                fps.append(word_fingerprint(words))
                 sizes.append(len(own))
-                places.append(len(keys[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), places)), pa.array(np.repeat(np.array(sizes, np.int32), places)), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in places]]))], ["key", "doc_id", "size", "pos"])
+                keys.append(np.concatenate((own[~often], own[often]))[:take])
+            ends = np.cumsum([0, *map(len, keys)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed], ["node", "fp", "size", "keys"])
 
-    return texts.mapInArrow(run, "key long, doc_id long, size int, pos int")
+    return texts.mapInArrow(run, "node long, fp long, size int, keys array<long>")
 
 
-def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id and component_id: classes of documents that are similar() to one another, directly or by way of others.
-
-    Exact: no fingerprint decides. Texts with the same words in the same order are one class from the start. Of the
-    others, those that share a shingle of their prefixes (_prefixes) are compared, but for pairs whose sizes or places
-    of that shingle rule a similarity of least out. A group of texts with one shingle is first compared with the one of
-    them that shares most, then with the first few, then all with all; pairs that are in one class by then are left out,
-    so that n copies of one text make about n comparisons, and in the end every pair is compared or in one class.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            marks = [xxhash.xxh3_128_digest(" ".join(_words(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["doc_id", "mark"])
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs(u, v) of nodes, those whose texts(node, text) are similar()."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
             keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
-    texts = as_documents(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = stage(texts.mapInArrow(run, "doc_id long, mark binary"), "marks")
-    nodes = stage(marked.groupBy("mark").agg(F.min("doc_id").alias("node")), "nodes")
-    own = texts.join(checked_broadcast(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    by_key = Window.partitionBy("key")
-    met = stage(_prefixes(own, nodes.count(), least).withColumn("n", F.count("*").over(by_key)).where("n > 1"), "prefixes")
-    weights = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    ranked = stage(met.join(weights, "doc_id").withColumn("rank", F.row_number().over(by_key.orderBy(F.desc("weight"), "doc_id"))).drop("weight"), "ranked")
+    asked = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+    some = texts.join(checked_broadcast(asked), "node", "left_semi")
+    left = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    both = left.join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(check, "u long, v long")
+
+
+def _close(signatures: DataFrame) -> DataFrame:
+    """Pairs (u > v) of nodes by their fingerprints: of those with one fingerprint, each with the least; of linked
+    fingerprints, their least nodes."""
+    leaders = stage(signatures.groupBy("fp").agg(F.min("node").alias("leader")), "leaders")
+    same = signatures.select("node", "fp").join(leaders, "fp").where("node > leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    linked = links(leaders)
+    near = linked.join(leaders.select(F.col("fp").alias("u"), F.col("leader").alias("a")), "u").join(leaders.select(F.col("fp").alias("v"), F.col("leader").alias("b")), "v")
+    out = stage(same.union(near.select(F.greatest("a", "b"), F.least("a", "b"))).distinct(), "close-pairs")
+    drop_staged(leaders)
+    drop_staged(linked)
+    return out
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, hash (of the text) and root (a number of the class), a row for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            marks = [xxhash.xxh3_128_digest(" ".join(_words(t.as_py()))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], ["doc_id", "hash", "mark"])
+
+    texts = _hashed(docs)
+    marked = stage(texts.mapInArrow(run, "doc_id long, hash long, mark binary"), "marks")
+    nodes = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "hash")).alias("first")).select("mark", "first.doc_id", "first.hash", F.monotonically_increasing_id().alias("node"))
+    nodes = stage(nodes, "nodes")  # written, so that the numbers stay
+    of = checked_broadcast(nodes.select(F.col("doc_id").alias("of_doc"), F.col("hash").alias("of_hash"), "node"))
+    own = texts.join(of, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))).select("node", "text")
+    signatures = stage(_signatures(own, nodes.count(), least), "signatures")
+    pairs = _close(signatures)
+    roots = components(stage(_similar_pairs(pairs, own, least), "similar-pairs"))
+    compared, by_key = pairs, Window.partitionBy("key")
+    prefixes = signatures.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    met = stage(prefixes.withColumn("n", F.count("*").over(by_key)).where("n > 1"), "prefixes")
+    weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = stage(met.join(weights, "node").withColumn("rank", F.row_number().over(by_key.orderBy(F.desc("weight"), "node"))).drop("weight", "n"), "ranked")
     drop_staged(met)
-    at_hand = stage(own.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "colliding-texts")
-    roots = compared = None
+    drop_staged(signatures)
+    done = [pairs]
     for first in FIRST:
-        named = ranked.withColumn("class", F.col("doc_id"))
-        if roots is not None:
-            named = ranked.join(roots, F.col("doc_id") == F.col("u"), "left").withColumn("class", F.coalesce("v", "doc_id")).drop("u", "v")
+        named = ranked.join(roots, F.col("node") == F.col("u"), "left").withColumn("class", F.coalesce("v", "node")).drop("u", "v")
         mixed = named.withColumn("mixed", F.min("class").over(by_key) < F.max("class").over(by_key)).where("mixed").drop("mixed")
         a, b = mixed.alias("a"), (mixed if first is None else mixed.where(F.col("rank") <= first)).alias("b")
         rest = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
         may = (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6) & ((1 + least) * rest >= least * (F.col("a.size") + F.col("b.size")) - 1e-6)
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") > F.col("b.rank")) & (F.col("a.class") != F.col("b.class")) & may)
-        pairs = pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct()
-        pairs = stage(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), "colliding-pairs")
-        left = pairs.join(at_hand.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-        both = left.join(at_hand.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-        found = both.mapInArrow(check, "u long, v long")
-        roots = components(stage(found if roots is None else found.union(roots.select("u", "v")), "similar-pairs"))
-        compared = pairs if compared is None else compared.union(pairs)
-    out = nodes.join(roots, F.col("node") == F.col("u"), "left").select("mark", F.coalesce("v", "node").alias("component_id"))
-    return marked.join(out, "mark").select("doc_id", "component_id")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") > F.col("b.rank")) & (F.col("a.class") != F.col("b.class")) & may)
+        met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+        pairs = stage(met.join(compared, ["u", "v"], "left_anti"), "colliding-pairs")
+        roots = components(stage(_similar_pairs(pairs, own, least).union(roots.select("u", "v")), "similar-pairs"))
+        compared, done = compared.union(pairs), [*done, pairs]
+    out = stage(marked.join(nodes.select("mark", "node"), "mark").join(roots, F.col("node") == F.col("u"), "left").select("doc_id", "hash", F.coalesce("v", "node").alias("root")), "classes")
+    for table in (marked, nodes, ranked, roots, *done):
+        drop_staged(table)
+    return out
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash and text of all rows; a null text has a hash of its own."""
+    return as_documents(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").isNull(), F.col("text")).alias("hash"), "text")
+
+
+def near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id and component_id (the least doc_id), a row for each row of docs: classes of documents that are similar() to
+    one another, directly or by way of others.
+
+    Texts with the same words in the same order are one class from the start. Of the others, one of each class has a
+    fingerprint of its words; those within `RADIUS` bits, found by ball hashing, are compared, which joins most copies
+    with few comparisons. A similarity of least doesn't keep fingerprints that close, so the search is completed without
+    them: texts that share a shingle of their prefixes (_signatures) are compared, but for pairs whose sizes or places of
+    that shingle rule a similarity of least out. A group of texts with one shingle is first compared with the few of them
+    that share most, then all with all; pairs that are in one class by then are left out, so that n copies of one text
+    make about n comparisons, and in the end every pair that may be similar is compared or in one class.
+
+    Defined results: null, empty and wordless texts are one class; a null doc_id is no least one, and a class of such
+    rows only has none; rows with one doc_id and different texts are classed each by its own text; equal rows are in one
+    class; an empty table gives an empty table; only doc_id and text are read.
+    """
+    found = _classes(docs, least)
+    least_ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least_ids, "root").select("doc_id", "component_id")
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """The documents that are the least of their class of near copies, with all their columns; one row for each."""
-    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Of each class of near_copies() the row with the least doc_id, with all its columns, whatever their names and types.
+
+    Of several rows with that doc_id, the one with the least hash of its text, then with the least columns as JSON, stays.
+    """
+    found = _classes(docs, SIMILAR)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = found.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")).groupBy("root").agg(F.min_by(F.struct("doc_id", "hash", "n"), order).alias("first"))
+    of, text, n = (fresh(docs, name) for name in ("first_doc", "first_hash", "first_rows"))
+    kept = stage(kept.select(F.col("first.doc_id").alias(of), F.col("first.hash").alias(text), F.col("first.n").alias(n)), "first-of-group")
+    drop_staged(found)
+    one = column(docs, "doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(column(docs, "text").isNull(), column(docs, "text")) == F.col(text))
+    single = docs.join(checked_broadcast(kept.where(F.col(n) == 1)), one, "left_semi")
+    several = docs.join(checked_broadcast(kept.where(F.col(n) > 1)), one)
+    number = fresh(several, "first_number")
+    of_rows = Window.partitionBy(of, text).orderBy(F.to_json(F.struct(*[column(docs, c) for c in docs.columns])))
+    several = several.withColumn(number, F.row_number().over(of_rows)).where(F.col(number) == 1).select(*[column(docs, c) for c in docs.columns])
+    return single.union(several)

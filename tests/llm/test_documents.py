@@ -211,9 +211,19 @@ def test_near_copies(docs, rows):
                     root[q] = p
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs.where(F.col("doc_id") != 7)).collect()}
     assert got == {i: find(i) for i in got} and got[11] == got[12] == got[13] == 10
-    kept = [r["doc_id"] for r in simhash.first_of_group(docs).collect()]
-    assert len(kept) == len(set(kept)) and {11, 12, 13}.isdisjoint(kept) and 10 in kept
-    assert simhash.first_of_group(docs).columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_group(docs).collect()]
+    assert len(kept) == len(set(kept)) and {11, 12, 13}.isdisjoint(i for i, _ in kept) and [i for i, _ in kept].count(10) == 1
+    assert [t for i, t in kept if i == 7] and {t for i, t in kept if i == 7} == {r[1] for r in rows if r[0] == 7}
+
+
+def test_first_of_group_keeps_whole_rows(spark):
+    text, other = "some words that two rows share", "a text of its own with other words"
+    given = [(None, text, {"a": 1}), (3, text, {"b": 2}), (3, text, {"b": 1}), (3, other, None), (None, None, None), (None, "", {"c": 1}), (9, other, {})]
+    df = spark.createDataFrame(given, "doc_id long, text string, first_doc map<string, int>")
+    kept = simhash.first_of_group(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"], r["first_doc"]) for r in kept.collect()), key=str)
+    assert [x for x in got if x[0] == 3] == [(3, other, None), (3, text, {"b": 1})] and len(got) == 3 and not [x for x in got if x[0] is None][0][1]
 
 
 def test_links_lose_nothing_in_dense_groups(spark):
