@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, new_path, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, new_path, parts, releasing, stage
 
 #: Fixed header lines and field lists of the two ARC versions.
 ARC_VERSIONS = {
@@ -191,6 +191,7 @@ def unpacked(raw: bytes) -> Iterator[bytes]:
         raw = one.unused_data
 
 
+@releasing
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts(batches, 256):
         rows = [member(to_warc(_record(i, u, h), i, o)) for i, u, h, o in zip(*(part.column(k).to_pylist() for k in range(4)))]
@@ -202,6 +203,7 @@ def _write(members: DataFrame, path: str) -> None:
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
+@releasing
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -242,6 +244,7 @@ def convert_archives(spark, source: str, path: str) -> None:
     """WARC files at path of the ARC files at source, gzip-compressed or not; each record is a response, numbered by a
     hash of its file and place."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
             name, raw = batch.column(0)[0].as_py(), b"".join(unpacked(batch.column(1)[0].as_py()))

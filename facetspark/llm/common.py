@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -14,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a table of a few numbers (or bytes of texts, by 64) that may be broadcast: about 64 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that a Python worker is sent, and its bytes: texts have no bounded length.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +65,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def releasing(run: Callable) -> Callable:
+    """run, a function of a task's batches, and then memory that the task doesn't need goes back to the system: workers
+    stay for later tasks, of later stages too."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of BATCH at most."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(str(now).rstrip("bB")) <= most:
+            spark.conf.set(key, most)
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most rows rows, so that few texts at a time are Python objects."""
     for batch in batches:
@@ -72,6 +99,7 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterable[tuple]],
     spark = df.sparkSession
     target = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in parts(batches):
@@ -109,4 +137,5 @@ def once(expression: Column) -> Column:
 
 def as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns: whatever else the input carries, under whatever name, plays no part."""
+    small_batches(df.sparkSession)
     return df.select(*[column(df, c) for c in columns])

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, releasing, stage
 
 #: Characters of trusted text a language, about, from which the model is counted.
 TRAINING_CHARS = 4_000_000
@@ -113,6 +113,7 @@ def drawn(df: DataFrame, share: DataFrame, yes: bool = True) -> DataFrame:
 def count_pairs(texts: DataFrame) -> DataFrame:
     """lang, v, w, cnt: the pairs of neighbouring words in texts(text, lang)."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -143,7 +144,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The weights: lang, v (null: a single word), w, cnt, weight; and for each language lang, unknown."""
     pairs = stage(count_pairs(texts), "pairs")
     contexts = pairs.join(checked_broadcast(discounts(pairs)), "lang").withColumn("off", _off(F.col("cnt")))
-    contexts = contexts.groupBy("lang", F.col("v").alias("word")).agg(F.sum("cnt").alias("total"), (F.sum("off") / F.sum("cnt")).alias("left"), F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.first("d3").alias("d3"))
+    contexts = contexts.groupBy("lang", F.col("v").alias("word")).agg(F.sum("cnt").alias("total"), (F.sum("off") / F.sum("cnt")).alias("left"))
     contexts = stage(contexts, "contexts")
     follow = stage(pairs.groupBy("lang", F.col("w").alias("word")).agg(F.count("*").alias("cnt")), "continuations")
     lower = discounts(follow).join(follow.groupBy("lang").agg(F.sum("cnt").alias("sum"), F.count("*").alias("words")), "lang")
@@ -152,7 +153,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = marked.join(checked_broadcast(unknown), "lang").select("lang", "word", "unknown", ((F.col("cnt") - F.col("off")) / F.col("sum") + F.exp("unknown")).alias("p"))
     single = stage(single, "single")
     both = contexts.join(single, ["lang", "word"], "full").select("lang", F.lit(None).cast("long").alias("v"), F.col("word").alias("w"), F.coalesce("total", F.lit(1)).alias("cnt"), (F.coalesce(F.log("left"), F.lit(0.0)) + F.coalesce(F.log("p") - F.col("unknown"), F.lit(0.0))).alias("weight"))
-    joined = pairs.join(checked_broadcast(contexts.withColumnRenamed("word", "v")), ["lang", "v"]).join(checked_broadcast(single.withColumnRenamed("word", "w").drop("unknown")), ["lang", "w"])
+    joined = pairs.join(checked_broadcast(discounts(pairs)), "lang").join(checked_broadcast(contexts.withColumnRenamed("word", "v")), ["lang", "v"]).join(checked_broadcast(single.withColumnRenamed("word", "w").drop("unknown")), ["lang", "w"])
     p = (F.col("cnt") - _off(F.col("cnt"))) / F.col("total") + F.col("left") * F.col("p")
     known = joined.select("lang", "v", "w", "cnt", (F.log(p) - F.log("left") - F.log("p")).alias("weight"))
     out = stage(both.unionByName(known), "weights")
@@ -164,6 +165,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keyed(weights: DataFrame) -> DataFrame:
     """key, cnt and weight of the model's weights."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alone, (v, w) = batch.column(0).is_null().to_numpy(False), (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
@@ -199,6 +201,7 @@ def _packs(hot, shards: int, salts: int):
     """Blocks of (doc_id, text, lang) to a row (kind 2) of the documents with what the hot weights give them, and a row
     (kind 1) for each shard: four bytes for each key, and at which key each document ends."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights, bits = hot.value
         first = TaskContext.get().partitionId() << 32
@@ -235,6 +238,7 @@ def _packs(hot, shards: int, salts: int):
     return run
 
 
+@releasing
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of slots: a shard's weights (kind 0), then packs, which become partial sums by document."""
     slot, keys, weights = None, np.zeros(0, np.uint32), np.zeros(0, np.float32)

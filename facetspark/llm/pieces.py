@@ -35,7 +35,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from facetspark.llm.common import arrow_rows, as_documents, parts
+from facetspark.llm.common import arrow_rows, as_documents, parts, releasing
 
 SPACE = "▁"
 #: Words, or pairs of pieces, in a generation of a worker's cache.
@@ -294,6 +294,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """A row for each document: doc_id, and its ids."""
     model = model or default_model()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
             packed = [codec(model).pack(t.as_py()) for t in batch.column(1)]

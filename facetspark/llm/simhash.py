@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, parts, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, parts, releasing, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -77,6 +77,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long), a row for each document."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
@@ -104,6 +105,7 @@ def _block(b: int) -> np.uint64:
 _OUTSIDE = [_flips([i for i in range(64) if not int(_block(b)) >> i & 1], 1) for b in range(3)]
 
 
+@releasing
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block, all variants within distance 1 outside it, the block's own bits being 0.
 
@@ -136,6 +138,7 @@ def _cells(inner: int, outer: int):
     within outer. Only bits of vary, in which the group's rows differ at all, are flipped. Of two values one bit apart,
     one has a bit more; for (0, 1) it is enough that this one loses it."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = [_flips(list(range(low, low + width)), outer) for low, width in BLOCKS]
         cores = [1 if inner == 0 else 1 + width for _, width in BLOCKS]
@@ -282,6 +285,7 @@ def _shingle_numbers(words: list[str]) -> np.ndarray:
 def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     """Numbers of shingles that `OFTEN` or more of about `SAMPLE` texts(node, text) hold."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             for t in batch.column(1):
@@ -300,6 +304,7 @@ def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
     """
     sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, n))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             fps, sizes, keys = [], [], []
@@ -321,6 +326,7 @@ def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
 def _similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of pairs(u, v) of nodes, those whose texts(node, text) are similar()."""
 
+    @releasing
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
             keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -349,6 +355,7 @@ def _close(signatures: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     """doc_id, hash (of the text) and root (a number of the class), a row for each row of docs."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             marks = [xxhash.xxh3_128_digest(" ".join(_words(t.as_py()))) for t in batch.column(2)]
