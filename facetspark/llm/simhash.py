@@ -39,9 +39,12 @@ SEED = 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Similarity (Jaccard, shingles of five words) of near copies.
 SIMILAR = 0.8
-#: Texts of a sample in which shingles are counted, and the count from which one is frequent (a matter of cost only).
-SAMPLE = 5000
-OFTEN = 8
+#: Shingles are counted in a sample of 1 in `SAMPLE` texts (of all, if they are few); the count from which one is
+#: frequent, and how many of these are broadcast, the commonest. This is a matter of cost only.
+SAMPLE = 16
+ENOUGH = 5000
+OFTEN = 4
+FREQUENT = 1 << 20
 #: How many of a group its texts are compared with, round by round; in the last, all.
 FIRST = (16, None)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -282,8 +285,8 @@ def _shingle_numbers(words: list[str]) -> np.ndarray:
     return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def _frequent(texts: DataFrame, n: int) -> np.ndarray:
-    """Numbers of shingles that `OFTEN` or more of about `SAMPLE` texts(node, text) hold."""
+def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted numbers of frequent shingles in a sample of texts(node, text), and their counts."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,40 +294,86 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
             for t in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_numbers(_words(t.as_py())).view(np.int64))], ["key"])
 
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0)
-    found = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN).select("key").toArrow()
-    return np.sort(found.column("key").to_numpy().view(np.uint64))
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(SAMPLE, n // ENOUGH)))) == 0)
+    counted = stage(some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    least, rows = 1 << 62, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+        if rows + r["rows"] > FREQUENT:
+            break
+        least, rows = r["n"], rows + r["rows"]
+    found = counted.where(F.col("n") >= least).toArrow()
+    drop_staged(counted)
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy()[order]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each place that shingles fall on, 1 if an odd number does; as many places as shingles, at least 512.
+
+    Where the bits of two sets differ, some shingle is in one set only, so the differing bits bound what they share.
+    """
+    places = 1 << max(9, (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, least: float) -> bool:
+    """Whether two sets of n shingles in all may have a similarity of least, by their parities."""
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * min(len(a), len(b))
+    fold = lambda z, size: fold((z & ((1 << size // 2) - 1)) ^ (z >> size // 2), size // 2) if size > bits else z
+    apart = (fold(x, 8 * len(a)) ^ fold(y, 8 * len(b))).bit_count()
+    return (n - apart) / 2 >= least * n / (1 + least) - 1e-6
 
 
 def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
-    """node, fp (word fingerprint), size (shingles) and keys (the shingles of the prefix, in order) of texts(node, text).
+    """node, fp (word fingerprint), size (shingles), bits (parities) and keys (the shingles of the prefix, in order) of
+    texts(node, text).
 
-    All texts order their shingles alike, frequent ones last. Of two texts with a similarity of least or more, each has
-    at most size - least * size shingles without the other, so the first that they share is in both prefixes.
+    All texts order their shingles alike, the more frequent later. Of two texts with a similarity of least or more, each
+    has at most size - least * size shingles without the other, so the first that they share is in both prefixes.
     """
     sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, n))
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = sent.value
         for batch in parts(batches):
-            fps, sizes, keys = [], [], []
+            fps, sizes, bits, keys = [], [], [], []
             for t in batch.column(1):
                 words = _words(t.as_py())
                 own = _shingle_numbers(words)
-                often = np.isin(own, sent.value)
+                count = np.zeros(len(own), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    count = np.where(often[at] == own, counts[at], 0)
                 take = len(own) - math.ceil(least * len(own) - 1e-6) + 1 if len(own) else 0
                 fps.append(word_fingerprint(words))
                 sizes.append(len(own))
-                keys.append(np.concatenate((own[~often], own[often]))[:take])
+                bits.append(parities(own))
+                keys.append(own[np.argsort(count, kind="stable")][:take])
             ends = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed], ["node", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), listed], ["node", "fp", "size", "bits", "keys"])
 
-    return texts.mapInArrow(run, "node long, fp long, size int, keys array<long>")
+    return texts.mapInArrow(run, "node long, fp long, size int, bits binary, keys array<long>")
 
 
-def _similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of pairs(u, v) of nodes, those whose texts(node, text) are similar()."""
+def _beside(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """pairs(u, v) with the columns names of table(node, ...) for u, then for v."""
+    for node in ("u", "v"):
+        pairs = pairs.join(table.select(F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in names]), node)
+    return pairs.select("u", "v", *[f"{c}_{node}" for node in ("u", "v") for c in names])
+
+
+def _similar_pairs(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs(u, v) of nodes, those whose texts(node, text) are similar(): parities rule most others out, texts decide."""
+
+    @releasing
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_u, bits_u, size_v, bits_v = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [may_be_similar(a, b, m + n, least) for m, a, n, b in zip(size_u, bits_u, size_v, bits_v)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["u", "v"])
 
     @releasing
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +381,12 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFram
             keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
-    asked = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+    left = stage(_beside(pairs, signatures, "size", "bits").mapInArrow(rule_out, "u long, v long"), "possible-pairs")
+    asked = left.select("u").union(left.select("v")).distinct().withColumnRenamed("u", "node")
     some = texts.join(checked_broadcast(asked), "node", "left_semi")
-    left = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = left.join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(check, "u long, v long")
+    out = stage(_beside(left, some, "text").mapInArrow(check, "u long, v long"), "similar-pairs")
+    drop_staged(left)
+    return out
 
 
 def _close(signatures: DataFrame) -> DataFrame:
@@ -369,14 +419,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     own = texts.join(of, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))).select("node", "text")
     signatures = stage(_signatures(own, nodes.count(), least), "signatures")
     pairs = _close(signatures)
-    roots = components(stage(_similar_pairs(pairs, own, least), "similar-pairs"))
+    roots = components(_similar_pairs(pairs, signatures, own, least))
     compared, by_key = pairs, Window.partitionBy("key")
     prefixes = signatures.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     met = stage(prefixes.withColumn("n", F.count("*").over(by_key)).where("n > 1"), "prefixes")
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = stage(met.join(weights, "node").withColumn("rank", F.row_number().over(by_key.orderBy(F.desc("weight"), "node"))).drop("weight", "n"), "ranked")
     drop_staged(met)
-    drop_staged(signatures)
     done = [pairs]
     for first in FIRST:
         named = ranked.join(roots, F.col("node") == F.col("u"), "left").withColumn("class", F.coalesce("v", "node")).drop("u", "v")
@@ -387,10 +436,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") > F.col("b.rank")) & (F.col("a.class") != F.col("b.class")) & may)
         met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         pairs = stage(met.join(compared, ["u", "v"], "left_anti"), "colliding-pairs")
-        roots = components(stage(_similar_pairs(pairs, own, least).union(roots.select("u", "v")), "similar-pairs"))
+        found = _similar_pairs(pairs, signatures, own, least)
+        before, roots = roots, components(stage(found.union(roots.select("u", "v")), "similar-pairs"))
+        drop_staged(found)
+        drop_staged(before)
         compared, done = compared.union(pairs), [*done, pairs]
     out = stage(marked.join(nodes.select("mark", "node"), "mark").join(roots, F.col("node") == F.col("u"), "left").select("doc_id", "hash", F.coalesce("v", "node").alias("root")), "classes")
-    for table in (marked, nodes, ranked, roots, *done):
+    for table in (marked, nodes, signatures, ranked, roots, *done):
         drop_staged(table)
     return out
 

@@ -78,3 +78,18 @@ def test_pairs_that_links_leaves_out_are_compared(spark):
 def test_similar_texts_are_found_whatever_their_fingerprints(spark):
     texts = copies(30) + ["", "one two", "one two", "one two three"]
     assert len(set(classes(texts, simhash.RADIUS))) > len(set(classes(texts))) and got(spark, texts) == classes(texts)
+
+
+def test_parities_rule_no_similar_pair_out():
+    r = random.Random(9)
+    for n in (0, 1, 5, 100, 600, 3000):
+        for _ in range(60):
+            own = [r.getrandbits(64) for _ in range(n)]
+            k = r.randrange(n + 1)
+            other = own[: n - k] + [r.getrandbits(64) for _ in range(r.randrange(k + 1))]
+            x, y = (simhash.np.unique(simhash.np.array(s, simhash.np.uint64)) for s in (own, other))
+            both = len(set(own) & set(other))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert simhash.may_be_similar(simhash.parities(x), simhash.parities(y), len(x) + len(y), 0.8)
+    x, y = (simhash.np.array([r.getrandbits(64) for _ in range(500)], simhash.np.uint64) for _ in range(2))
+    assert not simhash.may_be_similar(simhash.parities(x), simhash.parities(y), 1000, 0.8)
