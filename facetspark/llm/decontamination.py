@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, stage
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -70,12 +70,16 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
     every, sketch = sketches(items, contained)
     sketch = stage(sketch, "sketches")
     shingles = stage(every, "benchmark-shingles")
-    # Hashes beyond the greatest bound are in no sketch.
-    bounds = sketch.groupBy("size").agg(F.max("hash").alias("bound"), F.min("need").alias("least")).agg(F.max("bound"), F.min("least")).first()
-    bound, least = (bounds[0], bounds[1]) if bounds[0] is not None else (-(1 << 63), 1)
+    # A partition's sketches have no hash beyond its bound, and a document with fewer shingles than its least need holds
+    # none of its items; there are as many partitions as items have powers of two of shingles.
+    bounds = sketch.groupBy("size").agg(F.max("hash").alias("bound"), F.min("need").alias("least")).collect()
+    may = F.lit(False)
+    for b in bounds:
+        may |= (F.col("n") >= b["least"]) & (F.col("hash") <= b["bound"])
+    least = min([b["least"] for b in bounds], default=1)
     texts = as_documents(docs, ["doc_id", "text"])
     words = texts.withColumn("words", _words(F.col("text"))).drop("text")
-    rolled = _shingles(words, "doc_id").where(F.col("n") >= least).withColumn("hash", _hash()).where(F.col("hash") <= bound).select("doc_id", "n", "hash")
+    rolled = _shingles(words, "doc_id").where(F.col("n") >= least).withColumn("hash", _hash()).where(may).select("doc_id", "n", "hash")
     wanted = checked_broadcast(sketch.groupBy("hash", "size").agg(F.min("need").alias("need")), BROADCAST_ROWS)
     found = rolled.join(wanted, "hash").where("n >= need").select("doc_id", "hash").distinct()
     pairs = stage(found.join(sketch.select("hash", "item_id"), "hash").select("doc_id", "item_id").distinct(), "candidate-pairs")
@@ -94,6 +98,6 @@ def _few(df: DataFrame) -> bool:
 
 
 def clean(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """The documents that no item leaks into, with all their columns."""
+    """The documents that no item leaks into, with all their columns; a doc_id goes with all its rows, a null one stays."""
     leaked = stage(leaks(docs, items, contained).select("doc_id").distinct(), "leaked")
-    return docs.join(checked_broadcast(leaked, BROADCAST_ROWS), "doc_id", "left_anti")
+    return docs.join(checked_broadcast(leaked, BROADCAST_ROWS), column(docs, "doc_id") == leaked["doc_id"], "left_anti")

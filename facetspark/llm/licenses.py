@@ -2,8 +2,8 @@
 
 Every text becomes words; all its rolling word k-gram hashes (k = 2, as the shortest phrases have two words) are
 joined to the positions of the same k-grams in the templates. A hit at text position i and template position j votes
-for the diagonal i - j; votes are a bit set of template positions, so that merging them is idempotent and the same
-hit never counts twice. Neighbouring diagonals (within `DRIFT` inserted or missing words) are merged, and a span is
+for the diagonal i - j; votes are a set of template positions, so that merging them is idempotent and the same hit
+never counts twice, and templates may have any length. Neighbouring diagonals (within `DRIFT` inserted or missing words) are merged, and a span is
 verified by the share of the template's k-grams that it holds, each compared word by word. Phrases need all of their
 k-grams on one diagonal, which is the exact test.
 
@@ -54,30 +54,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATORS), "")
 
 
-def templates(spark: SparkSession) -> DataFrame:
+def templates(spark: SparkSession, notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each k-gram of each template."""
     rows = []
-    for exact, table in ((True, PHRASES), (False, NOTICES)):
+    for exact, table in ((True, PHRASES), (False, notices)):
         for label, phrase in table.items():
             w = phrase.split()
-            assert len(w) - K + 1 <= 63, label
             rows += [(label, exact, len(w) - K + 1, j, w[j], w[j + 1]) for j in range(len(w) - K + 1)]
     out = spark.createDataFrame(rows, "label string, exact boolean, grams int, j int, t0 string, t1 string")
     return out.withColumn("hash", F.xxhash64("t0", "t1"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    notices gives labels and their words, lower-cased, one space apart; whole licence texts may be among them.
+    """
     docs = as_documents(docs, ["doc_id", "text"]).withColumn("mark", F.xxhash64("text"))
     texts = docs.withColumn("words", words(F.col("text"))).drop("text")
     grams = texts.where(F.size("words") >= K).select("doc_id", "mark", "words", F.explode(F.sequence(F.lit(0), F.size("words") - K)).alias("i"))
     grams = grams.select("doc_id", "mark", "i", F.get("words", F.col("i")).alias("w0"), F.get("words", F.col("i") + 1).alias("w1"))
-    table = F.broadcast(templates(docs.sparkSession))
+    table = F.broadcast(templates(docs.sparkSession, notices))
     hits = grams.join(table, (F.xxhash64("w0", "w1") == F.col("hash")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")))
-    vote = F.expr("bit_or(shiftleft(1L, j))")
-    diagonals = hits.groupBy("doc_id", "mark", "label", "exact", "grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(vote.alias("votes"))
-    merged = F.bit_or("votes").over(Window.partitionBy("doc_id", "mark", "label").orderBy("diagonal").rangeBetween(0, DRIFT))
-    cover = F.bit_count(F.when(F.col("exact"), F.col("votes")).otherwise(F.col("merged"))) / F.col("grams")
+    diagonals = hits.groupBy("doc_id", "mark", "label", "exact", "grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("votes"))
+    merged = F.array_distinct(F.flatten(F.collect_list("votes").over(Window.partitionBy("doc_id", "mark", "label").orderBy("diagonal").rangeBetween(0, DRIFT))))
+    cover = F.size(F.when(F.col("exact"), F.col("votes")).otherwise(F.col("merged"))) / F.col("grams")
     spans = diagonals.withColumn("merged", merged).withColumn("cover", cover)
     held = F.when(F.col("exact"), F.col("cover") == 1).otherwise(F.col("cover") >= COVER)
     base = held & F.col("exact")

@@ -1,6 +1,7 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in the whole text: at-signs, plus signs, digits, "://" and identifier cues.
+An Aho-Corasick automaton finds anchors in the whole text: at-signs, plus signs, digits, "://" and identifier cues (in
+letters of either case).
 A deterministic local parser expands each anchor to the span around it and validates it; every parser starts where
 its last span ended, so that spans of a kind never overlap and the work stays linear.
 
@@ -27,6 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn", "url_login")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api key": "secret", "api_key": "secret", "apikey": "secret", "access key": "secret"}
+LOWER = {c: c + 32 for c in range(65, 91)}
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -48,8 +50,7 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("+", ("phone", 1))
     found.add_word("://", ("url_login", 3))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -72,7 +73,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)
-    for last, (anchor, size) in anchors().iter(text):
+    for last, (anchor, size) in anchors().iter(text.translate(LOWER)):
         at, after = last - size + 1, last + 1
         if anchor == "digit":
             if at >= past["card"] and (m := CARD.match(text, at)):
@@ -101,9 +102,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     found["phone"].append(m.span())
         elif anchor == "url_login":
             start = at
-            while start > past["url_login"] and at - start < 20 and text[start - 1] in SCHEME:
+            while start > past["url_login"] and text[start - 1] in SCHEME:
                 start -= 1
-            if start < at and text[start].isalpha() and (m := LOGIN.match(text, after)):
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (m := LOGIN.match(text, after)):
                 past["url_login"] = m.end()
                 found["url_login"].append((start, m.end()))
         elif after >= past[anchor]:
@@ -112,6 +115,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 if {"iban": lambda: mod97(value), "ssn": lambda: True, "secret": lambda: any(map(str.isdigit, value)) and any(map(str.isalpha, value))}[anchor]():
                     past[anchor] = m.end(1)
                     found[anchor].append(m.span(1))
+                elif anchor == "secret":  # nor has what follows a later cue in it both letters and digits
+                    past[anchor] = m.end(1)
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -430,5 +431,21 @@ def test_empty_benchmark(docs, spark):
     assert decontamination.leaks(docs, empty).count() == 0 and decontamination.clean(docs, empty).count() == docs.count()
 
 
-def test_templates_fit_their_bit_sets():
-    assert np.all(np.array([len(p.split()) for p in licenses.NOTICES.values()]) <= 64) and F is not None
+def test_templates_of_any_length(spark):
+    r = random.Random(2)
+    terms = " ".join(f"term{r.randrange(300)}" for _ in range(900))
+    changed = terms.split()
+    del changed[400], changed[100]
+    df = spark.createDataFrame([(1, "x " + terms + " y"), (2, " ".join(changed)), (3, " ".join(changed[:600]))], "doc_id long, text string")
+    assert {x["doc_id"]: x["labels"] for x in licenses.scan(df, {"terms": terms}).collect()} == {1: "terms", 2: "terms", 3: ""}
+    assert {x["doc_id"]: x["labels"] for x in licenses.scan(df, {"terms": " ".join(terms.split()[:120])}).collect()} == {1: "terms", 2: "terms", 3: "terms"}
+
+
+def test_personal_data_of_all_spellings_and_lengths():
+    for cue in ("API key", "api KEY", "Access Key", "PassWord", "TOKEN"):
+        assert personal_data.spans(f"{cue}: abcd1234efgh5678")[-1] == ("secret", len(cue) + 2, len(cue) + 18)
+    scheme = "a" * 400 + "+b"
+    assert personal_data.spans("12 " + scheme + "://user:pw@host.org")[-1] == ("url_login", 3, 3 + len(scheme) + 19)
+    start = time.monotonic()
+    assert personal_data.spans("token=" * 100_000) == [] and time.monotonic() - start < 5
+    assert [s for s in personal_data.spans("token=token=" + "x" * 20 + "9") if s[0] == "secret"] == [("secret", 6, 33)]
