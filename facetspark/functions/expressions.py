@@ -185,3 +185,60 @@ def combination(name: str) -> str:
     if name.lower() not in COMBINATIONS:
         raise ValueError(f"unknown combination {name}")
     return name.lower()
+
+
+def same_record(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether two records agree in all fields; nulls agree with nulls."""
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out &= x.eqNullSafe(y)
+    return out
+
+
+def same_pair(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Whether two pairs (first, second, distance) are one: the same distance, the same elements in either order."""
+    (p, q, d), (r, s, e) = a, b
+    straight, turned = same_record((p, q), (r, s)), same_record((p, q), (s, r))
+    return d.eqNullSafe(e) & (straight | turned)
+
+
+def rotation_between(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """The 3 x 3 matrix (an array by rows) that turns unit vector a to b about their cross product.
+
+    With v = a x b and c = a . b it is I + [v] + [v][v] / (1 + c); opposite vectors have no axis of their own and are
+    turned by half a turn about an axis across a.
+    """
+    v = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    c = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    cross = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
+    square = [[sum((cross[i][k] * cross[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    # An axis across a: with the unit vector of its least coordinate.
+    least = F.least(*[F.abs(x) for x in a])
+    e = [F.when(F.abs(a[0]) == least, 1.0).otherwise(0.0), F.when((F.abs(a[0]) != least) & (F.abs(a[1]) == least), 1.0).otherwise(0.0)]
+    e.append(1.0 - e[0] - e[1])
+    w = [a[1] * e[2] - a[2] * e[1], a[2] * e[0] - a[0] * e[2], a[0] * e[1] - a[1] * e[0]]
+    n = w[0] * w[0] + w[1] * w[1] + w[2] * w[2]
+    cells = []
+    for i in range(3):
+        for j in range(3):
+            one = 1.0 if i == j else 0.0
+            cells.append(F.when(c > -1 + 1e-12, one + cross[i][j] + square[i][j] / (1 + c)).otherwise(2 * w[i] * w[j] / n - one))
+    return F.array(*cells)
+
+
+def turned(matrix: Column, x: Sequence[Column]) -> list[Column]:
+    """matrix (an array by rows) times a vector."""
+    return [F.get(matrix, F.lit(3 * i)) * x[0] + F.get(matrix, F.lit(3 * i + 1)) * x[1] + F.get(matrix, F.lit(3 * i + 2)) * x[2] for i in range(3)]
+
+
+def frame_mean(a: Sequence[Sequence[Column]], b: Sequence[Sequence[Column]], least: float = 1e-5) -> list[list[Column]]:
+    """The mean of two frames, given by their axes (two in the tangent plane, then the normal).
+
+    Each axis is the sum of both, scaled to length 1; if the sum of an axis in the plane vanishes, as for frames turned
+    against each other, the first frame's two axes change places instead.
+    """
+    sums = [[(x + y) / 2 for x, y in zip(p, q)] for p, q in zip(a, b)]
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    gone = (length(sums[0]) < least) | (length(sums[1]) < least)
+    instead = [a[1], a[0], a[2]]
+    return [[F.when(gone, x).otherwise(y / length(v)) for x, y in zip(other, v)] for v, other in zip(sums, instead)]

@@ -90,7 +90,10 @@ def bfs_hops(seeds: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
 
 
 def fill_from_borders(values: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """values(mol_id, v, value) with NULL values filled layer by layer by the mean of finished neighbours."""
+    """values(mol_id, v, value) with NULL values filled layer by layer by the mean of finished neighbours.
+
+    Vertices that no edges lead to from a value stay NULL. Raises RuntimeError if max_rounds layers aren't enough.
+    """
     now = written(values.select("mol_id", "v", F.col("value").cast("double").alias("value"), F.lit(0).alias("layer")))
     for layer in range(1, max_rounds):
         done = now.where("value is not null").select("mol_id", F.col("v").alias("dst"), F.col("value").alias("near"))
@@ -99,7 +102,7 @@ def fill_from_borders(values: DataFrame, edges: DataFrame, max_rounds: int = 100
         if after.where(F.col("layer") == layer).isEmpty():
             return after
         now = after
-    return now
+    raise RuntimeError(f"not filled after {max_rounds} layers")
 
 
 def _dijkstra(src: np.ndarray, dst: np.ndarray, length: np.ndarray, n: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

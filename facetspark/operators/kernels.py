@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PairKernel = Callable[[Column, Column], Column]
+PropertyKernel = Callable[[dict, dict], Column]
 
 
 def candidate_objects(objects: DataFrame) -> DataFrame:
@@ -16,13 +17,13 @@ def candidate_objects(objects: DataFrame) -> DataFrame:
     return a.join(b, F.col("m1") <= F.col("m2"))
 
 
-def set_kernel(points: DataFrame, kernel: Callable[[dict, dict], Column], on: Sequence[str] = ("type",)) -> DataFrame:
+def set_kernel(points: DataFrame, kernel: Callable[[dict, dict], Column], on: Sequence[str] = ("type",), within: Sequence[str] = ()) -> DataFrame:
     """m1 <= m2, k: the sum of kernel over all pairs of points; factors that are 1 or 0 by equality belong into on, the
-    join's key, so that zeros are never formed."""
-    rest = [c for c in points.columns if c not in ("mol_id", *on)]
-    a = points.select(F.col("mol_id").alias("m1"), *on, *[F.col(c).alias(f"{c}_a") for c in rest])
-    b = points.select(F.col("mol_id").alias("m2"), *on, *[F.col(c).alias(f"{c}_b") for c in rest])
-    joined = a.join(b, list(on)).where("m1 <= m2")
+    join's key, so that zeros are never formed. Columns in within name blocks of objects; only those of a block meet."""
+    rest = [c for c in points.columns if c not in ("mol_id", *on, *within)]
+    a = points.select(F.col("mol_id").alias("m1"), *on, *within, *[F.col(c).alias(f"{c}_a") for c in rest])
+    b = points.select(F.col("mol_id").alias("m2"), *on, *within, *[F.col(c).alias(f"{c}_b") for c in rest])
+    joined = a.join(b, [*within, *on]).where("m1 <= m2")
     value = kernel({c: F.col(f"{c}_a") for c in rest}, {c: F.col(f"{c}_b") for c in rest})
     return joined.groupBy("m1", "m2").agg(F.sum(value).alias("k"))
 
@@ -32,29 +33,65 @@ def mirrored(gram: DataFrame) -> DataFrame:
     return gram.unionByName(gram.where("m1 < m2").select(F.col("m2").alias("m1"), F.col("m1").alias("m2"), "k"))
 
 
-def pair_kernel(pairs: DataFrame, distance_kernel: PairKernel) -> DataFrame:
+def _both_ways(pairs: DataFrame, properties: Sequence[str], within: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Each pair as it stands, and each pair in both orders: mol_id, p, q, s, t (types), dist, {property}_p and {property}_q."""
+
+    def turned(i: int, j: int) -> DataFrame:
+        at = [F.col(f"{c}{k}").alias(f"{c}_{x}") for c in properties for k, x in ((i, "p"), (j, "q"))]
+        return pairs.select("mol_id", *within, F.col(f"p{i}").alias("p"), F.col(f"p{j}").alias("q"), F.col(f"type{i}").alias("s"), F.col(f"type{j}").alias("t"), "dist", *at)
+
+    return turned(1, 2), turned(1, 2).unionByName(turned(2, 1))
+
+
+def _of(df: DataFrame, mol: str, tail: str, within: Sequence[str]) -> DataFrame:
+    """df with mol_id as mol and tail behind the names of all other columns but the types' and within."""
+    own = [c for c in df.columns if c not in ("mol_id", "s", "t", *within)]
+    return df.select(F.col("mol_id").alias(mol), "s", "t", *within, *[F.col(c).alias(f"{c}_{tail}") for c in own])
+
+
+def _agreement(kernel: PropertyKernel | None, properties: Sequence[str], point: str) -> Column:
+    """The property kernel of the two objects' points at one end of their pairs."""
+    if kernel is None:
+        return F.lit(1.0)
+    return kernel({c: F.col(f"{c}_{point}_a") for c in properties}, {c: F.col(f"{c}_{point}_b") for c in properties})
+
+
+def pair_kernel(pairs: DataFrame, distance_kernel: PairKernel, properties: Sequence[str] = (), property_kernel: PropertyKernel | None = None, within: Sequence[str] = ()) -> DataFrame:
     """m1 <= m2, k over pairs(mol_id, p1, p2, type1, type2, dist): the sum over pairs of either object whose points agree
-    in type, each way that they agree, of the distance kernel."""
-    one = pairs.select("mol_id", F.col("p1").alias("p"), F.col("p2").alias("q"), F.col("type1").alias("s"), F.col("type2").alias("t"), "dist")
-    a = one.select(F.col("mol_id").alias("m1"), "s", "t", F.col("dist").alias("da"))
-    turned = one.unionByName(one.select("mol_id", F.col("q").alias("p"), F.col("p").alias("q"), F.col("t").alias("s"), F.col("s").alias("t"), "dist"))
-    b = turned.select(F.col("mol_id").alias("m2"), "s", "t", F.col("dist").alias("db"))
-    return a.join(b, ["s", "t"]).where("m1 <= m2").groupBy("m1", "m2").agg(F.sum(distance_kernel(F.col("da"), F.col("db"))).alias("k"))
+    in type, each way that they agree, of the distance kernel.
+
+    With properties, pairs has columns {property}1 and {property}2, and a term is the distance kernel times the property
+    kernel of either end. Columns in within name blocks of objects; only those of a block meet.
+    """
+    one, both = _both_ways(pairs, properties, within)
+    joined = _of(one, "m1", "a", within).join(_of(both, "m2", "b", within), [*within, "s", "t"]).where("m1 <= m2")
+    term = distance_kernel(F.col("dist_a"), F.col("dist_b"))
+    if property_kernel:
+        term = term * _agreement(property_kernel, properties, "p") * _agreement(property_kernel, properties, "q")
+    return joined.groupBy("m1", "m2").agg(F.sum(term).alias("k"))
 
 
-def triple_kernel(pairs: DataFrame, distance_kernel: PairKernel) -> DataFrame:
+def triple_kernel(pairs: DataFrame, distance_kernel: PairKernel, properties: Sequence[str] = (), property_kernel: PropertyKernel | None = None, within: Sequence[str] = ()) -> DataFrame:
     """m1 <= m2, k: the trace of the third power of the matrix whose rows and columns are compatible (point, point) pairs
-    of the two objects and whose entries are distance kernels; its diagonal is 0."""
-    both = pairs.select("mol_id", "p1", "p2", "type1", "type2", "dist").unionByName(pairs.select("mol_id", F.col("p2").alias("p1"), F.col("p1").alias("p2"), F.col("type2").alias("type1"), F.col("type1").alias("type2"), "dist"))
-    a = both.select(F.col("mol_id").alias("m1"), F.col("p1").alias("a1"), F.col("p2").alias("a2"), "type1", "type2", F.col("dist").alias("da"))
-    b = both.select(F.col("mol_id").alias("m2"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), "type1", "type2", F.col("dist").alias("db"))
-    m = a.join(b, ["type1", "type2"]).where("m1 <= m2").withColumn("w", distance_kernel(F.col("da"), F.col("db"))).where("w > 0").select("m1", "m2", F.struct("a1", "b1").alias("r"), F.struct("a2", "b2").alias("c"), "w")
+    of the two objects and whose entries are distance kernels; its diagonal is 0.
+
+    A property kernel (see pair_kernel) multiplies each row of the matrix by that of its two points, so that each corner
+    of a triangle counts once.
+    """
+    _, both = _both_ways(pairs, properties, within)
+    w = distance_kernel(F.col("dist_a"), F.col("dist_b"))
+    if property_kernel:
+        w = w * _agreement(property_kernel, properties, "p")
+    joined = _of(both, "m1", "a", within).join(_of(both, "m2", "b", within), [*within, "s", "t"]).where("m1 <= m2")
+    m = joined.withColumn("w", w).where("w <> 0").select("m1", "m2", F.struct("p_a", "p_b").alias("r"), F.struct("q_a", "q_b").alias("c"), "w")
     two = m.join(m.select("m1", "m2", F.col("r").alias("c"), F.col("c").alias("e"), F.col("w").alias("w2")), ["m1", "m2", "c"]).groupBy("m1", "m2", "r", "e").agg(F.sum(F.col("w") * F.col("w2")).alias("w2"))
     back = m.select("m1", "m2", F.col("r").alias("e"), F.col("c").alias("r"), F.col("w").alias("w3"))
     return two.join(back, ["m1", "m2", "r", "e"]).groupBy("m1", "m2").agg(F.sum(F.col("w2") * F.col("w3")).alias("k"))
 
 
-def vector_gram(vectors: DataFrame, kernel: Callable[[Column, Column], Column]) -> DataFrame:
-    """m1, m2, k for vectors(mol_id, vec): i <= j once, then mirrored."""
-    a, b = vectors.select(F.col("mol_id").alias("m1"), F.col("vec").alias("va")), vectors.select(F.col("mol_id").alias("m2"), F.col("vec").alias("vb"))
-    return mirrored(a.join(b, F.col("m1") <= F.col("m2")).select("m1", "m2", kernel(F.col("va"), F.col("vb")).alias("k")))
+def vector_gram(vectors: DataFrame, kernel: Callable[[Column, Column], Column], within: Sequence[str] = ()) -> DataFrame:
+    """m1, m2, k for vectors(mol_id, vec): i <= j once, then mirrored; only those of a block that columns in within name."""
+    a = vectors.select(F.col("mol_id").alias("m1"), F.col("vec").alias("va"), *within)
+    b = vectors.select(F.col("mol_id").alias("m2"), F.col("vec").alias("vb"), *within)
+    joined = a.join(b, list(within)).where("m1 <= m2") if within else a.join(b, F.col("m1") <= F.col("m2"))
+    return mirrored(joined.select("m1", "m2", kernel(F.col("va"), F.col("vb")).alias("k")))

@@ -71,10 +71,19 @@ def cv_error(folds: DataFrame, loss: str = "loss", n: str = "n") -> DataFrame:
     return folds.agg((F.sum(loss) / F.sum(n)).alias("error"))
 
 
-def balanced_accuracy(rows: DataFrame, label: str = "y", predicted: str = "predicted", *keys: str) -> DataFrame:
-    """Mean of each class's recall, by keys."""
+def balanced_accuracy(rows: DataFrame, label: str = "y", predicted: str = "predicted", *keys: str, weights: dict | None = None) -> DataFrame:
+    """Mean of each class's recall, by keys; weights gives classes other weights than 1 in it."""
     recall = rows.groupBy(*keys, label).agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("_recall"))
-    return recall.groupBy(*keys).agg(F.avg("_recall").alias("balanced_accuracy"))
+    weight = F.lit(1.0)
+    for k, w in (weights or {}).items():
+        weight = F.when(F.col(label) == k, float(w)).otherwise(weight)
+    return recall.groupBy(*keys).agg((F.sum(F.col("_recall") * weight) / F.sum(weight)).alias("balanced_accuracy"))
+
+
+def class_weights(rows: DataFrame, label: str = "y") -> dict:
+    """The weight of each class that makes all classes count alike: all rows by classes times its own rows."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    return {k: sum(counts.values()) / (len(counts) * n) for k, n in counts.items()}
 
 
 def weighted_score(rows: DataFrame, weight: str = "w", score: str = "s") -> DataFrame:
@@ -199,6 +208,27 @@ def mgua_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence[int]
     return scored.withColumn("f", f_measure(F.col("precision"), F.col("recall"))).orderBy(F.desc("f"), "set_key").limit(keep)
 
 
+def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep: int, max_rounds: int = 10, least: int = 10, good: float = 0.5) -> DataFrame:
+    """round, set_key, precision, recall, f: mgua_round from the empty set, round by round, each from the best `keep` sets
+    of the one before, until the best F no longer grows or max_rounds are done; the rounds up to the best one.
+
+    After the first round only descriptors whose own precision is at least good, or that had too few rows free of
+    conflicts to judge, are candidates.
+    """
+    spark, sets, candidates, out, best = cells.sparkSession, [[]], list(descriptors), [], -1.0
+    for number in range(max_rounds):
+        found = [r.asDict() for r in mgua_round(cells, labels, sets, candidates, keep if number else len(candidates), least).collect()]
+        if not found or found[0]["f"] <= best:
+            break
+        if number == 0:
+            judged = {int(r["set_key"]): r["precision"] for r in found}
+            candidates = [t for t in candidates if judged.get(t, 1.0) >= good]
+        best, found = found[0]["f"], found[:keep]
+        out += [(number, r["set_key"], r["precision"], r["recall"], r["f"]) for r in found]
+        sets = [[int(t) for t in r["set_key"].split(",")] for r in found]
+    return spark.createDataFrame(out, "round int, set_key string, precision double, recall double, f double")
+
+
 def pca_variance(rows: DataFrame, k: int) -> DataFrame:
     """component, explained: the share of variance of the first k principal components of rows(x array).
 
@@ -249,12 +279,13 @@ def nested_cross_validate(rows: DataFrame, cs: Sequence[float], outer: int, inne
     return rows.join(F.broadcast(jobs)).groupBy("test").applyInPandas(one, "fold int, c double, n long, balanced_accuracy double")
 
 
-def kernel_cross_validate(gram: DataFrame, labels: DataFrame, cs: Sequence[float]) -> DataFrame:
-    """number, c, n, loss of kernel SVMs over gram(m1, m2, k), both triangles given, and labels(mol_id, y, fold).
+def kernel_cross_validate(gram: DataFrame, labels: DataFrame, cs: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
+    """number, c, n, loss of kernel SVMs over gram(m1, m2, k), both triangles given, and labels(mol_id, y, fold); one of
+    each for every block that columns within of the labels name.
 
     A Gram matrix is one task's work for each c, so it is for as many objects as its square fits a task.
     """
-    a = labels.select(F.col("mol_id").alias("m1"), F.col("y").alias("y1"), F.col("fold").alias("f1"))
+    a = labels.select(F.col("mol_id").alias("m1"), F.col("y").alias("y1"), F.col("fold").alias("f1"), *within)
     cells = gram.join(a, "m1").join(labels.select(F.col("mol_id").alias("m2")), "m2")
     jobs = gram.sparkSession.createDataFrame(grid({"c": [float(c) for c in cs]}), "number int, c double")
 
@@ -268,6 +299,7 @@ def kernel_cross_validate(gram: DataFrame, labels: DataFrame, cs: Sequence[float
             if len(set(y[train_])) > 1:
                 a_ = kernel_svm(k[np.ix_(train_, train_)], y[train_], g["c"].iloc[0])
                 loss += int((np.where((k[np.ix_(test, train_)] + 1) @ a_ >= 0, 1.0, -1.0) != y[test]).sum())
-        return pd.DataFrame([(g["number"].iloc[0], g["c"].iloc[0], len(y), loss)], columns=["number", "c", "n", "loss"])
+        return pd.DataFrame([(*[g[c].iloc[0] for c in within], g["number"].iloc[0], g["c"].iloc[0], len(y), loss)], columns=[*within, "number", "c", "n", "loss"])
 
-    return cells.join(F.broadcast(jobs)).groupBy("number").applyInPandas(one, "number int, c double, n long, loss long")
+    blocks = "".join(f"{c} {labels.schema[c].dataType.simpleString()}, " for c in within)
+    return cells.join(F.broadcast(jobs)).groupBy(*within, "number").applyInPandas(one, blocks + "number int, c double, n long, loss long")

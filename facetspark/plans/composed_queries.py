@@ -104,7 +104,7 @@ def fuzzy_loss(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("fold").agg(X.fixed(learn.fuzzy_loss(F.col("y"), F.col("s"), 0.2)).alias("loss"))
 
 
-@query("""WITH i AS (SELECT DISTINCT l_orderkey AS mol_id, l_partkey % 7 AS i, l_suppkey % 7 AS j FROM lineitem), b AS (SELECT DISTINCT mol_id, LEAST(i, j) AS i, GREATEST(i, j) AS j FROM i WHERE i <> j), w AS (SELECT mol_id, i, j FROM b UNION ALL SELECT mol_id, j, i FROM b)
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS mol_id, l_partkey % 7 AS i, l_suppkey % 7 AS j FROM lineitem), b AS MATERIALIZED (SELECT DISTINCT mol_id, LEAST(i, j) AS i, GREATEST(i, j) AS j FROM i WHERE i <> j), w AS MATERIALIZED (SELECT mol_id, i, j FROM b UNION ALL SELECT mol_id, j, i FROM b)
 SELECT a.mol_id, a.i AS a, a.j AS b, c.j AS c FROM w a JOIN w c ON a.mol_id = c.mol_id AND a.j = c.i AND a.i < c.j""")
 def simple_paths(spark: SparkSession, d: str) -> DataFrame:
     found = chains.paths(small_graphs(spark, d), 3)

@@ -154,18 +154,18 @@ def mean_absolute_deviation(spark: SparkSession, d: str) -> DataFrame:
 SIDE = "sqrt(({0}.x - {1}.x) * ({0}.x - {1}.x) + ({0}.y - {1}.y) * ({0}.y - {1}.y) + ({0}.z - {1}.z) * ({0}.z - {1}.z))"
 
 
-def first_triangles(points: DataFrame) -> DataFrame:
-    """The triangle of an object's first three points."""
-    return points.where("p = 2").select("mol_id", F.lit(0).alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(2).alias("c"))
+def path_triangles(points: DataFrame) -> DataFrame:
+    """The triangles of an object's points, each with the two after it."""
+    return points.where("p >= 2").select("mol_id", *[(F.col("p") - 2 + k).alias(c) for c, k in (("t", 0), ("a", 0), ("b", 1), ("c", 2))])
 
 
-@query(f"""WITH {PTS}, s AS (SELECT a.mol_id, a.flag + 1 AS seg, {SIDE.format('a', 'b')} AS u, {SIDE.format('b', 'c')} AS v, {SIDE.format('a', 'c')} AS w FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND a.p = 0 AND b.p = 1 JOIN pts c ON a.mol_id = c.mol_id AND c.p = 2),
-q AS (SELECT seg, (u + v + w) / 2 AS h, u, v, w FROM s) SELECT CAST(seg AS INTEGER) AS seg, {fx('sum(sqrt(GREATEST(h * (h - u) * (h - v) * (h - w), 0)))', 3)} AS area FROM q GROUP BY seg""")
+@query(f"""WITH {PTS}, s AS (SELECT a.mol_id, a.flag + 1 AS seg, {SIDE.format('a', 'b')} AS u, {SIDE.format('b', 'c')} AS v, {SIDE.format('a', 'c')} AS w FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND b.p = a.p + 1 JOIN pts c ON a.mol_id = c.mol_id AND c.p = a.p + 2),
+q AS (SELECT seg, (u + v + w) / 2 AS h, u, v, w FROM s) SELECT CAST(seg AS INTEGER) AS seg, {fx('sum(sqrt(GREATEST(h * (h - u) * (h - v) * (h - w), 0)))', 2)} AS area FROM q GROUP BY seg""")
 def area_by_segment(spark: SparkSession, d: str) -> DataFrame:
     points = items(spark, d)
-    shaped = mesh.triangle_geometry(first_triangles(points), points).join(points.where("p = 0").select("mol_id", (F.col("flag") + 1).alias("seg")), "mol_id")
+    shaped = mesh.triangle_geometry(path_triangles(points), points).join(points.select("mol_id", F.col("p").alias("t"), (F.col("flag") + 1).alias("seg")), ["mol_id", "t"])
     whole = mesh.area_by_segment(shaped.select(F.lit(0).alias("mol_id"), "seg", "area"))
-    return whole.select("seg", X.fixed(F.col("area"), 3).alias("area"))
+    return whole.select("seg", X.fixed(F.col("area"), 2).alias("area"))
 
 
 @query(f"""WITH {PTS}, c AS (SELECT mol_id, flag, count(*) AS n FROM pts GROUP BY ALL) SELECT mol_id, CAST(flag AS INTEGER) AS flag FROM c QUALIFY row_number() OVER (PARTITION BY mol_id ORDER BY n DESC, flag) = 1""")
@@ -312,11 +312,10 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
     return chains.first_match(wanted, table(spark, d, "supplier"), "s_suppkey")
 
 
-@query("""WITH e AS (SELECT vec_id AS mol_id, generate_subscripts(embedding, 1) - 1 AS type, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings WHERE label = 3)
+@query("""WITH e AS (SELECT vec_id AS mol_id, generate_subscripts(embedding, 1) - 1 AS type, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
 SELECT mol_id, CAST(type AS INTEGER) AS type, value FROM e UNION ALL SELECT mol_id, CAST(64 + row_number() OVER (ORDER BY mol_id) - 1 AS INTEGER), 0.25 FROM (SELECT DISTINCT mol_id FROM e)""")
 def slack_columns(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "embeddings").where("label = 3").select("vec_id")
-    md = cells(spark, d).join(own, F.col("mol_id") == F.col("vec_id"), "left_semi")
+    md = cells(spark, d)
     return features.slack_columns(md, md, 0.25)
 
 

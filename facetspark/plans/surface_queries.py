@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facetspark.functions import expressions as X
 from facetspark.operators import detect, fields, filters, geometry, graph, kernels, learn, mesh, neighbours, pairs, stats
 from facetspark.plans.catalogue import DIST, EV, PTS, events_path, fx, items, path_edges, query, table, vectors
-from facetspark.plans.descriptor_queries import SIDE, first_triangles
+from facetspark.plans.descriptor_queries import SIDE, path_triangles
 
 # Meshes: the triangles of an order are its consecutive triples of parts.
 
@@ -60,11 +60,11 @@ def vertex_triangle_distance(spark: SparkSession, d: str) -> DataFrame:
     return mesh.vertex_triangle_distance(found, tri).withColumn("d", X.fixed(F.col("d")))
 
 
-@query(f"""WITH {PTS}, s AS (SELECT a.mol_id, {SIDE.format('a', 'b')} AS u, {SIDE.format('b', 'c')} AS v, {SIDE.format('a', 'c')} AS w, (a.x + b.x + c.x) / 3 AS cx FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND a.p = 0 AND b.p = 1 JOIN pts c ON a.mol_id = c.mol_id AND c.p = 2), q AS (SELECT *, (u + v + w) / 2 AS h FROM s)
-SELECT mol_id, {fx('cx')} AS c_x, {fx('sqrt(GREATEST(h * (h - u) * (h - v) * (h - w), 0))', 3)} AS area FROM q""")
+@query(f"""WITH {PTS}, s AS (SELECT a.mol_id, a.p AS t, {SIDE.format('a', 'b')} AS u, {SIDE.format('b', 'c')} AS v, {SIDE.format('a', 'c')} AS w, (a.x + b.x + c.x) / 3 AS cx FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND b.p = a.p + 1 JOIN pts c ON a.mol_id = c.mol_id AND c.p = a.p + 2), q AS (SELECT *, (u + v + w) / 2 AS h FROM s)
+SELECT mol_id, CAST(t AS INTEGER) AS t, {fx('cx')} AS c_x, {fx('sqrt(GREATEST(h * (h - u) * (h - v) * (h - w), 0))', 3)} AS area FROM q""")
 def triangle_geometry(spark: SparkSession, d: str) -> DataFrame:
     p = items(spark, d)
-    return mesh.triangle_geometry(first_triangles(p), p).select("mol_id", X.fixed(F.col("c_x")).alias("c_x"), X.fixed(F.col("area"), 3).alias("area"))
+    return mesh.triangle_geometry(path_triangles(p), p).select("mol_id", "t", X.fixed(F.col("c_x")).alias("c_x"), X.fixed(F.col("area"), 3).alias("area"))
 
 
 @query(f"""WITH {PTS}, l AS (SELECT {DIST} AS len FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND b.p = a.p + 1) SELECT count(*) AS n, {fx('avg(len)', 4)} AS mean, list(len ORDER BY len)[CAST(floor(0.9 * count(*) + 0.5) AS BIGINT) + 1] AS q90 FROM l""")
@@ -75,19 +75,18 @@ def edge_length_stats(spark: SparkSession, d: str) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), X.fixed(F.avg("len"), 4).alias("mean"), F.lit(q90).alias("q90"))
 
 
-# Fields: the first items of a priority class act as atoms.
+# Fields: vectors of even ids act as atoms on those of odd ids.
 
 
 def near_atoms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors' first three dimensions as points, and the five least ids of each class as atoms."""
+    """Vectors' first three dimensions: those of odd ids as points, the others as atoms of their class."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("mol_id"), F.col("vec_id").alias("v"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
-    atoms = pairs.number_points(e, "mol_id", ["v"]).where("p < 5")
-    return e, atoms.select("mol_id", "x", "y", "z", F.when(F.col("v") % 2 == 0, 1.0).otherwise(-1.0).alias("charge"), F.lit(0.1).alias("radius"))
+    return e.where("v % 2 = 1"), e.where("v % 2 = 0").select("mol_id", "x", "y", "z", F.when(F.col("v") % 4 == 0, 1.0).otherwise(-1.0).alias("charge"), F.lit(0.1).alias("radius"))
 
 
 ATOMS = """e AS (SELECT label AS mol_id, vec_id AS v, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
-a AS (SELECT *, CASE WHEN v % 2 = 0 THEN 1.0 ELSE -1.0 END AS q FROM e QUALIFY row_number() OVER (PARTITION BY mol_id ORDER BY v) <= 5),
-r AS (SELECT e.mol_id, e.v, a.q, sqrt((e.x - a.x) * (e.x - a.x) + (e.y - a.y) * (e.y - a.y) + (e.z - a.z) * (e.z - a.z)) AS d FROM e JOIN a ON e.mol_id = a.mol_id)"""
+a AS (SELECT *, CASE WHEN v % 4 = 0 THEN 1.0 ELSE -1.0 END AS q FROM e WHERE v % 2 = 0),
+r AS (SELECT e.mol_id, e.v, a.q, sqrt((e.x - a.x) * (e.x - a.x) + (e.y - a.y) * (e.y - a.y) + (e.z - a.z) * (e.z - a.z)) AS d FROM e JOIN a ON e.mol_id = a.mol_id AND e.v % 2 = 1)"""
 
 
 @query(f"WITH {ATOMS} SELECT CAST(mol_id AS INTEGER) AS mol_id, v, {fx('sum(q / (d + 0.0000000000001))', 3)} AS potential FROM r GROUP BY ALL HAVING min(d) > 0")
@@ -258,12 +257,11 @@ def geodesic(spark: SparkSession, d: str) -> DataFrame:
     return graph.geodesics(edges, 2.1).withColumn("d", X.fixed(F.col("d"), 5))
 
 
-@query(f"""WITH {VEC}, f AS (SELECT key, v, u, d FROM vp UNION ALL SELECT key, u, v, d FROM vp), s AS (SELECT key, v, floor(sum(d) * 1000000 + 0.5) AS t FROM f GROUP BY ALL) SELECT CAST(key AS INTEGER) AS mol_id, CAST(1 AS INTEGER) AS seg, arg_min(v, t * 100000 + v) AS center_v FROM s GROUP BY key""")
+@query(f"""WITH {VEC}, f AS (SELECT key, v, u, d FROM vp UNION ALL SELECT key, u, v, d FROM vp), s AS (SELECT key, v, CAST(sum(floor(d * 1000000 + 0.5)) AS BIGINT) AS t FROM f GROUP BY ALL) SELECT CAST(key AS INTEGER) AS mol_id, CAST(1 AS INTEGER) AS seg, arg_min(v, t * 100000 + v) AS center_v FROM s GROUP BY key""")
 def medoid(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = vector_graph(spark, d, 4.0)
-    on_grid = edges.select("mol_id", F.col("src").alias("v"), F.col("dst").alias("u"), F.col("len").alias("d"))
-    sums = on_grid.groupBy("mol_id", "v").agg(F.floor(F.sum("d") * 1e6 + 0.5).alias("d")).withColumn("u", F.col("v"))
-    return graph.medoids(sums, nodes.withColumn("seg", F.lit(1)))
+    on_grid = edges.select("mol_id", F.col("src").alias("v"), F.col("dst").alias("u"), F.floor(F.col("len") * 1e6 + 0.5).alias("d"))
+    return graph.medoids(on_grid, nodes.withColumn("seg", F.lit(1)))
 
 
 def _greedy_sql() -> str:
@@ -277,40 +275,59 @@ def greedy_points(spark: SparkSession, d: str) -> DataFrame:
     return detect.greedy_points(items(spark, d).select("mol_id", "p", "x", "y", "z"), 15.0, ["p"]).select("mol_id", "p")
 
 
-# Kernels between orders: those of a customer segment's first keys; a Gram matrix is asked for by its objects.
+# Kernels between all orders of a customer, for all customers.
 
 
 def kernel_points(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).where("mol_id <= 120").withColumn("type", F.col("flag"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("mol_id"), F.col("o_custkey").alias("customer"))
+    return items(spark, d).join(orders, "mol_id").withColumn("type", F.col("flag"))
 
 
-KP = f"{PTS}, kp AS (SELECT *, flag AS type FROM pts WHERE mol_id <= 120), pr AS (SELECT a.mol_id, a.p AS p1, b.p AS p2, a.type AS t1, b.type AS t2, {DIST} AS d FROM kp a JOIN kp b ON a.mol_id = b.mol_id AND a.p < b.p), bw AS (SELECT * FROM pr UNION ALL SELECT mol_id, p2, p1, t2, t1, d FROM pr)"
+def kernel_pairs(spark: SparkSession, d: str, *properties: str) -> DataFrame:
+    points = kernel_points(spark, d)
+    found = pairs.pairs(points).join(points.select("mol_id", "customer").distinct(), "mol_id")
+    for i in (1, 2):
+        found = found.join(points.select("mol_id", F.col("p").alias(f"p{i}"), *[F.col(c).alias(f"{c}{i}") for c in properties]), ["mol_id", f"p{i}"]) if properties else found
+    return found
 
 
-@query(f"WITH {KP} SELECT a.mol_id AS m1, b.mol_id AS m2, {fx('sum(GREATEST(0, (8.0 - abs(a.d - b.d)) / 8.0))', 5)} AS k FROM pr a JOIN bw b ON a.t1 = b.t1 AND a.t2 = b.t2 AND a.mol_id <= b.mol_id GROUP BY ALL")
+KP = f"{PTS}, kp AS (SELECT pts.*, flag AS type, o_custkey AS customer FROM pts JOIN orders ON o_orderkey = mol_id), pr AS (SELECT a.mol_id, a.customer, a.x AS x1, b.x AS x2, a.p AS p1, b.p AS p2, a.type AS t1, b.type AS t2, {DIST} AS d FROM kp a JOIN kp b ON a.mol_id = b.mol_id AND a.p < b.p), bw AS (SELECT * FROM pr UNION ALL SELECT mol_id, customer, x2, x1, p2, p1, t2, t1, d FROM pr)"
+
+
+@query(f"WITH {KP} SELECT a.mol_id AS m1, b.mol_id AS m2, {fx('sum(GREATEST(0, (8.0 - abs(a.d - b.d)) / 8.0))', 5)} AS k FROM pr a JOIN bw b ON a.customer = b.customer AND a.t1 = b.t1 AND a.t2 = b.t2 AND a.mol_id <= b.mol_id GROUP BY ALL")
 def pair_kernel(spark: SparkSession, d: str) -> DataFrame:
-    found = kernels.pair_kernel(pairs.pairs(kernel_points(spark, d)), lambda a, b: X.triangle_kernel(a, b, 8.0))
+    found = kernels.pair_kernel(kernel_pairs(spark, d), lambda a, b: X.triangle_kernel(a, b, 8.0), within=["customer"])
+    return found.withColumn("k", X.fixed(F.col("k"), 5))
+
+
+NEAR_X = "GREATEST(0, (20.0 - abs(a.x{0} - b.x{0})) / 20.0)"
+
+
+@query(f"WITH {KP} SELECT a.mol_id AS m1, b.mol_id AS m2, {fx(f'sum(GREATEST(0, (8.0 - abs(a.d - b.d)) / 8.0) * {NEAR_X.format(1)} * {NEAR_X.format(2)})', 5)} AS k FROM pr a JOIN bw b ON a.customer = b.customer AND a.t1 = b.t1 AND a.t2 = b.t2 AND a.mol_id <= b.mol_id GROUP BY ALL")
+def pair_kernel_with_properties(spark: SparkSession, d: str) -> DataFrame:
+    near = lambda a, b: X.triangle_kernel(a["x"], b["x"], 20.0)
+    found = kernels.pair_kernel(kernel_pairs(spark, d, "x"), lambda a, b: X.triangle_kernel(a, b, 8.0), ["x"], near, ["customer"])
     return found.withColumn("k", X.fixed(F.col("k"), 5))
 
 
-@query(f"""WITH {KP}, m AS (SELECT a.mol_id AS m1, b.mol_id AS m2, a.p1 * 100 + b.p1 AS r, a.p2 * 100 + b.p2 AS c, GREATEST(0, (8.0 - abs(a.d - b.d)) / 8.0) AS w FROM bw a JOIN bw b ON a.t1 = b.t1 AND a.t2 = b.t2 AND a.mol_id <= b.mol_id WHERE abs(a.d - b.d) < 8)
+@query(f"""WITH {KP}, m AS (SELECT a.mol_id AS m1, b.mol_id AS m2, a.p1 * 100 + b.p1 AS r, a.p2 * 100 + b.p2 AS c, GREATEST(0, (8.0 - abs(a.d - b.d)) / 8.0) AS w FROM bw a JOIN bw b ON a.customer = b.customer AND a.t1 = b.t1 AND a.t2 = b.t2 AND a.mol_id <= b.mol_id WHERE abs(a.d - b.d) < 8)
 SELECT x.m1, x.m2, {fx('sum(x.w * y.w * z.w)', 4)} AS k FROM m x JOIN m y ON x.m1 = y.m1 AND x.m2 = y.m2 AND x.c = y.r JOIN m z ON z.m1 = x.m1 AND z.m2 = x.m2 AND z.r = y.c AND z.c = x.r GROUP BY ALL""")
 def triple_kernel(spark: SparkSession, d: str) -> DataFrame:
-    found = kernels.triple_kernel(pairs.pairs(kernel_points(spark, d)), lambda a, b: X.triangle_kernel(a, b, 8.0))
+    found = kernels.triple_kernel(kernel_pairs(spark, d), lambda a, b: X.triangle_kernel(a, b, 8.0), within=["customer"])
     return found.withColumn("k", X.fixed(F.col("k"), 4))
 
 
-@query(f"WITH {KP} SELECT a.mol_id AS m1, b.mol_id AS m2, {fx('sum(CASE WHEN abs(a.x - b.x) > 20 THEN 0 ELSE exp(-(a.x - b.x) * (a.x - b.x) / 50) END * GREATEST(0, (10.0 - abs(a.y - b.y)) / 10.0))', 5)} AS k FROM kp a JOIN kp b ON a.type = b.type AND a.mol_id <= b.mol_id GROUP BY ALL")
+@query(f"WITH {KP} SELECT a.mol_id AS m1, b.mol_id AS m2, {fx('sum(CASE WHEN abs(a.x - b.x) > 20 THEN 0 ELSE exp(-(a.x - b.x) * (a.x - b.x) / 50) END * GREATEST(0, (10.0 - abs(a.y - b.y)) / 10.0))', 5)} AS k FROM kp a JOIN kp b ON a.customer = b.customer AND a.type = b.type AND a.mol_id <= b.mol_id GROUP BY ALL")
 def naive_kernel(spark: SparkSession, d: str) -> DataFrame:
     kernel = lambda a, b: X.product_kernel([X.gaussian_kernel(a["x"], b["x"], 5.0), X.triangle_kernel(a["y"], b["y"], 10.0)])
-    return kernels.set_kernel(kernel_points(spark, d).select("mol_id", "type", "x", "y"), kernel).withColumn("k", X.fixed(F.col("k"), 5))
+    return kernels.set_kernel(kernel_points(spark, d).select("mol_id", "customer", "type", "x", "y"), kernel, within=["customer"]).withColumn("k", X.fixed(F.col("k"), 5))
 
 
-@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 2) SELECT a.vec_id AS m1, b.vec_id AS m2, {fx('list_inner_product(a.e, b.e)')} AS k FROM v a, v b")
+@query(f"WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS m1, b.vec_id AS m2, {fx('list_inner_product(a.e, b.e)')} AS k FROM v a JOIN v b ON a.label = b.label")
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
-    own = vectors(spark, d).where("key = 2").select(F.col("v").alias("mol_id"), "vec")
+    own = vectors(spark, d).select(F.col("v").alias("mol_id"), "vec", "key")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return kernels.vector_gram(own, dot).withColumn("k", X.fixed(F.col("k")))
+    return kernels.vector_gram(own, dot, ["key"]).withColumn("k", X.fixed(F.col("k")))
 
 
 # Geometry.
@@ -387,12 +404,12 @@ def svm_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def svm_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """Kernel SVM on the Gram matrix of two classes of embeddings."""
-    own = vectors(spark, d).where("key in (2, 7)")
+    """Kernel SVMs that tell each even class from the odd one after it, on the Gram matrices of these pairs of classes."""
+    own = vectors(spark, d).select(F.col("v").alias("mol_id"), "vec", F.floor(F.col("key") / 2).cast("int").alias("task"), F.when(F.col("key") % 2 == 0, 1).otherwise(-1).alias("y"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    gram = kernels.vector_gram(own.select(F.col("v").alias("mol_id"), "vec"), dot)
-    labels = own.select(F.col("v").alias("mol_id"), F.when(F.col("key") == 2, 1).otherwise(-1).alias("y"), (F.col("v") % 5).cast("int").alias("fold"))
-    return learn.kernel_cross_validate(gram, labels, [0.1, 1.0, 10.0])
+    gram = kernels.vector_gram(own, dot, ["task"])
+    labels = own.select("mol_id", "task", "y", (F.col("mol_id") % 5).cast("int").alias("fold"))
+    return learn.kernel_cross_validate(gram, labels, [0.1, 1.0, 10.0], ["task"])
 
 
 @query()
@@ -408,11 +425,11 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 BITS = "c AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS type, CAST(unnest(embedding) > 0 AS INT) AS value FROM embeddings)"
 
 
-@query(f"""WITH {BITS}, g AS (SELECT a.vec_id, a.label, a.type AS s, b.type AS t, a.value * 2 + b.value AS vec FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.type < 4 AND b.type < 12 AND a.type <> b.type), k AS (SELECT LEAST(s, t) AS s, GREATEST(s, t) AS t, CASE WHEN s < t THEN vec ELSE (vec % 2) * 2 + vec // 2 END AS vec, vec_id, label FROM g), u AS (SELECT DISTINCT s, t, vec, vec_id, label FROM k),
+@query(f"""WITH {BITS}, g AS (SELECT a.vec_id, a.label, a.type AS s, b.type AS t, a.value * 2 + b.value AS vec FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.type < b.type), u AS (SELECT DISTINCT s, t, vec, vec_id, label FROM g),
 b AS (SELECT s, t, vec, count(*) AS n, sum(CASE WHEN label < 5 THEN 1 ELSE 0 END) AS pos FROM u GROUP BY ALL), m AS (SELECT s, t, sum(n) AS n, sum(CASE WHEN pos = 0 OR pos = n THEN n ELSE 0 END) AS f, sum(LEAST(pos, n - pos)) AS w FROM b GROUP BY ALL), p AS (SELECT s, t, n, f, 1 - w / CAST(n AS DOUBLE) AS p FROM m WHERE f >= 0), q AS (SELECT *, p * f / CAST(n AS DOUBLE) AS r FROM p)
 SELECT s || ',' || t AS set_key, {fx('2 * r * p / (r + p + 0.000001) + 0.35 * p', 5)} AS f FROM q""")
 def mgua_round(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("mol_id"), F.posexplode("embedding").alias("type", "value")).withColumn("value", (F.col("value") > 0).cast("int"))
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("mol_id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
-    out = learn.mgua_round(cells, labels, [[t] for t in range(4)], range(12), 1000, 0)
+    out = learn.mgua_round(cells, labels, [[t] for t in range(64)], range(64), 64 * 64, 0)
     return out.select("set_key", X.fixed(F.col("f"), 5).alias("f"))
