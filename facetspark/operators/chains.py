@@ -75,3 +75,23 @@ def first_match(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """wanted(key) with the number (from 1, in the table's sorted order) of its first equal row, 0 if there is none."""
     ranked = table.select(key).withColumn("_n", F.row_number().over(Window.orderBy(key))).groupBy(key).agg(F.min("_n").alias("n"))
     return wanted.join(ranked, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+
+
+#: Fixed sets of markers that a sweep goes through, and its lengths of chains.
+MARKERS = ("", "R", "B", "D", "BR", "DR", "DB", "DBR")
+LENGTHS = (2, 3, 4)
+
+
+def sweep(atoms: DataFrame, bonds: DataFrame, ring: DataFrame | None = None, markers: Sequence[str] = MARKERS, lengths: Sequence[int] = LENGTHS) -> DataFrame:
+    """markers, length, mol_id, code, cnt: the chain counts of every set of markers with every length.
+
+    Paths are found once for each length, whatever the markers.
+    """
+    out = None
+    for length in lengths:
+        found = paths(bonds, length)
+        for own in markers:
+            one = counts(path_codes(found, atom_codes(atoms, bonds, ring, own)), F.col("code"))
+            one = one.select(F.lit(own).alias("markers"), F.lit(length).alias("length"), "mol_id", "code", "cnt")
+            out = one if out is None else out.unionByName(one)
+    return out

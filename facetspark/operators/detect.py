@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.functions.expressions import combination, detector
-from facetspark.operators.filters import apply_kernels, difference_of_gaussians, laplacian_of_gaussian
+from facetspark.operators.filters import apply_kernels, difference_of_gaussians, gaussian, laplacian_of_gaussian
+from facetspark.operators.geometry import hessian_responses
 from facetspark.operators.neighbours import local_extrema, scale_extrema
 from facetspark.operators.stats import standardise
 
@@ -84,7 +85,7 @@ def responses(near: DataFrame, values: DataFrame, sigmas: Sequence[float], kind:
     """mol_id, v, level, value: the blob response at every sigma, standardised by object and level."""
     kind, out = detector(kind), None
     if kind == "hess_det":
-        raise ValueError("Hessian responses come from geometry.combine_channels")
+        raise ValueError("Hessian responses come from hessian_levels")
     for level, sigma in enumerate(sigmas):
         if kind == "dog":
             one = difference_of_gaussians(near, values, sigma, coefficient=sigma / 0.1)
@@ -96,15 +97,52 @@ def responses(near: DataFrame, values: DataFrame, sigmas: Sequence[float], kind:
     return scaled.select("mol_id", "v", "level", F.col("response").alias("value"))
 
 
+def hessian_levels(near: DataFrame, vertices: DataFrame, sigmas: Sequence[float], properties: Sequence[str], channel: str = "scalar") -> DataFrame:
+    """mol_id, v, level, value: the Hessian response of the properties, blurred at every sigma, standardised by object
+    and level; near has the neighbours' places p, q in the tangent plane beside d."""
+    out = None
+    for prop in properties:
+        field = vertices.select("mol_id", "v", F.col(prop).alias("value"))
+        blurred = apply_kernels(near, field, {f"s{k}": gaussian(s) for k, s in enumerate(sigmas)})
+        levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"s{k}").alias("value")) for k in range(len(sigmas))]))
+        one = blurred.select("mol_id", "v", levels.alias("at")).select("mol_id", "v", "at.level", F.lit(prop).alias("prop"), "at.value")
+        out = one if out is None else out.unionByName(one)
+    found = hessian_responses(near, out, list(sigmas)).select("mol_id", "v", "level", F.col(channel).alias("raw"))
+    return standardise(found, "raw", "mol_id", "level").select("mol_id", "v", "level", F.col("response").alias("value"))
+
+
 class ScaleSpaceFinder:
-    """Blob responses over sigmas, extrema in space and scale."""
+    """Blob responses over sigmas, extrema in space and scale.
+
+    The kind hess_det takes the Hessians of properties, combined by channels; the other kinds have the scalar channel
+    and one property. PCA over properties is geometry.local_pca and no channel of a finder.
+    """
+
+    def __init__(self, sigmas: Sequence[float], kind: str = "dog", channels: str = "scalar", properties: Sequence[str] = ("value",)):
+        self.sigmas, self.kind, self.channels, self.properties = list(sigmas), detector(kind), combination(channels), list(properties)
+        if self.channels == "pca" or (self.kind != "hess_det" and (self.channels != "scalar" or len(self.properties) > 1)):
+            raise ValueError(f"{self.kind} has no channels {self.channels} of {len(self.properties)} properties")
 
-    def __init__(self, sigmas: Sequence[float], kind: str = "dog", channels: str = "scalar"):
-        self.sigmas, self.kind, self.channels = list(sigmas), detector(kind), combination(channels)
+    def responses(self, vertices: DataFrame, near: DataFrame) -> DataFrame:
+        if self.kind == "hess_det":
+            return hessian_levels(near, vertices, self.sigmas, self.properties, self.channels)
+        return responses(near, vertices.select("mol_id", "v", F.col(self.properties[0]).alias("value")), self.sigmas, self.kind)
 
     def find(self, vertices: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
-        field = vertices.select("mol_id", "v", "value")
-        return scale_extrema(responses(near, field, self.sigmas, self.kind), edges)
+        return scale_extrema(self.responses(vertices, near), edges)
+
+
+def separate_extrema(finders: Sequence[ScaleSpaceFinder], vertices: DataFrame, edges: DataFrame, near: DataFrame, radius: float = 1.0) -> DataFrame:
+    """Points of several finders, one for each property: in their order, no point within radius of one kept before.
+
+    vertices have x, y, z; the result has mol_id, number (of the finder), level, v, kind, value and x, y, z.
+    """
+    out = None
+    for number, own in enumerate(finders):
+        one = own.find(vertices, edges, near).select("mol_id", F.lit(number).alias("number"), "level", "v", "kind", "value")
+        out = one if out is None else out.unionByName(one)
+    placed = out.join(vertices.select("mol_id", "v", "x", "y", "z"), ["mol_id", "v"])
+    return greedy_points(placed, radius, ["number", "level", "v"])
 
 
 class PlainFinder:

@@ -119,6 +119,21 @@ def mesh_weights(triangle_distance: DataFrame, triangles: DataFrame, radius: flo
     return hit.groupBy("mol_id", "v", "u").agg(F.sum("area").alias("w"))
 
 
+def connected_mesh_weights(triangle_distance: DataFrame, triangles: DataFrame, radius: float) -> DataFrame:
+    """mesh_weights() of those triangles within radius that are connected, by shared edges of triangles within it, to one
+    that the vertex is a corner of: the far side of a thin fold plays no part."""
+    from facetspark.operators.graph import reachable
+
+    hit = triangle_distance.where(F.col("d") <= radius).select("mol_id", "v", "t")
+    corners = triangles.select("mol_id", "t", F.explode(F.array("a", "b", "c")).alias("u"))
+    sides = triangles.select("mol_id", "t", F.explode(F.array(*[F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j")) for x, y in ("ab", "bc", "ac")])).alias("side"))
+    beside = sides.join(sides.withColumnRenamed("t", "t2"), ["mol_id", "side"]).where("t <> t2").select("mol_id", "t", "t2").distinct()
+    edges = hit.join(beside, ["mol_id", "t"]).join(hit.withColumnRenamed("t", "t2"), ["mol_id", "v", "t2"]).select("mol_id", F.col("v").alias("of"), F.col("t").alias("src"), F.col("t2").alias("dst"))
+    seeds = hit.join(corners, ["mol_id", "t"]).where("u = v").select("mol_id", F.col("v").alias("of"), F.col("t").alias("v"))
+    kept = reachable(seeds, edges, ["mol_id", "of"]).select("mol_id", F.col("of").alias("v"), F.col("v").alias("t"), F.lit(0.0).alias("d"))
+    return mesh_weights(kept, triangles, radius)
+
+
 def smooth_coordinates(near: DataFrame, vertices: DataFrame, sigma: float, columns: Sequence[str] = ("x", "y", "z"), unit: bool = False, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
     """keys, v and the columns, each blurred at sigma, all in one aggregate; unit puts the result back on the unit sphere."""
     field = vertices.select(*keys, F.col("v").alias("u"), *columns)

@@ -78,6 +78,18 @@ def segments_from_seeds(values: DataFrame, edges: DataFrame, seeds: DataFrame, t
         reached = reached.union(front)
 
 
+def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+    """keys, v: what edges(keys, src, dst) lead to from seeds(keys, v), themselves included."""
+    reached = front = written(seeds.select(*keys, "v").distinct())
+    for _ in range(max_rounds):
+        step = front.withColumnRenamed("v", "src").join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("v")).distinct()
+        front = written(step.join(reached, [*keys, "v"], "left_anti"))
+        if front.isEmpty():
+            return reached
+        reached = reached.union(front)
+    raise RuntimeError(f"not all reached after {max_rounds} rounds")
+
+
 def bfs_hops(seeds: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
     """mol_id, v, hops: least number of edges from a seed, up to radius; other vertices are absent."""
     reached = seeds.select("mol_id", "v").distinct().withColumn("hops", F.lit(0))

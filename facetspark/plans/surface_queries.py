@@ -381,6 +381,30 @@ def raster_hessian(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.grid_hessian(price_grid(spark, d)).select("y", "x", X.fixed(F.col("det"), 3).alias("det"), X.fixed(F.col("sobel"), 4).alias("sobel"))
 
 
+E3 = "CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c"
+
+
+@query(f"""WITH e AS (SELECT vec_id, {E3} FROM embeddings), n AS (SELECT vec_id, a / sqrt(a * a + b * b + c * c) AS a, b / sqrt(a * a + b * b + c * c) AS b, c / sqrt(a * a + b * b + c * c) AS c FROM e)
+SELECT vec_id, {fx('1 - a * a / (1 + c)', 5)} AS x, {fx('-a * b / (1 + c)', 5)} AS y, {fx('-a', 5)} AS z FROM n""")
+def turned_axis(spark: SparkSession, d: str) -> DataFrame:
+    """The x axis, turned as each vector's first three dimensions turn to the z axis."""
+    raw = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
+    size = F.sqrt(X.dot(raw, raw))
+    unit = table(spark, d, "embeddings").select("vec_id", *[(x / size).alias(c) for x, c in zip(raw, "abc")])
+    matrix = X.rotation_between([F.col(c) for c in "abc"], [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    moved = X.turned(F.col("matrix"), [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
+    return unit.withColumn("matrix", matrix).select("vec_id", *[X.fixed(x, 5).alias(c) for x, c in zip(moved, "xyz")])
+
+
+@query(f"WITH {PTS} SELECT a.mol_id, CAST(a.p AS INTEGER) AS p, (a.x IS NOT DISTINCT FROM b.x) AND ((a.flag = b.flag AND a.level = b.level) OR (a.flag = b.level AND a.level = b.flag)) AS same FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND b.p = a.p + 1")
+def symmetric_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each point's (flag, level, x), taken as a pair at a distance, is the next one's in either order."""
+    p = items(spark, d).select("mol_id", "p", "flag", "level", "x")
+    after = p.select("mol_id", (F.col("p") - 1).alias("p"), *[F.col(c).alias(f"{c}_") for c in ("flag", "level", "x")])
+    pair = lambda tail: tuple(F.col(f"{c}{tail}") for c in ("flag", "level", "x"))
+    return p.join(after, ["mol_id", "p"]).select("mol_id", "p", X.same_pair(pair(""), pair("_")).alias("same"))
+
+
 # Learning; no practical oracle but for the round of descriptor sets.
 
 
@@ -412,6 +436,14 @@ def svm_kernel(spark: SparkSession, d: str) -> DataFrame:
     return learn.kernel_cross_validate(gram, labels, [0.1, 1.0, 10.0], ["task"])
 
 
+@query()
+def grown_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptor sets grown from all 64 signs of the embeddings until they no longer tell the classes better."""
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("mol_id"), F.posexplode("embedding").alias("type", "value")).withColumn("value", (F.col("value") > 0).cast("int"))
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("mol_id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    return learn.mgua(cells, labels, range(64), 10, 4, 0).select("round", "set_key", X.fixed(F.col("f"), 5).alias("f"))
+
+
 @query()
 def l0_select(spark: SparkSession, d: str) -> DataFrame:
     return learn.select_l0(svm_rows(spark, d), 0.1)

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-#: Stage tables, by the ending of the file that held each.
+#: Fixed endings of the files of a set of objects, and the stage table that stands for each.
 STAGES = {
-    "wrl": "surface", "ch": "charges", "wdv": "radii", "lbs": "labels", "props": "properties", "tr": "triangles", "pts": "points", "pts_lev": "points_levels",
-    "prs": "pairs", "prs_lev": "pairs_levels", "trs": "triples", "trs_lev": "triples_levels", "pmd": "pair_matrix", "pmd_lev": "pair_matrix_levels", "tmd": "triple_matrix", "tmd_lev": "triple_matrix_levels",
+    "wrl": "surface", "tr": "triangles", "ch": "charges", "wdv": "radii", "sgm": "segments", "tps": "types", "tps_lev": "types_levels",
+    "dbl": "values", "dbl_lev": "values_levels", "sng": "points", "sngnmt": "point_types", "sngnml": "point_labels",
+    "sngnmt_lev": "point_types_levels", "sngnml_lev": "point_labels_levels", "hist": "histogram",
+    "prs": "pairs", "prs_lev": "pairs_levels", "trps": "triples", "pmd": "pair_matrix", "pmd_lev": "pair_matrix_levels",
+    "tmd": "triple_matrix", "tmd_lev": "triple_matrix_levels", "pkr": "pair_kernels", "tkr": "triple_kernels",
+    "lbs": "labels", "clbs": "counted_labels", "props": "properties", "qlt": "quality",
 }
 
 
