@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -72,13 +73,19 @@ def releasing(run: Callable) -> Callable:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release_memory()
 
     return wrapped
 
 
+def release_memory() -> None:
+    """Gives memory that this process doesn't need back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends Python workers batches of BATCH at most."""
     for key, most in BATCH.items():

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, releasing, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, releasing, stage
 
 #: Characters of trusted text a language, about, from which the model is counted.
 TRAINING_CHARS = 4_000_000
@@ -293,7 +293,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int")
     pages = keys.select(place.alias("place")).distinct().groupBy(F.shiftright("place", PAGE_BITS)).applyInArrow(_page, "page int, bits binary")
     out = np.zeros((1 << (FILTER_BITS - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
-    for r in pages.toLocalIterator():
+    for r in pages.collect():
         out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -303,8 +303,8 @@ def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int
     spark, texts = docs.sparkSession, _texts(docs)
     model = stage(keyed(weights), "keys")
     # The least count with at most hot_rows weights at or above it; counts are few different numbers.
-    counts, least, rows = model.groupBy("cnt").agg(F.count("*").alias("n")).orderBy(F.desc("cnt")).toLocalIterator(), None, 0
-    for r in counts:
+    counts, least, rows = model.groupBy("cnt").agg(F.count("*").alias("n")).collect(), None, 0
+    for r in sorted(counts, reverse=True):
         if rows + r["n"] > hot_rows:
             break
         least, rows = r["cnt"], rows + r["n"]
@@ -326,6 +326,8 @@ def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int
     out = total.join(checked_broadcast(unknown), "lang", "left").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, nll).alias("nll"))
     out = stage(out, "scores")
     drop_staged(model)
+    hot.destroy()
+    release_memory()
     return out
 
 

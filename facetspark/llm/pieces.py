@@ -39,7 +39,7 @@ from facetspark.llm.common import arrow_rows, as_documents, parts, releasing
 
 SPACE = "▁"
 #: Words, or pairs of pieces, in a generation of a worker's cache.
-CACHE = 250_000
+CACHE = 150_000
 LONGEST_KEPT = 64
 
 

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, parts, releasing, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, fresh, parts, release_memory, releasing, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -44,7 +45,7 @@ SIMILAR = 0.8
 SAMPLE = 16
 ENOUGH = 5000
 OFTEN = 4
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 #: How many of a group its texts are compared with, round by round; in the last, all.
 FIRST = (16, None)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -297,7 +298,7 @@ def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(SAMPLE, n // ENOUGH)))) == 0)
     counted = stage(some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "frequent")
     least, rows = 1 << 62, 0
-    for r in counted.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("rows")).collect(), reverse=True):
         if rows + r["rows"] > FREQUENT:
             break
         least, rows = r["n"], rows + r["rows"]
@@ -325,8 +326,10 @@ def may_be_similar(a: bytes, b: bytes, n: int, least: float) -> bool:
     return (n - apart) / 2 >= least * n / (1 + least) - 1e-6
 
 
-def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
-    """node, fp (word fingerprint), size (shingles), bits (parities) and keys (the shingles of the prefix, in order) of
+def _signatures(texts: DataFrame, n: int, least: float) -> tuple[DataFrame, Broadcast]:
+    """What follows, and the frequent shingles that it needs until it is written.
+
+    node, fp (word fingerprint), size (shingles), bits (parities) and keys (the shingles of the prefix, in order) of
     texts(node, text).
 
     All texts order their shingles alike, the more frequent later. Of two texts with a similarity of least or more, each
@@ -355,7 +358,7 @@ def _signatures(texts: DataFrame, n: int, least: float) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), listed], ["node", "fp", "size", "bits", "keys"])
 
-    return texts.mapInArrow(run, "node long, fp long, size int, bits binary, keys array<long>")
+    return texts.mapInArrow(run, "node long, fp long, size int, bits binary, keys array<long>"), sent
 
 
 def _beside(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
@@ -417,7 +420,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     nodes = stage(nodes, "nodes")  # written, so that the numbers stay
     of = checked_broadcast(nodes.select(F.col("doc_id").alias("of_doc"), F.col("hash").alias("of_hash"), "node"))
     own = texts.join(of, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))).select("node", "text")
-    signatures = stage(_signatures(own, nodes.count(), least), "signatures")
+    signatures, sent = _signatures(own, nodes.count(), least)
+    signatures = stage(signatures, "signatures")
+    sent.destroy()
+    release_memory()
     pairs = _close(signatures)
     roots = components(_similar_pairs(pairs, signatures, own, least))
     compared, by_key = pairs, Window.partitionBy("key")
