@@ -84,3 +84,13 @@ def test_encoding_and_run(spark, results):
     expected = {r["doc_id"]: library.encode(r["text"]) if r["text"] else [] for r in before}
     assert {r["doc_id"]: r["ids"] for r in after} == expected and all(r["n_tokens"] == len(r["ids"]) for r in after)
     assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()} == expected
+
+
+def test_empty_and_null_documents_go_through_all_stages(spark):
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "en", "src0", 20), (9, None, None, "src1", None)], whole.schema)
+    for docs, least in ((whole.limit(0), 0), (nulls.union(whole.limit(5)), 2)):
+        for name, step in corpus_pipeline.STAGES:
+            docs = stage(step(spark, docs, SF), name)
+        assert docs.count() >= least
+        assert least == 0 or [r["n_tokens"] for r in docs.where("doc_id is null").collect()][-1:] != []
