@@ -47,15 +47,15 @@ class Kept(dict):
     """Values made on demand. When a generation is full it becomes the old one, from which what is asked for again moves
     to the new one; the one before is forgotten."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, times: int = 1):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.times = make, {}, times
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.times * CACHE:
             self.old = dict(self)
             self.clear()
         if not isinstance(key, str) or len(key) <= LONGEST_KEPT:
@@ -97,7 +97,7 @@ class Codec:
         self.spines: dict[int, tuple[int, int] | None] = {}
         self.fits = Kept(lambda pair: self.compatible(*pair))
         self.packed = Kept(lambda w: array("i", self.word(w)).tobytes())
-        self.told = Kept(self.tell)
+        self.told = Kept(self.tell, 2)
         own = "".join(map(re.escape, sorted(self.joined("e"))))
         self.atoms = re.compile(f"{SPACE}?(?:[{own}]+|[^{own}{SPACE}]+)")
         self.gaps = re.compile(f"{SPACE}{{2,}}|{SPACE}\\Z")
