@@ -212,11 +212,9 @@ def rotation_between(a: Sequence[Column], b: Sequence[Column]) -> Column:
     c = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
     cross = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
     square = [[sum((cross[i][k] * cross[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
-    # An axis across a: with the unit vector of its least coordinate.
-    least = F.least(*[F.abs(x) for x in a])
-    e = [F.when(F.abs(a[0]) == least, 1.0).otherwise(0.0), F.when((F.abs(a[0]) != least) & (F.abs(a[1]) == least), 1.0).otherwise(0.0)]
-    e.append(1.0 - e[0] - e[1])
-    w = [a[1] * e[2] - a[2] * e[1], a[2] * e[0] - a[0] * e[2], a[0] * e[1] - a[1] * e[0]]
+    # An axis across a: its cross product with the x axis, or with the y axis where a is close to that one.
+    far = F.abs(a[0]) < 0.8
+    w = [F.when(far, 0.0).otherwise(-a[2]), F.when(far, a[2]).otherwise(0.0), F.when(far, -a[1]).otherwise(a[0])]
     n = w[0] * w[0] + w[1] * w[1] + w[2] * w[2]
     cells = []
     for i in range(3):

@@ -385,7 +385,7 @@ E3 = "CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST
 
 
 @query(f"""WITH e AS (SELECT vec_id, {E3} FROM embeddings), n AS (SELECT vec_id, a / sqrt(a * a + b * b + c * c) AS a, b / sqrt(a * a + b * b + c * c) AS b, c / sqrt(a * a + b * b + c * c) AS c FROM e)
-SELECT vec_id, {fx('1 - a * a / (1 + c)', 5)} AS x, {fx('-a * b / (1 + c)', 5)} AS y, {fx('-a', 5)} AS z FROM n""")
+SELECT vec_id, {fx('1 - a * a / (1 + c)', 5)} AS x, {fx('-a * b / (1 + c)', 5)} AS y, {fx('a', 5)} AS z FROM n""")
 def turned_axis(spark: SparkSession, d: str) -> DataFrame:
     """The x axis, turned as each vector's first three dimensions turn to the z axis."""
     raw = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
