@@ -2,9 +2,8 @@
 
 Words are what white space separates, as they are; marks before the first and behind the last word count as words.
 
-Training. Of the trusted documents of each language, a sample drawn by a hash of the document, half of them or about
-`TRAINING_CHARS` characters, whichever is less, gives the counts of all its pairs, summed on the map side and then by language and pair;
-joined with the counts of their first words (as contexts) and with the continuation counts of their second words (how
+Training. Half of the trusted documents, drawn by a hash of the document, gives the counts of all its pairs, summed on
+the map side and then by language and pair, so that the model grows with the corpus; joined with the counts of their first words (as contexts) and with the continuation counts of their second words (how
 many different words stand before), they give probabilities. Either order has, by language, three discounts of its own,
 estimated from its counts of counts.
 
@@ -49,8 +48,8 @@ from pyspark.sql import functions as F
 
 from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, releasing, stage
 
-#: Characters of trusted text a language, about, from which the model is counted.
-TRAINING_CHARS = 4_000_000
+#: Share of the trusted documents from which the model is counted; the others set the upper limits.
+TRAINING_SHARE = 0.5
 #: Quantiles of the trusted documents' scores between which documents are kept, and nats added on either side.
 QUANTILE = 0.999
 MARGIN = 0.05
@@ -98,16 +97,10 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mixed(v * _MIX[0] + w * _MIX[1] + np.uint64(1))
 
 
-def shares(texts: DataFrame, chars: int = TRAINING_CHARS) -> DataFrame:
-    """lang and share: how much of its texts make about so many characters, a half at most."""
-    totals = texts.groupBy("lang").agg(F.sum(F.length("text")).alias("total"))
-    return totals.select("lang", F.least(F.lit(0.5), F.try_divide(F.lit(float(chars)), F.col("total"))).alias("share"))
-
-
-def drawn(df: DataFrame, share: DataFrame, yes: bool = True) -> DataFrame:
-    """The rows of df(doc_id, lang, ...) that a hash draws for training, or those that it doesn't."""
-    hit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    return df.join(checked_broadcast(share), "lang").where(hit if yes else ~hit).drop("share")
+def drawn(df: DataFrame, share: float, yes: bool = True) -> DataFrame:
+    """The rows of df(doc_id, ...) that a hash draws for training, or those that it doesn't."""
+    hit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return df.where(hit if yes else ~hit)
 
 
 def count_pairs(texts: DataFrame) -> DataFrame:
@@ -331,7 +324,7 @@ def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int
     return out
 
 
-def limits(scored: DataFrame, trusted: DataFrame, share: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
+def limits(scored: DataFrame, trusted: DataFrame, share: float, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
     """lang, mean (of a word), low and high.
 
     high is a quantile, plus the margin, of trusted documents that the model hasn't seen; low one of all, less the margin.
@@ -350,11 +343,10 @@ def rating(prior: int = PRIOR) -> Column:
     return (F.col("nll") * words + F.col("mean") * prior) / (words + prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, chars: int = TRAINING_CHARS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, share: float = TRAINING_SHARE) -> DataFrame:
     """A row for each document: doc_id, lang, n_words, perplexity, score, low, high (limits of the score) and kept."""
     trusted = stage(trusted_ids(labels), "trusted")
     known = _texts(docs).join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi")
-    share = stage(shares(known, chars), "shares")
     weights, unknown = train(drawn(known, share))
     scored = score(docs, weights, unknown)
     drop_staged(weights)

@@ -399,8 +399,7 @@ def test_limits_are_quantiles_by_language(spark):
     df, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     trusted = language_model.trusted_ids(labels)
     known = language_model._texts(df).join(trusted, "doc_id", "left_semi")
-    share = language_model.shares(known)
-    seen = {r["doc_id"] for r in language_model.drawn(known, share).collect()}
+    seen = {r["doc_id"] for r in language_model.drawn(known, language_model.TRAINING_SHARE).collect()}
     ids = {r["doc_id"] for r in trusted.collect()}
     out = [r for r in language_model.classify(df, labels).collect()]
     for lang in {r["lang"] for r in out}:
