@@ -86,6 +86,12 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect what nothing refers to, upon which Spark deletes the shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends Python workers batches of BATCH at most."""
     for key, most in BATCH.items():

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, releasing, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, release_shuffles, releasing, stage
 
 #: Share of the trusted documents from which the model is counted; the others set the upper limits.
 TRAINING_SHARE = 0.5
@@ -145,12 +145,14 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     unknown = stage(marked.groupBy("lang").agg(F.log(F.sum("off") / F.first("sum") / (F.first("words") + 1)).alias("unknown")), "unknown")
     single = marked.join(checked_broadcast(unknown), "lang").select("lang", "word", "unknown", ((F.col("cnt") - F.col("off")) / F.col("sum") + F.exp("unknown")).alias("p"))
     single = stage(single, "single")
+    drop_staged(follow)
+    release_shuffles(texts.sparkSession)
     both = contexts.join(single, ["lang", "word"], "full").select("lang", F.lit(None).cast("long").alias("v"), F.col("word").alias("w"), F.coalesce("total", F.lit(1)).alias("cnt"), (F.coalesce(F.log("left"), F.lit(0.0)) + F.coalesce(F.log("p") - F.col("unknown"), F.lit(0.0))).alias("weight"))
     joined = pairs.join(checked_broadcast(discounts(pairs)), "lang").join(checked_broadcast(contexts.withColumnRenamed("word", "v")), ["lang", "v"]).join(checked_broadcast(single.withColumnRenamed("word", "w").drop("unknown")), ["lang", "w"])
     p = (F.col("cnt") - _off(F.col("cnt"))) / F.col("total") + F.col("left") * F.col("p")
     known = joined.select("lang", "v", "w", "cnt", (F.log(p) - F.log("left") - F.log("p")).alias("weight"))
     out = stage(both.unionByName(known), "weights")
-    for table in (pairs, contexts, follow, single):
+    for table in (pairs, contexts, single):
         drop_staged(table)
     return out, unknown
 
@@ -293,8 +295,12 @@ def _filter(keys: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int = HOT, shard_rows: int = SHARD) -> DataFrame:
     """doc_id, lang, n_words and nll (mean negative log-likelihood of a word; null without words or a model)."""
+    return score_keyed(docs, stage(keyed(weights), "keys"), unknown, hot_rows, shard_rows)
+
+
+def score_keyed(docs: DataFrame, model: DataFrame, unknown: DataFrame, hot_rows: int = HOT, shard_rows: int = SHARD) -> DataFrame:
+    """score() with the weights as keyed() gives them, staged; they are deleted."""
     spark, texts = docs.sparkSession, _texts(docs)
-    model = stage(keyed(weights), "keys")
     # The least count with at most hot_rows weights at or above it; counts are few different numbers.
     counts, least, rows = model.groupBy("cnt").agg(F.count("*").alias("n")).collect(), None, 0
     for r in sorted(counts, reverse=True):
@@ -348,8 +354,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     trusted = stage(trusted_ids(labels), "trusted")
     known = _texts(docs).join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi")
     weights, unknown = train(drawn(known, share))
-    scored = score(docs, weights, unknown)
+    model = stage(keyed(weights), "keys")
     drop_staged(weights)
+    release_shuffles(docs.sparkSession)
+    scored = score_keyed(docs, model, unknown)
     bounds = stage(limits(scored, trusted, share, quantile, margin), "limits")
     judged = scored.join(checked_broadcast(bounds), "lang", "left").withColumn("score", F.round(rating(), 3))
     kept = F.when(F.col("n_words") == 0, False).otherwise(F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True)))
