@@ -57,5 +57,18 @@ def _op10() -> str:
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN f USING (payload_digest)"""
 
 
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    d = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.x, c.x)])"
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, [CAST(floor(CAST(y AS DOUBLE) * 1024) AS BIGINT) for y in embedding] AS x FROM embeddings WHERE len(embedding) = 64 AND len([y for y in embedding if y IS NOT NULL AND isfinite(y)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, CAST(min(struct_pack(d := CAST({d} AS BIGINT), k := c.k)).k AS INTEGER) AS cluster, CAST(min({d}) AS BIGINT) AS distance FROM v, c{r} c GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT cluster, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m FROM a{r}, generate_series(1, 64) AS g(i) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m, x) AS x FROM c{r} LEFT JOIN (SELECT cluster, list(m ORDER BY i) AS m FROM s{r} GROUP BY cluster) ON cluster = k)""")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON k = cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op4_line_dedup": _op4(), "op7_decontamination": _op7(), "op10_archives": _op10()}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op4_line_dedup": _op4(), "op7_decontamination": _op7(), "op10_archives": _op10(), "op12_centroids": _op12()}
