@@ -57,6 +57,21 @@ def _op10() -> str:
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN f USING (payload_digest)"""
 
 
+def _op11() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    features = lambda name, table, key: f"""{name}w AS MATERIALIZED (SELECT {key}, regexp_extract_all({lower}, '{_TOKEN}') AS l FROM {table}),
+{name} AS MATERIALIZED (SELECT {key}, f, count(*) AS c FROM (SELECT {key}, unnest(l) AS f FROM {name}w UNION ALL SELECT {key}, unnest([l[i] || ' ' || l[i + 1] for i in range(1, len(l))]) FROM {name}w) GROUP BY ALL)"""
+    return f"""WITH {features('d', 'documents', 'doc_id')}, {features('b', 'benchmark', 'item_id')},
+t AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(256) AS g(n)),
+h AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(('0x' || hex(encode(f))[2 * i + 1 : 2 * i + 2]) AS BIGINT) for i in range(strlen(f))]), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT f FROM d UNION SELECT f FROM b), t),
+s AS (SELECT bucket, sum(c) AS s FROM d JOIN h USING (f) GROUP BY bucket), u AS (SELECT bucket, sum(c) AS t FROM b JOIN h USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * CAST((SELECT sum(s) FROM s) + 10000 AS DOUBLE) / ((s + 1) * CAST((SELECT coalesce(sum(t), 0) FROM u) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN u USING (bucket)),
+w AS (SELECT doc_id, sum(c) AS n, CAST(floor(sum(c * gain) / CAST(sum(c) AS DOUBLE)) AS BIGINT) AS weight FROM d JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, len(l) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM dw LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM o) THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)"""
+
+
 def _op12(k: int = 8, rounds: int = 10) -> str:
     d = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.x, c.x)])"
     steps = [f"""v AS MATERIALIZED (SELECT vec_id, [CAST(floor(CAST(y AS DOUBLE) * 1024) AS BIGINT) for y in embedding] AS x FROM embeddings WHERE len(embedding) = 64 AND len([y for y in embedding if y IS NOT NULL AND isfinite(y)]) = 64),
@@ -71,4 +86,4 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op4_line_dedup": _op4(), "op7_decontamination": _op7(), "op10_archives": _op10(), "op12_centroids": _op12()}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op4_line_dedup": _op4(), "op7_decontamination": _op7(), "op10_archives": _op10(), "op11_importance_resampling": _op11(), "op12_centroids": _op12()}

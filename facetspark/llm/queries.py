@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import archives, centroids, decontamination, html_text, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
+from facetspark.llm import archives, centroids, decontamination, html_text, importance, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
 from facetspark.llm.common import read
 from facetspark.llm.oracles import oracle_sql  # noqa: F401  the queries' other half
 
@@ -54,6 +54,11 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), salt="7:", percent=25, least_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3:")
 
