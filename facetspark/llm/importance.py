@@ -45,8 +45,10 @@ from facetspark.operators.numbering import numbered
 
 BUCKETS = 10_000
 #: Bytes of text in a block, and of the text whose features a shard holds.
-BLOCK = 4 << 20
-SHARD = 8 << 20
+BLOCK = 8 << 20
+SHARD = 16 << 20
+#: How hard strings and numbers are compressed.
+LEVELS = (6, 3)
 #: Documents with fewer words aren't drawn; the share of the others that is, in hundredths.
 LEAST_WORDS = 20
 PERCENT = 25
@@ -62,15 +64,19 @@ PACK, COUNTS, ANSWER, SUMS = range(4)
 
 
 def packed(a: np.ndarray | bytes) -> bytes:
-    """Bytes, compressed, behind their number."""
-    raw = a if isinstance(a, bytes) else a.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    """Bytes, compressed, behind their number; of numbers all first bytes come first, then all second ones, and so on."""
+    raw = a if isinstance(a, bytes) else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    codec = pa.Codec("zstd", compression_level=LEVELS[not isinstance(a, bytes)])
+    return len(raw).to_bytes(8, "little") + (codec.compress(raw, asbytes=True) if raw else b"")
 
 
 def unpacked(b: bytes, kind: type | None = None):
     size = int.from_bytes(b[:8], "little")
     raw = pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-    return raw if kind is None else np.frombuffer(raw, kind)
+    if kind is None:
+        return raw
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
 def _gap(text: bytes, at: int, limit: int) -> int:
@@ -170,7 +176,7 @@ def _block(block: int, shards: int, rows: list[int], ids: list[int | None], text
     totals = np.add.reduceat(count, starts) if len(starts) else count
     shard, length, totals, names = shard[order], length[order], totals[order], names.take(pa.array(order))
     at = np.repeat(starts[order] - (np.cumsum(length) - length), length) + np.arange(len(doc))
-    yield {"slot": -1 - block, "kind": COUNTS, "block": block, "n": len(order), "data": packed(length.astype(np.uint32)), "extra": packed(np.stack((doc[at], count[at])).astype(np.uint32)), "row": rows, "doc_id": ids, "n_words": n_words.tolist(), "n_features": n_features.tolist()}
+    yield {"slot": -1 - block, "kind": COUNTS, "block": block, "n": len(order), "data": packed(length.astype(np.uint32)), "extra": packed(np.concatenate((doc[at], count[at])).astype(np.uint32)), "row": rows, "doc_id": ids, "n_words": n_words.tolist(), "n_features": n_features.tolist()}
     cuts = np.flatnonzero(np.diff(shard)) + 1
     for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(order))):
         if hi > lo:
@@ -215,7 +221,8 @@ def _answers(table: pa.Table) -> pa.Table:
     codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
     distinct, index = codes.dictionary, codes.indices.to_numpy()
     times = np.bincount(index, weights=np.concatenate([unpacked(r["extra"], np.uint32) for r in rows]), minlength=len(distinct))
-    bucket = np.fromiter((zlib.crc32(s[:-1]) % BUCKETS for s in distinct.to_pylist()), np.uint16, len(distinct))
+    strings = (s for lo in range(0, len(distinct), 1 << 16) for s in distinct.slice(lo, 1 << 16).to_pylist())
+    bucket = np.fromiter((zlib.crc32(s[:-1]) % BUCKETS for s in strings), np.uint16, len(distinct))
     sums = np.bincount(bucket, weights=times, minlength=BUCKETS).astype(np.int64)
     out = [{"slot": rows[0]["slot"], "kind": SUMS, "data": packed(sums)}]
     found, at = bucket[index], 0
@@ -229,8 +236,8 @@ def hashed(docs: DataFrame, limit: int = BLOCK, shard_bytes: int = SHARD) -> Dat
     """The blocks' counts, the answers to their packs and the shards' sums of buckets, written."""
     texts = as_documents(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = texts.mapInArrow(_blocks(max(1, math.ceil(size / shard_bytes)), limit), _SENT)
-    out = stage(sent.groupBy("slot").applyInArrow(_answers, _SENT), "features")
+    blocks = _blocks(max(1, math.ceil(size / shard_bytes)), limit)
+    out = stage(texts.mapInArrow(blocks, _SENT).groupBy("slot").applyInArrow(_answers, _SENT), "features")
     release_shuffles(docs.sparkSession)
     return out
 
