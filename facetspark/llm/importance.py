@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, drop_staged, release_shuffles, releasing, stage
+from facetspark.llm.common import as_documents, drop_staged, releasing, stage
 from facetspark.operators.numbering import numbered
 
 BUCKETS = 10_000
@@ -65,7 +65,7 @@ PACK, COUNTS, ANSWER, SUMS = range(4)
 
 def packed(a: np.ndarray | bytes) -> bytes:
     """Bytes, compressed, behind their number; of numbers all first bytes come first, then all second ones, and so on."""
-    raw = a if isinstance(a, bytes) else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    raw = a if isinstance(a, bytes) else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
     codec = pa.Codec("zstd", compression_level=LEVELS[not isinstance(a, bytes)])
     return len(raw).to_bytes(8, "little") + (codec.compress(raw, asbytes=True) if raw else b"")
 
@@ -237,9 +237,7 @@ def hashed(docs: DataFrame, limit: int = BLOCK, shard_bytes: int = SHARD) -> Dat
     texts = as_documents(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = _blocks(max(1, math.ceil(size / shard_bytes)), limit)
-    out = stage(texts.mapInArrow(blocks, _SENT).groupBy("slot").applyInArrow(_answers, _SENT), "features")
-    release_shuffles(docs.sparkSession)
-    return out
+    return stage(texts.mapInArrow(blocks, _SENT).groupBy("slot").applyInArrow(_answers, _SENT), "features")
 
 
 @releasing
@@ -297,7 +295,6 @@ def weigh(docs: DataFrame, target: DataFrame, **sizes: int) -> DataFrame:
     mean = F.expr("(total - pmod(total, n_features)) div n_features")
     out = stage(whole.select("doc_id", "n_words", "n_features", F.when(F.col("n_features") > 0, mean).otherwise(0).cast("long").alias("weight")), "weights")
     drop_staged(features)
-    release_shuffles(docs.sparkSession)
     return out
 
 
