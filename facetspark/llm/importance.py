@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, drop_staged, releasing, stage
+from facetspark.llm.common import as_documents, drop_staged, release_memory, releasing, stage
 from facetspark.operators.numbering import numbered
 
 BUCKETS = 10_000
@@ -229,7 +229,10 @@ def _answers(table: pa.Table) -> pa.Table:
     for r in rows:
         out.append({"slot": -1 - r["block"], "kind": ANSWER, "block": r["block"], "shard": r["shard"], "n": r["n"], "data": packed(found[at : at + r["n"]])})
         at += r["n"]
-    return pa.Table.from_batches([_record(out)])
+    table = pa.Table.from_batches([_record(out)])
+    del raw, codes, distinct, index, times, bucket, found, rows, out
+    release_memory()
+    return table
 
 
 def hashed(docs: DataFrame, limit: int = BLOCK, shard_bytes: int = SHARD) -> DataFrame:

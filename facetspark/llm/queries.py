@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import archives, centroids, decontamination, html_text, importance, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash
+from facetspark.llm import archives, centroids, decontamination, html_text, importance, language_model, licenses, line_dedup, personal_data, pieces, quality_rules, simhash, toxicity
 from facetspark.llm.common import read
 from facetspark.llm.oracles import oracle_sql  # noqa: F401  the queries' other half
 
@@ -63,5 +63,9 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3:")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
