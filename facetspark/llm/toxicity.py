@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.llm.common import as_documents, checked_broadcast, drop_staged, parts, releasing, stage
+from facetspark.llm.importance import split_words
 
 #: Labelled documents that become examples, at most: the index and the vocabulary are bounded by it.
 EXAMPLES = 16_384
-VOCABULARY = 4096
-LEAST_CHI = 8.0
+VOCABULARY = 2048
+LEAST_CHI = 12.0
 LEAST_HOLDERS = 4
 PREFIXES = (5, 6, 7)
 BLOCK = 128
@@ -96,6 +97,28 @@ def choose_features(texts: DataFrame, most: int = VOCABULARY, least: float = LEA
     return [r["f"] for r in rated.orderBy(F.desc("chi"), "f").limit(most).collect()]  # at most VOCABULARY rows
 
 
+def count_terms(texts: list[bytes], number: dict[str, int]) -> tuple[pa.Array, pa.Array]:
+    """For each text the numbers of its features in the vocabulary, ascending, and how often it holds them."""
+    words, of = split_words(texts)
+    codes = words.dictionary_encode()
+    word, term = [], []
+    for i, w in enumerate(codes.dictionary.to_pylist()):
+        for f in (w, *(w[:k] + "~" for k in PREFIXES if len(w) > k)):
+            if f in number:
+                word.append(i)
+                term.append(number[f])
+    # Words with features, a row for each feature: where a word's rows start, and how many they are.
+    word, term = np.array(word, np.int64), np.array(term, np.int64)
+    start = np.searchsorted(word, np.arange(len(codes.dictionary) + 1))
+    own = codes.indices.to_numpy().astype(np.int64)
+    n = start[own + 1] - start[own]
+    at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    cell, count = np.unique(np.repeat(of, n).astype(np.int64) * max(len(number), 1) + term[at], return_counts=True)
+    ends = np.searchsorted(cell, np.arange(len(texts) + 1) * max(len(number), 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cell % max(len(number), 1), count)]
+    return lists[0], lists[1]
+
+
 def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, h (a hash of the text), terms (numbers in the vocabulary, ascending) and times, a row for each document."""
     spark = docs.sparkSession
@@ -103,22 +126,9 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = shared.value, {}
         for batch in parts(batches):
-            terms, times = [], []
-            for text in batch.column(2):
-                own: dict[int, int] = {}
-                for w, n in Counter(_WORD.findall((text.as_py() or "").translate(_UPPER))).items():
-                    found = known.get(w)
-                    if found is None:
-                        found = known[w] = tuple(number[f] for f in (w, *(w[:k] + "~" for k in PREFIXES if len(w) > k)) if f in number)
-                    for i in found:
-                        own[i] = own.get(i, 0) + n
-                terms.append(sorted(own))
-                times.append([own[i] for i in terms[-1]])
-            if len(known) > 1 << 18:
-                known = {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "h", "terms", "times"])
+            terms, times = count_terms([(t.as_py() or "").encode() for t in batch.column(2)], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, times], ["doc_id", "h", "terms", "times"])
 
     own = as_documents(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return own.mapInArrow(run, "doc_id long, h long, terms array<int>, times array<int>")
@@ -136,7 +146,7 @@ class Index:
 
     def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int = BLOCK):
         rows = sorted(rows, key=lambda r: (r[2], r[0]))  # examples with the same features stand together: tighter bounds
-        self.ids, self.toxic, self.idf, self.block = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), idf, block
+        self.ids, self.toxic, self.idf, self.block = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), idf, block
         self.blocks = max(1, -(-len(rows) // block))
         own = [weighted(np.array(t, np.int64), np.array(n, np.int64), idf) for _, _, t, n in rows]
         term = np.concatenate([np.array(r[2], np.int64) for r in rows] or [np.zeros(0, np.int64)])
@@ -151,14 +161,13 @@ class Index:
         np.maximum.at(self.largest, cell, self.weight)
         self.largest = self.largest.reshape(len(idf), self.blocks)
 
-    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples in blocks that share a feature with a vector, and their cosines."""
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of a vector with all examples of blocks, block by block."""
         cell = (terms[:, None] * self.blocks + blocks).ravel()
         lo, n = self.starts[cell], self.starts[cell + 1] - self.starts[cell]
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        example = self.example[at]
-        found, place = np.unique(example, return_inverse=True)
-        return found, np.bincount(place, weights=self.weight[at] * np.repeat(weights, n.reshape(len(terms), -1).sum(axis=1)), minlength=len(found))
+        shift = np.tile(np.arange(len(blocks)) * self.block - blocks * self.block, len(terms))
+        return np.bincount(self.example[at] + np.repeat(shift, n), weights=self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n), minlength=len(blocks) * self.block)
 
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, cosines, blocks visited): the k examples of the highest cosines above 0, ties by number; `without`
@@ -177,9 +186,11 @@ class Index:
                 visit = visit[bound[visit] * (1 + 1e-9) >= cosine[-1]]
                 if not len(visit):
                     break
-            found, value = self.cosines(terms, w, np.sort(visit))
-            if without is not None and len(found):
-                keep = np.array([self.ids[e] != without for e in found])
+            value = self.cosines(terms, w, visit)
+            own = np.flatnonzero(value > (cosine[-1] * (1 - 1e-12) if len(best) == k else 0))
+            found, value = visit[own // self.block] * self.block + own % self.block, value[own]
+            if without is not None:
+                keep = self.ids[found] != without
                 found, value = found[keep], value[keep]
             found, value = np.concatenate((best, found)), np.concatenate((cosine, value))
             top = np.lexsort((found, -value))[:k]
@@ -266,7 +277,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, threshol
                 key = t.tobytes() + n.tobytes()
                 if key not in known:
                     best, cosine, _ = m.index.nearest(t, n)
-                    known[key] = m.score(m.index.vote(best, cosine)), [{"doc_id": m.index.ids[e], "cosine": c, "toxic": int(m.index.toxic[e])} for e, c in zip(best, cosine.tolist())]
+                    known[key] = m.score(m.index.vote(best, cosine)), [{"doc_id": int(m.index.ids[e]), "cosine": c, "toxic": int(m.index.toxic[e])} for e, c in zip(best, cosine.tolist())]
                 scores.append(known[key][0])
                 why.append(known[key][1])
             if len(known) > 4096:
