@@ -39,7 +39,7 @@ from facetspark.llm.importance import split_words
 #: Labelled documents that become examples, at most: the index and the vocabulary are bounded by it.
 EXAMPLES = 16_384
 VOCABULARY = 2048
-LEAST_CHI = 12.0
+LEAST_CHI = 8.0
 LEAST_HOLDERS = 4
 PREFIXES = (5, 6, 7)
 BLOCK = 128
@@ -134,6 +134,18 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, h long, terms array<int>, times array<int>")
 
 
+@releasing
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a task hold each term."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        own = np.bincount(batch.column(0).flatten().to_numpy())
+        total = np.pad(total, (0, max(0, len(own) - len(total))))
+        total[: len(own)] += own
+    if len(total):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["t", "n"])
+
+
 def weighted(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The weights of a vector of length 1."""
     w = (1 + np.log(times)) * idf[terms]
@@ -240,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[M
     drop_staged(known)
     rows = stage(vectors(docs, vocabulary), "vectors")
     n = rows.count()
-    holders = {r[0]: r[1] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most VOCABULARY rows
+    held = rows.select("terms").mapInArrow(_holders, "t int, n long").groupBy("t").agg(F.sum("n"))
+    holders = {r[0]: r[1] for r in held.collect()}  # at most VOCABULARY rows
     idf = np.array([math.log((n + 1) / (holders.get(i, 0) + 0.5)) for i in range(len(vocabulary))])
     own = rows.join(checked_broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.struct("terms", "times"), "h").alias("v"))
     own = stage(own.select("doc_id", "toxic", "v.terms", "v.times"), "example_vectors")
