@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.operators.numbering import numbered
+
 
 def atom_codes(atoms: DataFrame, bonds: DataFrame, ring: DataFrame | None = None, markers: str = "DBR") -> DataFrame:
     """mol_id, i, code: element, degree digit, bond class and ring class, "_" where a marker is off.
@@ -61,7 +63,7 @@ def counts(chains: DataFrame, code: Column) -> DataFrame:
 
 def vocabulary(counted: DataFrame) -> DataFrame:
     """code and its number from 1 in ascending order, over the distinct codes."""
-    return counted.select("code").distinct().withColumn("n", F.row_number().over(Window.orderBy("code")))
+    return numbered(counted.select("code").distinct(), ["code"], "n", 1).withColumn("n", F.col("n").cast("int"))
 
 
 def reverse_dedupe(chains: DataFrame, row: str = "i") -> DataFrame:
@@ -73,7 +75,7 @@ def reverse_dedupe(chains: DataFrame, row: str = "i") -> DataFrame:
 
 def first_match(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """wanted(key) with the number (from 1, in the table's sorted order) of its first equal row, 0 if there is none."""
-    ranked = table.select(key).withColumn("_n", F.row_number().over(Window.orderBy(key))).groupBy(key).agg(F.min("_n").alias("n"))
+    ranked = numbered(table.select(key), [key], "_n", 1).groupBy(key).agg(F.min("_n").alias("n"))
     return wanted.join(ranked, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.operators.numbering import numbered
+
 
 def nonzero_columns(md: DataFrame, value: str = "cnt") -> DataFrame:
     """Rows of the columns that have a positive entry."""
@@ -51,7 +53,7 @@ def best_columns(scores: DataFrame, k: int, score: str = "f") -> DataFrame:
 def slack_columns(md: DataFrame, objects: DataFrame, value: float, constant: bool = False, first: int | None = None) -> DataFrame:
     """md(mol_id, type, value) with a column for each object appended: value on its own row (or on all rows)."""
     start = first if first is not None else (md.agg(F.max("type")).first()[0] or 0) + 1
-    numbered = objects.select("mol_id").distinct().withColumn("type", F.lit(start) + F.row_number().over(Window.orderBy("mol_id")) - 1)
+    own = numbered(objects.select("mol_id").distinct(), ["mol_id"], "type", start).withColumn("type", F.col("type").cast("int"))
     if constant:
-        numbered = numbered.select("type").join(objects.select("mol_id").distinct(), F.lit(True))
-    return md.select("mol_id", "type", "value").unionByName(numbered.select("mol_id", "type", F.lit(float(value)).alias("value")))
+        own = own.select("type").join(objects.select("mol_id").distinct(), F.lit(True))
+    return md.select("mol_id", "type", "value").unionByName(own.select("mol_id", "type", F.lit(float(value)).alias("value")))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.expressions import f_measure
+from facetspark.operators import solvers
+from facetspark.operators.numbering import numbered
 
 
 def delete_conflicts(rows: DataFrame, features: Sequence[str], label: str = "y", tolerance: float | None = None) -> DataFrame:
@@ -53,8 +55,7 @@ def balanced_folds(rows: DataFrame, key: str, k: int, label: str = "y") -> DataF
     """key, y, n (duplicates), fold: duplicates of a key stay together; groups are dealt round-robin over one rank by
     (label, number of duplicates, key), the counter running on across classes."""
     groups = rows.groupBy(key, label).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(label, "n", key)) - 1
-    return groups.withColumn("fold", (rank % k).cast("int"))
+    return numbered(groups, [label, "n", key], "fold").withColumn("fold", (F.col("fold") % k).cast("int"))
 
 
 def zero_one_loss(y: Column, predicted: Column) -> Column:
@@ -188,6 +189,54 @@ def select_l0(rows: DataFrame, c: float = 1.0) -> DataFrame:
     return rows.select("id", "x", "y").coalesce(1).mapInPandas(one, "column long, weight double")
 
 
+def validated_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence[int]], candidates: Sequence[int], keep: int, least: int = 10, folds: int = 5, c: float = 1.0) -> DataFrame:
+    """One round of growing descriptor sets: every set with every candidate that it lacks, scored by cross-validation, the
+    best `keep` kept: set_key, n, free, precision, recall, f.
+
+    cells(mol_id, type, value) are descriptors; a set's rows are its objects' value vectors. Vectors that occur with both
+    labels conflict and are left out; sets with fewer than `least` rows beside them are skipped. Precision is 1 less the
+    error of a linear support-vector machine in `folds` folds over the rows that are left, equal rows in one fold and
+    dealt in turn by (label, number of rows, vector); recall is precision times the share of rows that don't conflict.
+
+    Equal rows are one row with a weight before any fit, so that a fit holds a set's distinct vectors and not its objects;
+    all sets are fitted in one grouped job. The order is by F, then by the set.
+    """
+    grown = sorted({tuple(sorted({*s, t})) for s in sets for t in candidates if t not in s})
+    spark, names = cells.sparkSession, "set_key string, wrong double, tested double"
+    table = spark.createDataFrame([(",".join(map(str, s)), t) for s in grown for t in s], "set_key string, type int")
+    vectors = cells.join(table, "type").groupBy("set_key", "mol_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("type", F.col("value").cast("double").alias("value")))), lambda v: v["value"]).alias("vec"))
+    own = vectors.join(labels.select("mol_id", F.when(F.col("y") > 0, 1).otherwise(-1).alias("y")), "mol_id")
+    by = own.groupBy("set_key", "vec").agg(F.count("*").alias("n"), F.min("y").alias("y"), F.max("y").alias("most"))
+    free = by.where("y = most")
+    size = by.groupBy("set_key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("most"), F.col("n")).otherwise(0)).alias("free"))
+
+    def validate(g: pd.DataFrame) -> pd.DataFrame:
+        wrong = tested = 0.0
+        if g["n"].sum() >= least:
+            g = g.assign(key=g["vec"].map(tuple)).sort_values(["y", "n", "key"])
+            x, y, n = np.stack(g["vec"].to_numpy()).astype(float), g["y"].to_numpy(float), g["n"].to_numpy(float)
+            wrong, tested = validation_error(x, y, n, np.arange(len(y)) % folds, c)
+        return pd.DataFrame([(g["set_key"].iloc[0], wrong, tested)], columns=["set_key", "wrong", "tested"])
+
+    error = free.groupBy("set_key").applyInPandas(validate, names)
+    p = 1 - F.col("wrong") / F.col("tested")
+    scored = size.where(F.col("free") >= least).join(error.where("tested > 0"), "set_key").withColumn("precision", p).withColumn("recall", p * F.col("free") / F.col("n"))
+    return scored.withColumn("f", f_measure(F.col("precision"), F.col("recall"))).drop("wrong", "tested").orderBy(F.desc("f"), "set_key").limit(keep)
+
+
+def validation_error(x: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray, c: float) -> tuple[float, float]:
+    """Rows (n of each) that are told wrong, and rows told, when each fold is left out; folds whose other rows are of one
+    class are not told."""
+    wrong = tested = 0.0
+    for k in np.unique(fold):
+        train, test = fold != k, fold == k
+        if len(set(y[train])) > 1:
+            w = solvers.fit(x[train], y[train], c * n[train])
+            wrong += n[test][np.where(x[test] @ w[:-1] + w[-1] >= 0, 1.0, -1.0) != y[test]].sum()
+            tested += n[test].sum()
+    return float(wrong), float(tested)
+
+
 def mgua_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence[int]], candidates: Sequence[int], keep: int, least: int = 10) -> DataFrame:
     """One round of growing descriptor sets: every set with every candidate that it lacks, scored, the best `keep` kept.
 
@@ -208,8 +257,8 @@ def mgua_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence[int]
     return scored.withColumn("f", f_measure(F.col("precision"), F.col("recall"))).orderBy(F.desc("f"), "set_key").limit(keep)
 
 
-def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep: int, max_rounds: int = 10, least: int = 10, good: float = 0.5) -> DataFrame:
-    """round, set_key, precision, recall, f: mgua_round from the empty set, round by round, each from the best `keep` sets
+def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep: int, max_rounds: int = 10, least: int = 10, good: float = 0.5, folds: int | None = None) -> DataFrame:
+    """round, set_key, precision, recall, f: mgua_round (with folds: validated_round) from the empty set, round by round, each from the best `keep` sets
     of the one before, until the best F no longer grows or max_rounds are done; the rounds up to the best one.
 
     After the first round only descriptors whose own precision is at least good, or that had too few rows free of
@@ -217,7 +266,8 @@ def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep:
     """
     spark, sets, candidates, out, best = cells.sparkSession, [[]], list(descriptors), [], -1.0
     for number in range(max_rounds):
-        found = [r.asDict() for r in mgua_round(cells, labels, sets, candidates, keep if number else len(candidates), least).collect()]
+        step, more = (validated_round, {"folds": folds}) if folds else (mgua_round, {})
+        found = [r.asDict() for r in step(cells, labels, sets, candidates, keep if number else len(candidates), least, **more).collect()]
         if not found or found[0]["f"] <= best:
             break
         if number == 0:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
 from facetspark.operators import chains, features, learn, mesh, pairs, stats
+from facetspark.operators.numbering import numbered
 from facetspark.plans.catalogue import DIST, EV, PAIRS, PTS, QT, TYPED, events_path, fx, items, levels_sql, query, table
 
 
@@ -284,7 +285,7 @@ def chain_vocab(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CH}, k AS (SELECT DISTINCT a, b, c FROM ch WHERE c IS NOT NULL), r AS (SELECT row_number() OVER (ORDER BY a, b, c) AS i, a, b, c FROM k)
 SELECT CAST(i AS INTEGER) AS i, a || '-' || b || '-' || c AS code FROM r WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.i > r.i AND s.a = r.c AND s.b = r.b AND s.c = r.a)""")
 def reverse_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    distinct = event_chains(spark, d).select("chain").distinct().withColumn("i", F.row_number().over(Window.orderBy("chain")))
+    distinct = numbered(event_chains(spark, d).select("chain").distinct(), ["chain"], "i", 1).withColumn("i", F.col("i").cast("int"))
     return chains.reverse_dedupe(distinct).select("i", F.array_join("chain", "-").alias("code"))
 
 

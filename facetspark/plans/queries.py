@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetspark.plans import composed_queries, descriptor_queries, surface_queries  # noqa: F401  they register
+from facetspark.plans import composed_queries, descriptor_queries, learning_queries, surface_queries  # noqa: F401  they register
 from facetspark.plans.catalogue import ORACLES, QUERIES, Query
 
 

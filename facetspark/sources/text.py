@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetspark.operators.numbering import numbered
+
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: Fixed endings of the files of a set of objects, and the stage table that stands for each.
 STAGES = {
@@ -91,8 +93,7 @@ def write_matrix(md: DataFrame, path: str, types: Sequence[int]) -> None:
 def count_objects(spark: SparkSession, path: str) -> int:
     """How many numbered files there are without a gap from 0."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).try_cast("long").alias("n")).where("n is not null").distinct()
-    placed = files.withColumn("k", F.row_number().over(Window.orderBy("n")) - 1)
-    return placed.where("n = k").count()
+    return numbered(files, ["n"], "k").where("n = k").count()
 
 
 def read_mol(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
