@@ -9,8 +9,11 @@ decoded by Viterbi on the executors. The weights, a few hundred numbers, are all
 
 Each page is one row's work, nothing is shuffled. Defined results: a null or empty html, or one without main text,
 gives an empty text; unclosed elements end with the page, stray ends are skipped, and a cut tag, quoted value or
-comment is markup to the page's end; pages, attributes and texts of any length are read whole in linear time; equal rows stay separate rows; an empty table gives
-an empty table; only page_id, url and html are read.
+comment is markup to the page's end; html, head and body need no tags; drawings and formulas (svg, math) end with their
+own end, when closed by themselves, or at an element that can't stand in them. Pages, attributes, texts and nesting of
+any length are read whole in linear time: open elements are a chain that blocks share, and what features ask of a
+block's ancestors is kept with each element. Equal rows stay separate rows; an empty table gives an empty table; only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +36,13 @@ SEED = 11
 #: Elements that begin and end blocks, elements without an end, elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object head textarea select".split())
+RAW = frozenset("script style noscript iframe textarea select title".split())
+#: Elements whose content is no text, with elements of their own kind inside; those that may be closed by themselves;
+#: elements that end these, and those in them that hold HTML again.
+NESTED = frozenset("svg math template object".split())
+FOREIGN = frozenset("svg math".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Starts that end an open element of the same kind.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "button", "label", "title"}
@@ -62,11 +72,30 @@ NOTICE_WORDS = 64
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 
+@dataclass(frozen=True, eq=False, slots=True)
+class Element:
+    """An open element and what its ancestors and itself have: known tags and hints."""
+
+    parent: Element | None
+    tag: str
+    hints: frozenset
+    tags: frozenset = frozenset()
+    all_hints: frozenset = frozenset()
+
+    def child(self, tag: str, hints: frozenset) -> Element:
+        tags = self.tags if tag in self.tags or tag not in ANCESTORS else self.tags | {tag}
+        return Element(self, tag, hints, tags, self.all_hints if hints <= self.all_hints else self.all_hints | hints)
+
+
+#: What stands outside all elements.
+ROOT = Element(None, "", frozenset())
+
+
 @dataclass
 class Block:
-    """path: (tag, hints) of the open elements, outermost first."""
+    """inside: the innermost element that is open, with its chain of parents up to ROOT."""
 
-    path: tuple[tuple[str, frozenset], ...]
+    inside: Element
     text: str
     linked: int
     label: int | None = None
@@ -94,18 +123,66 @@ def _found_hints(attributes: str) -> frozenset:
 _known_hints = functools.lru_cache(4096)(_found_hints)
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where the content of a raw element that begins at `at` ends: at its end tag, or with the page."""
+    close = _raw_end(tag).search(page, at)
+    return close.start() if close else len(page)
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
+
+
+def _after_nested(page: str, tag: str, at: int) -> int:
+    """Where the content of an element of NESTED that begins at `at` ends: behind its own end, those of its kind in it
+    counted, or, for a foreign one, before an element that can't stand in it."""
+    depth, html, foreign = 1, [], tag in FOREIGN
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        inner, closed = (m[2] or "").lower(), foreign and (m[3] or "").endswith("/")
+        if m[1]:
+            depth -= inner == tag
+            if html and inner == html[-1]:
+                html.pop()
+        elif inner and foreign and not html and inner in BREAKOUT:
+            return at
+        elif inner and not closed:
+            depth += inner == tag
+            if foreign and inner in HOLDS_HTML:
+                html.append(inner)
+            elif inner in RAW and not (foreign and not html and inner != "script"):
+                at = _after_raw(page, inner, m.end())
+                continue
+        at = m.end()
+        if not depth:
+            return at
+    return at
+
+
+def _number(m: re.Match) -> str:
+    """A long character reference without leading zeros; one beyond all characters is the replacement character."""
+    base, digits = (16, m[2]) if m[1] else (10, m[3])
+    digits = digits.lstrip("0") or "0"
+    known = len(digits) < 8 and int(digits, base) < 0x110000
+    return f"&#{m[1] or ''}{digits};" if known else "\ufffd"
+
+
+_LONG_REFERENCE = re.compile(r"&#(?:([xX])([0-9a-fA-F]{7,}+)|([0-9]{8,}+));?")
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page that have text."""
     page, out = page or "", []
-    stack: list[tuple[str, frozenset]] = []
+    inside, opened = ROOT, Counter()
     parts: list[str] = []
     state = {"links": 0, "linked": 0}
 
     def flush() -> None:
         if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", entities.unescape(_LONG_REFERENCE.sub(_number, "".join(parts)))).strip()
             if text:
-                out.append(Block(tuple(stack), text, state["linked"]))
+                out.append(Block(inside, text, state["linked"]))
             parts.clear()
         state["linked"] = 0
 
@@ -125,17 +202,22 @@ def blocks(page: str | None) -> list[Block]:
             state["links"] = 0 if end else 1
             continue
         if end:
-            if tag in BLOCKS:
-                if any(t == tag for t, _ in stack):
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                elif tag == "p":
-                    flush()
+            if opened[tag]:
+                flush()
+                while True:
+                    opened[inside.tag] -= 1
+                    last, inside = inside.tag, inside.parent
+                    if last == tag:
+                        break
+            elif tag == "p":
+                flush()
+            continue
+        if tag in NESTED:
+            if not (tag in FOREIGN and m[3].endswith("/")):
+                at = _after_nested(page, tag, at)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)" if tag != "head" else r"</head(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = close.start() if close else n
+            at = _after_raw(page, tag, at)
             continue
         if tag == "br" or tag == "hr" or tag == "wbr":
             parts.append(" " if tag != "wbr" else "")
@@ -145,10 +227,12 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCKS and tag not in VOID:
             flush()
             closes = IMPLIED.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
-            while stack and stack[-1][0] in closes:
-                stack.pop()
+            while inside.tag in closes:
+                opened[inside.tag] -= 1
+                inside = inside.parent
             if not m[3].endswith("/") or tag not in ("p",):
-                stack.append((tag, _hints(m[3])))
+                opened[tag] += 1
+                inside = inside.child(tag, _hints(m[3]))
     flush()
     return out
 
@@ -157,12 +241,11 @@ def features(found: list[Block]) -> list[list[str]]:
     """The names of each block's features."""
     n, out = len(found), []
     for i, b in enumerate(found):
-        own = {"bias"}
-        tags = [t for t, _ in b.path]
-        own |= {f"in:{t}" for t in set(tags) if t in ANCESTORS}
-        own.add(f"at:{tags[-1] if tags and tags[-1] in ANCESTORS else 'other'}")
-        for depth, (_, hints) in enumerate(reversed(b.path)):
-            own |= {f"hint:{h}" for h in hints} | ({f"near:{h}" for h in hints} if depth < 2 else set())
+        own, here = {"bias"}, b.inside
+        own |= {f"in:{t}" for t in here.tags}
+        own.add(f"at:{here.tag if here.tag in ANCESTORS else 'other'}")
+        near = here.hints | here.parent.hints if here.parent else here.hints
+        own |= {f"hint:{h}" for h in here.all_hints} | {f"near:{h}" for h in near}
         words, size = b.text.count(" ") + 1, len(b.text)
         own.add(f"words:{min(words.bit_length(), 7)}")
         own.add(f"linked:{min(4, 4 * b.linked // size)}")
@@ -170,9 +253,9 @@ def features(found: list[Block]) -> list[list[str]]:
         if _NOTICE.search(b.text):
             own.add("copyright" if words < NOTICE_WORDS else "mentions copyright")
         own.add("first" if i == 0 else "last" if i == n - 1 else f"place:{4 * i // n}")
-        if tags and tags[-1] in ("h1", "h2", "h3", "h4") and not ({"nav", "aside", "footer", "form"} & set(tags)):
+        if here.tag in ("h1", "h2", "h3", "h4") and not here.tags & {"nav", "aside", "footer", "form"}:
             own.add("heading")
-        if not any(h for _, h in b.path):
+        if not here.all_hints:
             own.add("nohint")
         out.append(sorted(own))
     return out
@@ -263,11 +346,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[str,
 
     def boiler(kind: str) -> str:
         if kind == "menu":
-            return pick(f"<nav{named('menu', 0.4)}><ul>{links()}</ul></nav>", f"<div{named('menu', 1)}><ul>{links()}</ul></div>")
+            return pick(f"<nav{named('menu', 0.4)}><ul>{links()}</ul></nav>", f"<div{named('menu', 1)}><ul>{links()}</ul></div>", f"<div><ul>{links()}</ul></div>", "<div>" + " ".join(f"<a href=/{word()}>{words(1, 2)}</a>" for _ in range(r.randint(2, 8))) + "</div>")
         if kind == "head":
             return f"<header{named('head', 0.5)}>{pick('<h1>', '<p>', '<div>')}{words(1, 4)}{pick('', f'<p>{sentence()}</p>')}</header>"
         if kind == "foot":
-            return pick(f"<footer>&copy; {word()}.example &middot; {prose()}</footer>", f"<footer{named('foot')}><p>{prose()}</p><ul>{links()}</ul></footer>", f"<div{named('foot', 1)}><p>Copyright {words(1, 3)}</p></div>")
+            return pick(f"<footer>&copy; {word()}.example &middot; {prose()}</footer>", f"<footer{named('foot')}><p>{prose()}</p><ul>{links()}</ul></footer>", f"<div{named('foot', 1)}><p>Copyright {words(1, 3)}</p></div>", f"<div>&copy; {word()} {pick('', prose())}</div>")
         if kind == "side":
             return pick(f"<aside{named('side', 0.6)}><h3>{words(1, 3)}</h3><p>{prose()}</p></aside>", f"<div{named('side', 1)}><h3>{words(1, 3)}</h3><ul>{links()}</ul><p>{prose()}</p></div>", f"<aside>{prose()}</aside>")
         if kind == "form":
@@ -307,7 +390,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[str,
         if r.random() < 0.15:
             body.append(boiler("comment"))
         inside = "".join(body)
-        inside = pick(f"<article{named('text', 0.2)}>{inside}</article>", f"<article>{inside}</article>", f"<main>{inside}</main>", f"<div{named('text', 1)}>{inside}</div>", f"<main><article>{inside}</article></main>")
+        plain = r.random() < 0.2
+        inside = pick(f"<div>{inside}</div>", f"<div><div>{inside}</div></div>", inside) if plain else pick(f"<article{named('text', 0.2)}>{inside}</article>", f"<article>{inside}</article>", f"<main>{inside}</main>", f"<div{named('text', 1)}>{inside}</div>", f"<main><article>{inside}</article></main>")
         before = [boiler(k) for k in ("head", "menu", "advert", "notice", "form", "side") if r.random() < 0.45]
         after = [boiler(k) for k in ("comment", "side", "share", "advert", "notice", "form", "menu", "foot") if r.random() < 0.45]
         r.shuffle(before)

@@ -105,7 +105,7 @@ def test_main_text():
 def test_attributes_of_any_length():
     long = "x>" * 10_000
     page = f"<article><p>One.<img alt=\"{long}\" title='{long}'><p class=a data-x='{{\"class\": \"advert\"}}'>Two \"quoted\".<a \"odd>three</a> a=\"b</article>"
-    assert [b.text for b in html_text.blocks(page)] == ["One.", 'Two "quoted".three a="b'] and not any(h for b in html_text.blocks(page) for _, h in b.path)
+    assert [b.text for b in html_text.blocks(page)] == ["One.", 'Two "quoted".three a="b'] and not any(b.inside.all_hints for b in html_text.blocks(page))
     assert html_text.blocks("<p>seen<p class=\"cut> gone </p>")[-1].text == "seen"
     start = time.monotonic()
     html_text.blocks("<a b=\"><c d='" * 200_000)
@@ -113,6 +113,47 @@ def test_attributes_of_any_length():
     assert time.monotonic() - start < 20
 
 
+def texts(page):
+    return [b.text for b in html_text.blocks(page)]
+
+
+def test_pages_without_optional_tags():
+    assert texts("<head><title>x</title><article><p>Hello there.") == ["Hello there."]
+    assert texts("<title>x</title><meta charset=utf-8><script>var a = '<p>';</script><p>One.<p>Two.") == ["One.", "Two."]
+    assert texts("<head>\n<style>p{}</style></head>\n<body>y") == ["y"]
+
+
+def test_drawings_take_no_text_with_them():
+    assert texts('<p>One <svg width="1"/> two.</p><p>Three') == ["One two.", "Three"]
+    assert texts("<svg><svg><text>no</text></svg>no</svg>yes") == texts("<svg><foreignObject><p>no</p></foreignObject>no</svg>yes") == ["yes"]
+    assert texts("<p>a<svg><g><title>q</title><p>broke out</p>after") == ["a", "broke out", "after"]
+    assert texts("<math><mi>x</mi></math>yes<template><template>no</template>no</template> too") == ["yes too"]
+    assert texts("<svg/><svg><style>a > b</style>") == []
+
+
+def test_character_references_of_any_length():
+    assert texts("&#" + "9" * 6000 + ";x &#00000000065;&#x00000000042; &#x110000000;") == ["\ufffdx AB \ufffd"]
+
+
+def test_nesting_is_read_in_linear_time():
+    n, start = 100_000, time.monotonic()
+    found = html_text.blocks("<div class=menu>x" * n)
+    names = html_text.features(found)
+    assert len(found) == len(names) == n and "hint:menu" in names[-1] and time.monotonic() - start < 10
+    start = time.monotonic()
+    assert len(html_text.blocks("<div>x" * n + "</p>" * n + "</div>" * n)) == n
+    for page in ("<svg>x", "<template>x", "<svg><p>x", "<div><svg><title>", "<math><script>", "<select><title></p>"):
+        html_text.blocks(page * n)
+    assert time.monotonic() - start < 20
+
+
+def test_pages_without_semantic_tags_and_names():
+    page = """<html><body><div><ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul></div>
+    <div><p>The first paragraph tells of a long walk along the river.</p><p>The second one tells of the way back, which was longer.</p></div>
+    <div>&copy; 2020 Somebody</div></body></html>"""
+    assert html_text.extract(page, html_text.default_field()) == "The first paragraph tells of a long walk along the river. The second one tells of the way back, which was longer."
+
+
 class Articles(HTMLParser):
     """Brute force for pages with one article each: the blocks inside it."""
 
