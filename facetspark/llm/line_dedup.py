@@ -10,10 +10,11 @@ Lines end at \\n and are compared without the spaces, tabs and carriage returns
 decides, for short lines and for scripts without spaces as for all others; only blank lines are never removed. Hashes
 have 96 bits.
 
-Defined results: a null source is no site; a null text stays null, an empty one stays empty; equal rows (of one doc_id
-and text) are treated alike, and a kept first place is kept in all of them; texts of any length are one row's work,
-linear in their lines; an empty table gives an empty table. Columns other than doc_id, text and source pass through
-unread, whatever their names.
+Defined results: a null source is no site; a null text stays null, an empty one stays empty; a null doc_id comes after
+all others, so that a line's first place is in a document with an id wherever there is one; equal rows (of one doc_id,
+null or not, and text) are treated alike, and a kept first place is kept in all of them; texts of any length are one
+row's work, linear in their lines; an empty table gives an empty table. Columns other than doc_id, text and source pass
+through unread, whatever their names; counts replace input columns of their names.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """key, check and first (doc_id, mark, pos) of the lines that stand on min_sites sites or more."""
+    """key, check and first (no_id, doc_id, mark, pos) of the lines that stand on min_sites sites or more."""
     lines = _lines(docs, "source")
     grouped = lines.groupBy("key", "check").agg(
-        F.count("source").alias("n"), F.hll_sketch_agg("source", LG_K).alias("sites"), F.min(F.struct("doc_id", "mark", "pos")).alias("first"),
+        F.count("source").alias("n"), F.hll_sketch_agg("source", LG_K).alias("sites"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "pos")).alias("first"),
     )
     spread = stage(grouped.where(F.col("n") >= min_sites).select("key", "check", "first", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - band) - 1), "line-spread")
     sure = spread.where(F.col("estimate") > min_sites * (1 + band) + 1)
@@ -61,14 +62,15 @@ def _without(lines: Column, drops: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, counts: bool = False) -> DataFrame:
     """docs with all their columns, text without repeated boilerplate; counts adds n_lines and n_removed."""
-    own = as_documents(docs, ["doc_id", "text", "source"])
-    table = checked_broadcast(boilerplate(own, min_sites, band))
-    hits = _lines(own).join(table, ["key", "check"])
-    elsewhere = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("pos") != F.col("first.pos"))
+    read = as_documents(docs, ["doc_id", "text", "source"])
+    table = checked_broadcast(boilerplate(read, min_sites, band))
+    hits = _lines(read).join(table, ["key", "check"])
+    elsewhere = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("pos") != F.col("first.pos"))
     of, mark, at, split = (fresh(docs, name) for name in ("of_document", "of_text", "drop_at", "split_lines"))
     drops = hits.where(elsewhere).groupBy(F.col("doc_id").alias(of), F.col("mark").alias(mark)).agg(F.sort_array(F.collect_set("pos")).alias(at))
-    joined = docs.join(drops, (docs["doc_id"] == drops[of]) & (F.xxhash64(docs["text"]) == drops[mark]), "left")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[of]) & (F.xxhash64(docs["text"]) == drops[mark]), "left")
     joined = joined.withColumn(split, once(F.split("text", "\n")))
     text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(_without(F.col(split), F.col(at)), "\n"))
     more = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return joined.select(*[text.alias("text") if c == "text" else column(docs, c) for c in docs.columns], *more)
+    own = [c for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_removed"))]
+    return joined.select(*[text.alias("text") if c == "text" else column(docs, c) for c in own], *more)

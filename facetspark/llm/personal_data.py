@@ -1,7 +1,9 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in the whole text: at-signs, plus signs, digits, "://" and identifier cues (in
-letters of either case).
+letters of either case). Between a cue and its identifier may stand words that name it ("IBAN number", "password is") and
+separators of any length. An account number of its country's length with a right checksum needs no cue: a country's
+letters before a digit do.
 A deterministic local parser expands each anchor to the span around it and validates it; every parser starts where
 its last span ended, so that spans of a kind never overlap and the work stays linear.
 
@@ -27,16 +29,31 @@ from facetspark.llm.common import arrow_rows, as_documents
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn", "url_login")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api key": "secret", "api_key": "secret", "apikey": "secret", "access key": "secret"}
+CUES = {
+    "ssn": "ssn", "social security": "ssn", "social-security": "ssn",
+    **dict.fromkeys(["token", "secret", "password", "passwd", "passphrase", "pwd", "credential"], "secret"),
+    **{first + gap + "key": "secret" for first in ("api", "access", "auth", "private") for gap in ("", " ", "_", "-")},
+}
+#: Words that may stand between a cue and its identifier.
+NAMING = r"(?:\s++(?:number|no\.|no|nr\.|nr|code|key|is|was)(?![A-Za-z0-9]))*+"
 LOWER = {c: c + 32 for c in range(65, 91)}
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[\s:#=-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-SSN = re.compile(r"[\s:#=-]{0,4}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
-SECRET = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_/+.=-]{16,})")
+#: The length of account numbers by country (ISO 13616).
+ACCOUNT_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+SSN = re.compile(NAMING + r"[\s:#=-]*+((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
+SECRET = re.compile(NAMING + r"(?:\s*+[=:]|(?<=\sis)|(?<=\swas))\s*+[\"']?([A-Za-z0-9_/+.=-]{16,}+)")
+SIGN = re.compile(r"[A-Za-z0-9]")
 LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 
 
@@ -68,6 +85,11 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+@functools.cache
+def _account(country: str) -> re.Pattern:
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{ACCOUNT_LENGTHS[country] - 4}}}(?![A-Za-z0-9])")
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind in the order of KINDS, then by start."""
     text = text or ""
@@ -76,6 +98,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     for last, (anchor, size) in anchors().iter(text.translate(LOWER)):
         at, after = last - size + 1, last + 1
         if anchor == "digit":
+            start = at - 2
+            if start >= past["iban"] and text[start:at] in ACCOUNT_LENGTHS and not (start and SIGN.match(text, start - 1)):
+                if (m := _account(text[start:at]).match(text, start)) and mod97(m[0]):
+                    past["iban"] = m.end()
+                    found["iban"].append(m.span())
             if at >= past["card"] and (m := CARD.match(text, at)):
                 past["card"] = m.end()
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -110,9 +137,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 past["url_login"] = m.end()
                 found["url_login"].append((start, m.end()))
         elif after >= past[anchor]:
-            if m := {"iban": IBAN, "ssn": SSN, "secret": SECRET}[anchor].match(text, after):
+            if m := {"ssn": SSN, "secret": SECRET}[anchor].match(text, after):
                 value = m[1]
-                if {"iban": lambda: mod97(value), "ssn": lambda: True, "secret": lambda: any(map(str.isdigit, value)) and any(map(str.isalpha, value))}[anchor]():
+                if anchor == "ssn" or any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
                     past[anchor] = m.end(1)
                     found[anchor].append(m.span(1))
                 elif anchor == "secret":  # nor has what follows a later cue in it both letters and digits

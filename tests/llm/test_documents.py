@@ -133,6 +133,19 @@ def test_line_dedup(docs, rows, min_sites, band):
     assert marks and as_set(line_dedup.dedup_lines(docs, min_sites, band).select("doc_id", "text")) == expected
 
 
+def test_lines_of_documents_without_ids(spark):
+    rows = [(i, f"one {i}\nshared", f"s{i}") for i in range(6)] + [(None, "shared\nother", "s9"), (None, "shared\nother", "s9"), (None, "nowhere else", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "7 AS n_lines", "'x' AS n_removed")
+    got = as_set(line_dedup.dedup_lines(docs, 5).select("doc_id", "text"))
+    assert got == Counter([(0, "one 0\nshared"), *[(i, f"one {i}") for i in range(1, 6)], (None, "other"), (None, "other"), (None, "nowhere else")])
+    counted = line_dedup.dedup_lines(docs, 5, counts=True)
+    assert sorted(counted.columns) == ["doc_id", "n_lines", "n_removed", "source", "text"]
+    assert as_set(counted.where("doc_id is null").select("n_lines", "n_removed")) == Counter([(2, 1), (2, 1), (1, 0)])
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    kept = [r["text"] for r in line_dedup.dedup_lines(nameless, 5).collect() if "shared" in r["text"].split("\n")]
+    assert len(set(kept)) == 1
+
+
 CLASHES = ["_lines", "_drops", "_doc", "_mark", "of_document", "Of_Text", "drop_at", "split_lines", "a.b", "_n", "_kept", "class", "rank", "_row", "doc"]
 
 
@@ -440,6 +453,24 @@ def test_templates_of_any_length(spark):
     assert {x["doc_id"]: x["labels"] for x in licenses.scan(df, {"terms": " ".join(terms.split()[:120])}).collect()} == {1: "terms", 2: "terms", 3: "terms"}
 
 
+def test_identifiers_after_any_separators_and_names():
+    found = lambda text: [(k, text[s:e]) for k, s, e in personal_data.spans(text) if k in ("iban", "ssn", "secret")]
+    account, key = "DE89 3704 0044 0532 0130 00", "abcd1234efgh5678"
+    for text in ("IBAN:" + " " * 500 + account, f"IBAN number {account}", f"pay to {account} AND NOTHING ELSE", f"({account})", account.replace(" ", "")):
+        assert [k for k, _ in found(text)] == ["iban"] and found(text)[0][1].replace(" ", "") == account.replace(" ", "")
+    for text in (f"x{account}", account.replace("89", "88", 1), account[:-1], account + "1", "ZZ89 3704 0044 0532 0130 00"):
+        assert found(text) == []
+    for cue in ("api-key: ", "api-key      =     ", "password is ", "the password was: ", "access_key\n\n\n:\n\n\n", "secret key = "):
+        assert found(cue + key) == [("secret", key)], cue
+    for cue in ("SSN" + " " * 100, "social security number is ", "ssn no. : "):
+        assert found(cue + "123-45-6789") == [("ssn", "123-45-6789")], cue
+    assert found("the password is incomprehensibilities") == found("token " + key) == []
+    start = time.monotonic()
+    for text in ("token" + " " * 1_000_000, "password is " * 100_000, "DE89 " * 200_000, "ssn ssn" + " :" * 500_000):
+        assert found(text) == []
+    assert time.monotonic() - start < 20
+
+
 def test_personal_data_of_all_spellings_and_lengths():
     for cue in ("API key", "api KEY", "Access Key", "PassWord", "TOKEN"):
         assert personal_data.spans(f"{cue}: abcd1234efgh5678")[-1] == ("secret", len(cue) + 2, len(cue) + 18)
