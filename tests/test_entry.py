@@ -25,7 +25,7 @@ def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["pair_histogram", "triple_histogram", "trim_search", "conflict_removal", "class_balance", "scale_extrema", "components", "wave_fill", "greedy_points", "pair_kernel", "raster_hessian", "segments_by_value"])
+@pytest.mark.parametrize("name", ["pair_histogram", "triple_histogram", "trim_search", "conflict_removal", "class_balance", "scale_extrema", "components", "wave_fill", "greedy_points", "pair_kernel", "raster_hessian", "segments_by_value", "gaussian_grams"])
 def test_queries_equal_their_oracles(spark, duck, name):
     df = own.queries()[name](spark, SF)
     names = sorted(df.columns)
