@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, release_shuffles, releasing, stage
+from facetspark.llm.common import as_documents, checked_broadcast, column, drop_staged, parts, release_memory, releasing, stage
 
 #: Share of the trusted documents from which the model is counted; the others set the upper limits.
 TRAINING_SHARE = 0.5
@@ -59,9 +59,8 @@ PRIOR = 20
 HOT = 1 << 19
 SHARD = 1 << 18
 TRUSTED_ROWS = 4_000_000
-#: A bit for each key by its first bits, 8 MB in all, tells most keys that the shards don't have; a page is a task's share.
+#: A bit for each key by its first bits, 8 MB in all, tells most keys that the shards don't have.
 FILTER_BITS = 26
-PAGE_BITS = 16
 #: Documents in a block.
 BLOCK = 500
 #: Least discount, so that every context leaves a share to words not seen in it.
@@ -133,11 +132,16 @@ def _off(cnt: Column) -> Column:
     return F.when(cnt == 1, F.col("d1")).when(cnt == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The weights: lang, v (null: a single word), w, cnt, weight; and for each language lang, unknown."""
-    pairs = stage(count_pairs(texts), "pairs")
-    contexts = pairs.join(checked_broadcast(discounts(pairs)), "lang").withColumn("off", _off(F.col("cnt")))
-    contexts = contexts.groupBy("lang", F.col("v").alias("word")).agg(F.sum("cnt").alias("total"), (F.sum("off") / F.sum("cnt")).alias("left"))
+def train(texts: DataFrame, form: Callable[[DataFrame], DataFrame] = lambda weights: weights) -> tuple[DataFrame, DataFrame]:
+    """The weights: lang, v (null: a single word), w, cnt, weight, or what form makes of them; and for each language lang, unknown.
+
+    Pairs lie sorted by their first words, as repeated neighbours take little room; tables of words grow with the corpus,
+    so both joins are shuffled ones at any size.
+    """
+    pairs = stage(count_pairs(texts).sortWithinPartitions("lang", "v", "w"), "pairs")
+    taken = stage(discounts(pairs), "discounts")
+    off = pairs.join(checked_broadcast(taken), "lang").withColumn("off", _off(F.col("cnt")))
+    contexts = off.groupBy("lang", F.col("v").alias("word")).agg(F.sum("cnt").alias("total"), (F.sum("off") / F.sum("cnt")).alias("left"))
     contexts = stage(contexts, "contexts")
     follow = stage(pairs.groupBy("lang", F.col("w").alias("word")).agg(F.count("*").alias("cnt")), "continuations")
     lower = discounts(follow).join(follow.groupBy("lang").agg(F.sum("cnt").alias("sum"), F.count("*").alias("words")), "lang")
@@ -146,13 +150,14 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = marked.join(checked_broadcast(unknown), "lang").select("lang", "word", "unknown", ((F.col("cnt") - F.col("off")) / F.col("sum") + F.exp("unknown")).alias("p"))
     single = stage(single, "single")
     drop_staged(follow)
-    release_shuffles(texts.sparkSession)
+    # log p(w after v) - log(left) - log p(w) is log(1 + odds / p(w)), with odds from the pair and its context alone.
+    odds = ((F.col("cnt") - F.col("off")) / F.col("total") / F.col("left")).cast("float").alias("odds")
+    first = stage(off.join(contexts.withColumnRenamed("word", "v").hint("merge"), ["lang", "v"]).select("lang", "v", "w", "cnt", odds), "first")
+    drop_staged(pairs)
     both = contexts.join(single, ["lang", "word"], "full").select("lang", F.lit(None).cast("long").alias("v"), F.col("word").alias("w"), F.coalesce("total", F.lit(1)).alias("cnt"), (F.coalesce(F.log("left"), F.lit(0.0)) + F.coalesce(F.log("p") - F.col("unknown"), F.lit(0.0))).alias("weight"))
-    joined = pairs.join(checked_broadcast(discounts(pairs)), "lang").join(checked_broadcast(contexts.withColumnRenamed("word", "v")), ["lang", "v"]).join(checked_broadcast(single.withColumnRenamed("word", "w").drop("unknown")), ["lang", "w"])
-    p = (F.col("cnt") - _off(F.col("cnt"))) / F.col("total") + F.col("left") * F.col("p")
-    known = joined.select("lang", "v", "w", "cnt", (F.log(p) - F.log("left") - F.log("p")).alias("weight"))
-    out = stage(both.unionByName(known), "weights")
-    for table in (pairs, contexts, single):
+    known = first.join(single.withColumnRenamed("word", "w").drop("unknown").hint("merge"), ["lang", "w"]).select("lang", "v", "w", "cnt", F.log1p(F.col("odds") / F.col("p")).alias("weight"))
+    out = stage(form(both.unionByName(known)), "weights")
+    for table in (taken, contexts, single, first):
         drop_staged(table)
     return out, unknown
 
@@ -264,33 +269,21 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(base["doc_id"], pa.int64()), "lang": pa.array(base["lang"], pa.string()), "n_words": pa.array(base["n_words"], pa.int64()), "known": pa.array(total)})
 
 
-def _packed(shards: int, salts: int):
-    """A shard's rows (shard, rest, weight) to one row for each of its slots."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rest, weight = table.column("rest").to_numpy().view(np.int64).astype(np.uint32), table.column("weight").to_numpy()
-        order, s = np.argsort(rest, kind="stable"), table.column("shard")[0].as_py()
-        keys, weights = rest[order].tobytes(), weight[order].astype(np.float32).tobytes()
-        return pa.Table.from_batches([_rows([(s * salts + k, 0, -1, keys, weights, None, None, None, None)]) for k in range(salts)])
-
-    return run
-
-
-def _page(table: pa.Table) -> pa.Table:
-    """The places of keys within a page of the filter to the page's bits."""
-    bits = np.zeros(1 << PAGE_BITS, np.uint8)
-    place = table.column("place").to_numpy()
-    bits[place & ((1 << PAGE_BITS) - 1)] = 1
-    return pa.table({"page": pa.array([int(place[0]) >> PAGE_BITS], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def _packed(table: pa.Table) -> pa.Table:
+    """A shard's rows (shard, rest, weight) to its row."""
+    rest, weight = table.column("rest").to_numpy().view(np.int64).astype(np.uint32), table.column("weight").to_numpy()
+    order, s = np.argsort(rest, kind="stable"), table.column("shard")[0].as_py()
+    return pa.Table.from_batches([_rows([(s, 0, -1, rest[order].tobytes(), weight[order].astype(np.float32).tobytes(), None, None, None, None)])])
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int")
-    pages = keys.select(place.alias("place")).distinct().groupBy(F.shiftright("place", PAGE_BITS)).applyInArrow(_page, "page int, bits binary")
-    out = np.zeros((1 << (FILTER_BITS - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
-    for r in pages.collect():
-        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    """The filter's bytes: 64 bits to a row, which map sides combine, so that its size alone bounds what comes back."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("key", 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int"))
+    rows = stage(keys.groupBy(F.shiftrightunsigned("key", 70 - FILTER_BITS).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")), "filter")
+    found, out = rows.toArrow(), np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    drop_staged(rows)
+    return out.astype("<i8").view(np.uint8)
 
 
 def score(docs: DataFrame, weights: DataFrame, unknown: DataFrame, hot_rows: int = HOT, shard_rows: int = SHARD) -> DataFrame:
@@ -316,15 +309,18 @@ def score_keyed(docs: DataFrame, model: DataFrame, unknown: DataFrame, hot_rows:
     shards = max(1, math.ceil(n / shard_rows))
     salts = max(1, math.ceil(texts.rdd.getNumPartitions() / shards))
     low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    shares = cold.select((low % shards).cast("int").alias("shard"), F.shiftrightunsigned("key", 32).alias("rest"), "weight").groupBy("shard").applyInArrow(_packed(shards, salts), _PACK)
+    shares = cold.select((low % shards).cast("int").alias("shard"), F.shiftrightunsigned("key", 32).alias("rest"), "weight").groupBy("shard").applyInArrow(_packed, _PACK)
+    packed = stage(shares, "shards")
+    drop_staged(model)
+    salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("slot", F.col("slot") * salts + F.col("salt")).drop("salt")
     packs = texts.mapInArrow(_packs(hot, shards, salts), _PACK)
-    dealt = packs.union(shares).repartition(shards * salts, "slot").sortWithinPartitions("slot", "kind")
+    dealt = packs.union(salted).repartition(shards * salts, "slot").sortWithinPartitions("slot", "kind")
     sums = dealt.mapInArrow(_sums, "block long, ends binary, doc_id array<long>, lang array<string>, n_words array<long>, own array<double>")
     total = sums.groupBy("block").applyInArrow(_added, "doc_id long, lang string, n_words long, known double")
     nll = -(F.col("known") / (F.col("n_words") + 1) + F.col("unknown"))
     out = total.join(checked_broadcast(unknown), "lang", "left").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, nll).alias("nll"))
     out = stage(out, "scores")
-    drop_staged(model)
+    drop_staged(packed)
     hot.destroy()
     release_memory()
     return out
@@ -353,10 +349,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     """A row for each document: doc_id, lang, n_words, perplexity, score, low, high (limits of the score) and kept."""
     trusted = stage(trusted_ids(labels), "trusted")
     known = _texts(docs).join(checked_broadcast(trusted, TRUSTED_ROWS), "doc_id", "left_semi")
-    weights, unknown = train(drawn(known, share))
-    model = stage(keyed(weights), "keys")
-    drop_staged(weights)
-    release_shuffles(docs.sparkSession)
+    model, unknown = train(drawn(known, share), keyed)
     scored = score_keyed(docs, model, unknown)
     bounds = stage(limits(scored, trusted, share, quantile, margin), "limits")
     judged = scored.join(checked_broadcast(bounds), "lang", "left").withColumn("score", F.round(rating(), 3))
