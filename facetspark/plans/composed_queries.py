@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
-from facetspark.operators import chains, detect, features, filters, geometry, graph, learn, stats
+from facetspark.operators import chains, detect, features, filters, frames, geometry, graph, learn, stats
 from facetspark.plans import pipeline
 from facetspark.plans.catalogue import EV, events_path, fx, items, path_edges, query, table
 from facetspark.plans.descriptor_queries import PRED, cells, predicted
@@ -141,3 +141,30 @@ def local_pca(spark: SparkSession, d: str) -> DataFrame:
 def descriptor_pipeline(spark: SparkSession, d: str) -> DataFrame:
     path = events_path(spark, d)
     return pipeline.run(path, path_edges(path), path_near(path, 12), [0.8, 1.2, 1.8, 2.7, 4.0], Options(distance_bins=4))
+
+
+#: Paths of events as strips of a surface: the normal leans with the event's value and number.
+STRIP = """s AS (SELECT mol_id, v, CAST(v AS DOUBLE) AS x, y, nx / l AS nx, ny / l AS ny, 1 / l AS nz FROM (SELECT mol_id, v, y, nx, ny, sqrt(nx * nx + ny * ny + 1) AS l
+ FROM (SELECT mol_id, v, CAST(value AS DOUBLE) / 100 AS y, CAST(value AS DOUBLE) / 1000 AS nx, CAST(event_id % 7 AS DOUBLE) / 10 - 0.3 AS ny FROM ev)))"""
+
+
+@query(f"""WITH RECURSIVE {EV}, {STRIP},
+k AS (SELECT a.mol_id, a.v AS src, b.v AS dst, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS c, b.x - a.x AS ex, b.y - a.y AS ey,
+ a.ny * b.nz - a.nz * b.ny AS kx, a.nz * b.nx - a.nx * b.nz AS ky, a.nx * b.ny - a.ny * b.nx AS kz
+ FROM s a JOIN s b ON a.mol_id = b.mol_id AND b.v - a.v BETWEEN 1 AND 12 AND (b.v + 11) // 12 = (a.v + 11) // 12 + 1),
+t AS (SELECT *, coalesce((kx * ex + ky * ey) / nullif(sqrt(kx * kx + ky * ky + kz * kz) * sqrt(ex * ex + ey * ey), 0), 0) AS along FROM k),
+w AS (SELECT *, pow(least(1.0, greatest(0.0, 1 - along)), 10) AS weight FROM t),
+f AS (SELECT mol_id, v, 0 AS layer, (1 - nx * nx) / l AS ux, -nx * ny / l AS uy, -nx * nz / l AS uz FROM (SELECT *, sqrt(1 - nx * nx) AS l FROM s WHERE v = 0)
+ UNION ALL SELECT mol_id, v, layer, ux / nullif(l, 0), uy / nullif(l, 0), uz / nullif(l, 0) FROM (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS l FROM (
+ SELECT w.mol_id, w.dst AS v, f.layer + 1 AS layer, sum(weight * (c * ux + ky * uz - kz * uy + kx * (kx * ux + ky * uy + kz * uz) / (1 + c))) AS ux,
+ sum(weight * (c * uy + kz * ux - kx * uz + ky * (kx * ux + ky * uy + kz * uz) / (1 + c))) AS uy, sum(weight * (c * uz + kx * uy - ky * ux + kz * (kx * ux + ky * uy + kz * uz) / (1 + c))) AS uz
+ FROM f JOIN w ON f.mol_id = w.mol_id AND f.v = w.src GROUP BY w.mol_id, w.dst, f.layer)))
+SELECT mol_id, CAST(v AS INTEGER) AS v, CAST(layer AS INTEGER) AS layer, {fx("ux")} AS ux, {fx("uy")} AS uy, {fx("uz")} AS uz FROM f""")
+def carried_frames(spark: SparkSession, d: str) -> DataFrame:
+    path = events_path(spark, d)
+    lean = [(F.col("value").cast("double") / 1000).alias("nx"), (F.col("event_id") % 7 / 10 - 0.3).alias("ny"), F.lit(1.0).alias("nz")]
+    strip = path.select("mol_id", "v", "x", (F.col("value").cast("double") / 100).alias("y"), F.lit(0.0).alias("z"), *lean)
+    edges = path_near(path, 12).where("v <> u").select("mol_id", F.col("v").alias("src"), F.col("u").alias("dst"))
+    seeds = path.where("v = 0").select("mol_id", "v", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(0.0).alias("uz"))
+    carried = frames.propagate(strip, edges, seeds)
+    return carried.select("mol_id", "v", "layer", *[X.fixed(F.col(c), 6).alias(c) for c in frames.AXIS])
