@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
-from facetspark.operators import chains, detect, features, filters, frames, geometry, graph, learn, stats
+from facetspark.operators import chains, detect, features, filters, frames, geometry, graph, learn, projections, stats
 from facetspark.plans import pipeline
 from facetspark.plans.catalogue import EV, events_path, fx, items, path_edges, query, table
 from facetspark.plans.descriptor_queries import PRED, cells, predicted
@@ -168,3 +168,14 @@ def carried_frames(spark: SparkSession, d: str) -> DataFrame:
     seeds = path.where("v = 0").select("mol_id", "v", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(0.0).alias("uz"))
     carried = frames.propagate(strip, edges, seeds)
     return carried.select("mol_id", "v", "layer", *[X.fixed(F.col(c), 6).alias(c) for c in frames.AXIS])
+
+
+@query(f"""WITH {EV}, p AS (SELECT mol_id, v, CAST(value AS DOUBLE) / 100 AS a, CAST(event_id % 7 AS DOUBLE) + 0.5 AS b FROM ev),
+m AS (SELECT p.mol_id, p.v, p.a, p.b, avg(q.a * q.a) AS aa, avg(q.a * q.b) AS ab, avg(q.b * q.b) AS bb FROM p JOIN p q ON p.mol_id = q.mol_id AND abs(p.v - q.v) <= 12 GROUP BY ALL),
+t AS (SELECT *, cos(atan2(2 * ab, aa - bb) / 2) AS c, sin(atan2(2 * ab, aa - bb) / 2) AS s FROM m)
+SELECT mol_id, CAST(v AS INTEGER) AS v, {fx("(a * c + b * s) * CASE WHEN (CASE WHEN abs(c) >= abs(s) THEN c ELSE s END) < 0 THEN -1 ELSE 1 END")} AS value FROM t""")
+def principal_response(spark: SparkSession, d: str) -> DataFrame:
+    path = events_path(spark, d)
+    values = path.select("mol_id", F.col("v").cast("int").alias("v"), (F.col("value").cast("double") / 100).alias("a"), (F.col("event_id") % 7 + 0.5).alias("b"))
+    along = projections.project(projections.principal_directions(path_near(path, 12), values, ["a", "b"]), values, ["a", "b"])
+    return along.select("mol_id", F.col("v").cast("int").alias("v"), X.fixed(F.col("value"), 6).alias("value"))
