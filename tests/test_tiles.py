@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from facetspark.operators import tiles
+from facetspark.plans import queries
 
 SCHEMA = "key int, v long, vec array<float>"
 
@@ -33,3 +34,15 @@ def test_pairs_within_a_radius_over_many_tiles(spark, rows):
     edge = [(0, 1, [0.0, 0.0]), (0, 2, [3.0, 4.0]), (0, 3, [3.0, 4.000001]), (0, 4, [1e30, 1e30]), (0, 5, [1e30, 1e30])]
     assert {(r["v"], r["u"]) for r in tiles.within(spark.createDataFrame(edge, SCHEMA), 5.0, 2).collect()} == {(1, 2), (2, 3), (4, 5)}
     assert tiles.within(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
+
+
+def test_sums_of_distances(spark, rows):
+    got = {(r["key"], r["v"]): r["total"] for r in tiles.distance_sums(spark.createDataFrame(rows, SCHEMA), size=7).collect()}
+    assert got == {(k, v): sum(math.floor(apart(a, b) * 1e6 + 0.5) for j, u, b in rows if j == k and u != v) for k, v, a in rows}
+
+
+def test_medoid_counts_pairs_of_any_distance(spark, tmp_path):
+    """Pairs further apart than 4 were left out."""
+    at = [[0.0], [1.0], [2.0], [50.0], [51.0], [52.0], [53.0]]
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(at)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in queries.queries()["medoid"](spark, str(tmp_path)).collect()] == [(0, 1, 3)]
