@@ -46,3 +46,12 @@ def test_medoid_counts_pairs_of_any_distance(spark, tmp_path):
     at = [[0.0], [1.0], [2.0], [50.0], [51.0], [52.0], [53.0]]
     spark.createDataFrame([(i, x, 0) for i, x in enumerate(at)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in queries.queries()["medoid"](spark, str(tmp_path)).collect()] == [(0, 1, 3)]
+
+
+def test_gram_of_all_pairs(spark, rows):
+    df = spark.createDataFrame(rows + ODD[:4], SCHEMA).withColumnRenamed("v", "mol_id")
+    got = {(r["m1"], r["m2"]): r["k"] for r in tiles.gram(df, ["key"], 7).collect()}
+    want = {(v, u): sum(x * y for x, y in zip(a, b)) for k, v, a in rows for j, u, b in rows if j == k}
+    assert {p: k for p, k in got.items() if max(p) < 200} == pytest.approx(want, abs=1e-12)
+    odd = {p: k for p, k in got.items() if max(p) >= 200}
+    assert {p for p, k in odd.items() if k is not None} == {(202, 202)} and len(odd) == 3 * 33 + 30 * 3
