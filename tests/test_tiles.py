@@ -55,3 +55,10 @@ def test_gram_of_all_pairs(spark, rows):
     assert {p: k for p, k in got.items() if max(p) < 200} == pytest.approx(want, abs=1e-12)
     odd = {p: k for p, k in got.items() if max(p) >= 200}
     assert {p for p, k in odd.items() if k is not None} == {(202, 202)} and len(odd) == 3 * 33 + 30 * 3
+
+
+def test_sums_of_gaussian_rows(spark, rows):
+    df = spark.createDataFrame(rows + ODD[:3], SCHEMA).withColumnRenamed("v", "mol_id")
+    got = {(r["mol_id"], r["parameter"]): r["total"] for r in tiles.gaussian_sums(df, ["key"], [0.5, 2.0], 7).collect()}
+    want = {(v, i): sum(math.exp(-g * apart(a, b) ** 2) for j, u, b in rows if j == k) for k, v, a in rows for i, g in enumerate([0.5, 2.0])}
+    assert {p: t for p, t in got.items() if p[0] < 200} == pytest.approx(want)
