@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from facetspark.operators import tiles
+from facetspark.operators import graph, tiles
 from facetspark.plans import queries
 
 SCHEMA = "key int, v long, vec array<float>"
@@ -62,3 +62,12 @@ def test_sums_of_gaussian_rows(spark, rows):
     got = {(r["mol_id"], r["parameter"]): r["total"] for r in tiles.gaussian_sums(df, ["key"], [0.5, 2.0], 7).collect()}
     want = {(v, i): sum(math.exp(-g * apart(a, b) ** 2) for j, u, b in rows if j == k) for k, v, a in rows for i, g in enumerate([0.5, 2.0])}
     assert {p: t for p, t in got.items() if p[0] < 200} == pytest.approx(want)
+
+
+def test_geodesics_of_at_most_two_edges(spark):
+    """A path of three edges is no path of two; one of two may be shorter than one edge."""
+    one = [(0, 1, 2, 1.0), (0, 2, 3, 0.5), (0, 3, 4, 0.5), (0, 1, 3, 1.9)]
+    edges = spark.createDataFrame([e for m, a, b, x in one for e in ((m, a, b, x), (m, b, a, x))], "mol_id long, src long, dst long, len double")
+    two = {(r["v"], r["u"]): r["d"] for r in graph.geodesics(edges, 2.1, 2).collect()}
+    assert two == {(a, b): d for x, y, d in ((1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0), (4, 4, 0.0), (1, 2, 1.0), (2, 3, 0.5), (3, 4, 0.5), (1, 3, 1.5), (2, 4, 1.0)) for a, b in ((x, y), (y, x))}
+    assert {(r["v"], r["u"]) for r in graph.geodesics(edges, 2.1).collect()} == set(two) | {(1, 4), (4, 1)}
