@@ -3,7 +3,7 @@
 A frame is its first axis u, a unit vector across the vertex's normal n; the second is n x u and follows it, as rotations
 keep cross products. Both loops go layer by layer (a vertex's layer is its number of edges from the nearest seed): each
 takes only what the layer before gives, so that results don't depend on an order of visits. A layer is a job over the
-last layer's rows, written to the shared checkpoint folder; links are written once.
+last layer's rows, written to the shared checkpoint folder.
 
 Defined results: vertices that no edges lead to from a seed are absent; rows with a null in an identifier are, too; a
 null position or normal gives a null axis, which passes nothing on, as does a sum of no length. Seeds are unique by
@@ -22,6 +22,8 @@ from facetspark.operators.graph import written
 #: Exponent of a link's weight.
 SHARPNESS = 10.0
 AXIS = ("ux", "uy", "uz")
+#: Normals of a link's source and target.
+NORMAL, OTHER = ("nx", "ny", "nz"), ("mx", "my", "mz")
 
 
 def dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -60,15 +62,22 @@ def links(surface: DataFrame, edges: DataFrame, sharpness: float = SHARPNESS) ->
     The weight is (1 - t) ** sharpness, t the share of the edge's direction that lies along the axis about which the
     normals turn, held between 0 and 1; normals that are parallel or opposite have no such axis, and weight 1.
     """
-    n, m = [f"n{c}" for c in "xyz"], [f"m{c}" for c in "xyz"]
-    own = surface.select("mol_id", "v", "x", "y", "z", *_named(unit(_columns(n)), n))
-    a = own.withColumnRenamed("v", "src")
-    b = own.select("mol_id", F.col("v").alias("dst"), *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[F.col(c).alias(d) for c, d in zip(n, m)])
+    a, b = _ends(surface)
     both = edges.select("mol_id", "src", "dst").join(a, ["mol_id", "src"]).join(b, ["mol_id", "dst"])
+    return both.select("mol_id", "src", "dst", *NORMAL, *OTHER, _weight(sharpness).alias("weight"))
+
+
+def _ends(surface: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions and unit normals of links' sources (x.., nx..) and targets (to_x.., mx..)."""
+    own = surface.select("mol_id", "v", "x", "y", "z", *_named(unit(_columns(NORMAL)), NORMAL))
+    to = own.select("mol_id", F.col("v").alias("dst"), *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[F.col(c).alias(d) for c, d in zip(NORMAL, OTHER)])
+    return own.withColumnRenamed("v", "src"), to
+
+
+def _weight(sharpness: float) -> Column:
     along = unit([F.col(f"to_{c}") - F.col(c) for c in "xyz"])
-    turn = F.coalesce(dot(unit(cross(_columns(n), _columns(m))), along), F.lit(0.0))
-    weight = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - turn)), F.lit(sharpness))
-    return both.select("mol_id", "src", "dst", *n, *m, weight.alias("weight"))
+    turn = F.coalesce(dot(unit(cross(_columns(NORMAL), _columns(OTHER))), along), F.lit(0.0))
+    return F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - turn)), F.lit(sharpness))
 
 
 def propagate(surface: DataFrame, edges: DataFrame, seeds: DataFrame, sharpness: float = SHARPNESS, max_rounds: int = 1000) -> DataFrame:
@@ -77,8 +86,9 @@ def propagate(surface: DataFrame, edges: DataFrame, seeds: DataFrame, sharpness:
     A vertex gets the sum, brought to unit length, of the axes of all neighbours of the layer before, each transported to
     its normal and weighted by links(). Raises RuntimeError if max_rounds layers aren't enough.
     """
-    n, m = _columns(["nx", "ny", "nz"]), _columns(["mx", "my", "mz"])
-    ways = written(links(surface, edges, sharpness))
+    n, m = _columns(NORMAL), _columns(OTHER)
+    # A link is made when its source is in the last layer, once in all, and never written.
+    ways, (source, target) = edges.select("mol_id", "src", "dst"), _ends(surface)
     start = seeds.select("mol_id", "v", *AXIS).join(surface.select("mol_id", "v", "nx", "ny", "nz"), ["mol_id", "v"])
     normal = unit(n)
     share = dot(_columns(AXIS), normal)
@@ -87,6 +97,7 @@ def propagate(surface: DataFrame, edges: DataFrame, seeds: DataFrame, sharpness:
     for layer in range(1, max_rounds + 1):
         near = front.drop("layer").withColumnRenamed("v", "src").join(ways, ["mol_id", "src"])
         near = near.join(reached.select("mol_id", F.col("v").alias("dst")), ["mol_id", "dst"], "left_anti")
+        near = near.join(source, ["mol_id", "src"]).join(target, ["mol_id", "dst"]).withColumn("weight", _weight(sharpness))
         brought = [F.sum(F.col("weight") * c) for c in transported(_columns(AXIS), n, m)]
         sums = near.groupBy("mol_id", F.col("dst").alias("v")).agg(*_named(brought, AXIS))
         front = written(sums.select("mol_id", "v", F.lit(layer).alias("layer"), *_named(unit(_columns(AXIS)), AXIS)))
