@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from facetspark.operators import graph
 from facetspark.plans import queries
 
 KEY = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -20,3 +21,10 @@ def test_neighbours_are_not_shuffled(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange hashpartitioning(user_id#" in plan and not re.findall(r"Exchange hashpartitioning\(\w+#\w+, \w+#.*", plan)
     assert spark.conf.get(KEY) == "true"
+
+
+def test_filling_layer_by_layer_keeps_what_no_value_reaches(spark):
+    values = spark.createDataFrame([(0, v, x) for v, x in enumerate([1.0, None, None, None, 5.0])] + [(1, 0, None), (1, 1, None), (2, 0, 3.0)], "mol_id long, v long, value double")
+    edges = spark.createDataFrame([(0, a, b) for a in range(5) for b in (a - 1, a + 1) if 0 <= b < 5] + [(1, 0, 1), (1, 1, 0)], "mol_id long, src long, dst long")
+    got = {(r["mol_id"], r["v"]): (r["value"], r["layer"]) for r in graph.fill_from_borders(values, edges).collect()}
+    assert got == {(0, 0): (1.0, 0), (0, 1): (1.0, 1), (0, 2): (3.0, 2), (0, 3): (5.0, 1), (0, 4): (5.0, 0), (1, 0): (None, 0), (1, 1): (None, 0), (2, 0): (3.0, 0)}
