@@ -20,6 +20,10 @@ def round_half_up(x: float) -> int:
     return int(math.floor(x + 0.5))
 
 
+#: Groups whose means may be broadcast.
+FEW = 10_000
+
+
 def order_statistics(df: DataFrame, value: str, of_count) -> list[float]:
     """The values at the sorted positions of_count(n) (from 0), n being the number of values; NULL and NaN left out."""
     v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -93,8 +97,12 @@ def moments(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def mean_absolute_deviation(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    return df.withColumn("_mean", mean).groupBy(*keys).agg(F.first("_mean").alias("mean"), F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("deviation"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_mean")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    few = not keys or means.limit(FEW + 1).count() <= FEW
+    small = F.broadcast(means) if few else means
+    whole = df.join(small, same) if keys else df.crossJoin(small)
+    return whole.groupBy(*keys).agg(F.first("_mean").alias("mean"), F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("deviation"))
 
 
 def trim_search(df: DataFrame, value: str, cuts: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from facetspark.operators import graph
+from facetspark.operators import graph, stats
 from facetspark.plans import queries
 
 KEY = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -28,3 +28,12 @@ def test_filling_layer_by_layer_keeps_what_no_value_reaches(spark):
     edges = spark.createDataFrame([(0, a, b) for a in range(5) for b in (a - 1, a + 1) if 0 <= b < 5] + [(1, 0, 1), (1, 1, 0)], "mol_id long, src long, dst long")
     got = {(r["mol_id"], r["v"]): (r["value"], r["layer"]) for r in graph.fill_from_borders(values, edges).collect()}
     assert got == {(0, 0): (1.0, 0), (0, 1): (1.0, 1), (0, 2): (3.0, 2), (0, 3): (5.0, 1), (0, 4): (5.0, 0), (1, 0): (None, 0), (1, 1): (None, 0), (2, 0): (3.0, 0)}
+
+
+def test_deviations_rank_no_group_in_one_task(spark):
+    """A window over the groups held all of a group's rows."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 2.0), (None, 4.0), ("b", None)], "k string, x double")
+    out = stats.mean_absolute_deviation(df, "x", "k")
+    assert {tuple(r) for r in out.collect()} == {("a", 2.0, 1.0), (None, 3.0, 1.0), ("b", None, None)}
+    assert [tuple(r) for r in stats.mean_absolute_deviation(df, "x").collect()] == [(2.5, 1.0)]
+    assert "Window" not in out._jdf.queryExecution().toString()
