@@ -49,6 +49,8 @@ ARC_VERSIONS = {
 }
 ORIGIN = "Example Archive"
 FILE_BYTES = 16 << 20
+#: Bytes of a file that are unpacked at once: what lies behind a member's end in them is copied, not the rest of the file.
+PIECE = 1 << 12
 END = "\r\n\r\n"
 #: Fixed profile of revisits by equal digests.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -183,12 +185,16 @@ def unpacked(raw: bytes) -> Iterator[bytes]:
     if not raw.startswith(b"\x1f\x8b"):
         yield raw
         return
-    while raw:
-        one = zlib.decompressobj(31)
-        yield one.decompress(raw) + one.flush()
-        if not one.eof:
-            raise ValueError("a member without an end")
-        raw = one.unused_data
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        one, out = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(raw):
+                raise ValueError("a member without an end")
+            piece = view[at : at + PIECE]
+            out.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+        yield b"".join(out)
 
 
 @releasing

@@ -1,7 +1,9 @@
 import base64
 import gzip
 import hashlib
+import random
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -67,6 +69,31 @@ def test_legacy_files_with_any_bytes(spark, tmp_path):
     assert first.startswith(b"WARC/1.1") and len(list(archives.parse_warc(first))) == 1
 
 
+def test_members_are_unpacked_without_the_rest_of_their_file(monkeypatch):
+    """Each member's unpacking took a copy of all that follows it, so that a file cost the square of its length."""
+    members = [archives.member(bytes(random.Random(i).choices(range(256), k=700 * (i % 9)))) + b"\0" for i in range(200)]
+    whole, held, taken, own = b"".join(members), [gzip.decompress(m) for m in members], [], zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.one = own(bits)
+
+        def decompress(self, piece):
+            taken.append(len(piece))
+            return self.one.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.one, name)
+
+    monkeypatch.setattr(archives.zlib, "decompressobj", Counting)
+    out = list(archives.unpacked(whole))
+    assert [x for x in out if x] == held
+    assert sum(taken) <= len(whole) + archives.PIECE * len(out)
+    with pytest.raises(ValueError):
+        list(archives.unpacked(whole[:-40]))
+    assert list(archives.unpacked(b"WARC/1.1")) == [b"WARC/1.1"]
+
+
 @given(st.one_of(st.none(), st.integers(-(1 << 63), (1 << 63) - 1)))
 def test_record_ids_tell_their_numbers(number):
     assert archives.number_of(archives.record_id(number)) == number
