@@ -1,12 +1,12 @@
 """Learning from the descriptor matrix: conflicts, balancing, folds, losses, linear classifiers, selection of columns.
 
-What is relational is DataFrame code. Solvers take a dense matrix of one fold, which a caller bounds by the number of
-objects times the number of selected columns; each (fold, parameter) pair is one task.
+What is relational is DataFrame code. Linear models are fitted by sums over rows (solvers); linear_svm, kernel_svm and
+l0_weights are for small matrices. kernel_cross_validate takes a Gram matrix of any kernel, one task for each block and c.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from facetspark.functions.expressions import f_measure
 from facetspark.operators import solvers
 from facetspark.operators.numbering import numbered
+from facetspark.operators.solvers import cross_validate, nested_cross_validate, select_l0  # noqa: F401
 
 
 def delete_conflicts(rows: DataFrame, features: Sequence[str], label: str = "y", tolerance: float | None = None) -> DataFrame:
@@ -149,46 +150,6 @@ def l0_weights(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 20, t
     return z
 
 
-def _matrix(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack(g["x"].to_numpy()).astype(float), g["y"].to_numpy().astype(float)
-
-
-def cross_validate(rows: DataFrame, cs: Sequence[float], folds: int) -> DataFrame:
-    """number, c, fold, n, loss, balanced_accuracy over rows(id, x array, y in -1..1, fold): one task for each (c, fold)."""
-    spark = rows.sparkSession
-    jobs = spark.createDataFrame([(i, float(c), f) for i, c in grid({"c": cs}) for f in range(folds)], "number int, c double, test int")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        test = g["fold"] == g["test"]
-        if g[~test]["y"].nunique() < 2 or not test.any():
-            return pd.DataFrame(columns=["number", "c", "fold", "n", "loss", "balanced_accuracy"])
-        x, y = _matrix(g[~test])
-        mean, sigma = x.mean(axis=0), x.std(axis=0)
-        sigma[sigma == 0] = 1
-        w, b = linear_svm((x - mean) / sigma, y, g["c"].iloc[0])
-        xt, yt = _matrix(g[test])
-        p = np.where((xt - mean) / sigma @ w + b >= 0, 1.0, -1.0)
-        recall = np.mean([np.mean(p[yt == k] == k) for k in np.unique(yt)])
-        return pd.DataFrame([(g["number"].iloc[0], g["c"].iloc[0], g["test"].iloc[0], len(yt), int((p != yt).sum()), recall)], columns=["number", "c", "fold", "n", "loss", "balanced_accuracy"])
-
-    return rows.join(F.broadcast(jobs)).groupBy("number", "test").applyInPandas(one, "number int, c double, fold int, n long, loss long, balanced_accuracy double")
-
-
-def select_l0(rows: DataFrame, c: float = 1.0) -> DataFrame:
-    """column, weight of the columns that multiplicative selection keeps, over rows(id, x, y)."""
-
-    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = pd.concat(list(frames))
-        if len(g):
-            x, y = _matrix(g.sort_values("id"))
-            sigma = x.std(axis=0)
-            z = l0_weights((x - x.mean(axis=0)) / np.where(sigma > 0, sigma, 1), y, c)
-            yield pd.DataFrame({"column": np.flatnonzero(z), "weight": z[z > 0]})
-
-    return rows.select("id", "x", "y").coalesce(1).mapInPandas(one, "column long, weight double")
-
-
 def validated_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence[int]], candidates: Sequence[int], keep: int, least: int = 10, folds: int = 5, c: float = 1.0) -> DataFrame:
     """One round of growing descriptor sets: every set with every candidate that it lacks, scored by cross-validation, the
     best `keep` kept: set_key, n, free, precision, recall, f.
@@ -296,39 +257,6 @@ def running_activity(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("mol_id").agg(F.sum("activity").alias("activity"))
 
 
-def _fit_and_test(x: np.ndarray, y: np.ndarray, xt: np.ndarray, c: float) -> np.ndarray:
-    """Predictions for xt of a linear SVM on columns scaled by the training rows."""
-    mean, sigma = x.mean(axis=0), x.std(axis=0)
-    sigma[sigma == 0] = 1
-    w, b = linear_svm((x - mean) / sigma, y, c)
-    return np.where((xt - mean) / sigma @ w + b >= 0, 1.0, -1.0)
-
-
-def nested_cross_validate(rows: DataFrame, cs: Sequence[float], outer: int, inner: int) -> DataFrame:
-    """fold, c, n, balanced_accuracy over rows(id, x, y, fold): each outer fold chooses c by inner folds (by id) on its
-    training rows, the first least error winning, and scores it on the rows left out. One task for each outer fold."""
-    jobs = rows.sparkSession.createDataFrame([(f,) for f in range(outer)], "test int")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        names = ["fold", "c", "n", "balanced_accuracy"]
-        g = g.sort_values("id")
-        test = (g["fold"] == g["test"]).to_numpy()
-        if not test.any() or g[~test]["y"].nunique() < 2:
-            return pd.DataFrame(columns=names)
-        x, y = _matrix(g[~test])
-        part = np.arange(len(y)) % inner
-        wrong = []
-        for c in cs:
-            wrong.append(sum((_fit_and_test(x[part != k], y[part != k], x[part == k], c) != y[part == k]).sum() for k in range(inner) if len(set(y[part != k])) > 1))
-        best = cs[int(np.argmin(wrong))]
-        xt, yt = _matrix(g[test])
-        p = _fit_and_test(x, y, xt, best)
-        recall = float(np.mean([np.mean(p[yt == k] == k) for k in np.unique(yt)]))
-        return pd.DataFrame([(int(g["test"].iloc[0]), float(best), len(yt), recall)], columns=names)
-
-    return rows.join(F.broadcast(jobs)).groupBy("test").applyInPandas(one, "fold int, c double, n long, balanced_accuracy double")
-
-
 def kernel_cross_validate(gram: DataFrame, labels: DataFrame, cs: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
     """number, c, n, loss of kernel SVMs over gram(m1, m2, k), both triangles given, and labels(mol_id, y, fold); one of
     each for every block that columns within of the labels name.
