@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.expressions import bounded, dot, tangent_basis
@@ -107,7 +107,19 @@ def local_pca(near: DataFrame, values: DataFrame, columns: list[str]) -> DataFra
     s = near.select("mol_id", "v", "u").join(other, ["mol_id", "u"]).groupBy("mol_id", "v").agg(
         F.array(*[F.avg(c) for c in columns]).alias("mean"), F.array(*[F.covar_pop(a, b) for a in columns for b in columns]).alias("cov"),
     )
-    own = s.join(values.select("mol_id", "v", F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), ["mol_id", "v"])
+    return _projected(s.join(values.select("mol_id", "v", F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), ["mol_id", "v"]), k)
+
+
+def object_pca(values: DataFrame, columns: list[str]) -> DataFrame:
+    """local_pca() where all of an object's vertices are each one's neighbours: moments of objects, no pair is formed."""
+    whole = Window.partitionBy("mol_id")
+    mean, cov = F.array(*[F.avg(c).over(whole) for c in columns]), F.array(*[F.covar_pop(a, b).over(whole) for a in columns for b in columns])
+    own = values.where("mol_id is not null and v is not null").select("mol_id", "v", mean.alias("mean"), cov.alias("cov"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    return _projected(own, len(columns))
+
+
+def _projected(own: DataFrame, k: int) -> DataFrame:
+    """mol_id, v, direction, projection of own(mol_id, v, mean, cov, x)."""
 
     def directions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in frames:

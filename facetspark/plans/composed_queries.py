@@ -133,8 +133,7 @@ def blob_points(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def local_pca(spark: SparkSession, d: str) -> DataFrame:
     p = items(spark, d)
-    near = p.select("mol_id", "v").join(p.select("mol_id", F.col("v").alias("u")), "mol_id")
-    return geometry.local_pca(near, p.select("mol_id", "v", "x", "y", "z"), ["x", "y", "z"]).select("mol_id", "v", F.round("projection", 6).alias("projection"))
+    return geometry.object_pca(p.select("mol_id", "v", "x", "y", "z"), ["x", "y", "z"]).select("mol_id", "v", F.round("projection", 6).alias("projection"))
 
 
 @query()

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from facetspark.operators import graph, stats
+from facetspark.operators import geometry, graph, stats
 from facetspark.plans import queries
 
 KEY = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -37,3 +37,14 @@ def test_deviations_rank_no_group_in_one_task(spark):
     assert {tuple(r) for r in out.collect()} == {("a", 2.0, 1.0), (None, 3.0, 1.0), ("b", None, None)}
     assert [tuple(r) for r in stats.mean_absolute_deviation(df, "x").collect()] == [(2.5, 1.0)]
     assert "Window" not in out._jdf.queryExecution().toString()
+
+
+def test_whole_objects_as_neighbourhoods_form_no_pairs(spark):
+    """All pairs of an object's points were joined, and joined again with their values."""
+    rows = [(m, v, float(m * v % 5), float(v * v % 7), None if (m, v) == (2, 1) else 0.5 * v) for m in range(4) for v in range(m + 1)]
+    df = spark.createDataFrame(rows, "mol_id long, v long, x double, y double, z double")
+    near = df.select("mol_id", "v").join(df.select("mol_id", df.v.alias("u")), "mol_id")
+    old = {(r.mol_id, r.v): (r.projection, *r.direction) for r in geometry.local_pca(near, df.na.fill(0.5), ["x", "y", "z"]).collect()}
+    out = geometry.object_pca(df.na.fill(0.5), ["x", "y", "z"])
+    assert {(r.mol_id, r.v): (r.projection, *r.direction) for r in out.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in old.items()}
+    assert "Join" not in queries.queries()["local_pca"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
