@@ -162,6 +162,19 @@ def test_grown_sets(spark):
     assert Counter(r["round"] for r in out) == {0: 5, 1: 10}
 
 
+def test_sets_are_counted_where_objects_are(spark):
+    """Every object was shuffled once for each set. Cells may be missing or stand twice."""
+    cells = [(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 1, 0), (2, 0, 1), (3, 1, 0), (3, 1, 1), (4, 1, 1), (4, 1, 0), (5, 0, None), (6, 2, 1), (7, 0, 1), (7, 1, 0)]
+    cells = spark.createDataFrame(cells, "mol_id long, type int, value int")
+    labels = spark.createDataFrame([(0, 1), (1, -1), (2, 1), (3, 1), (4, 1), (5, -1), (6, 1), (8, 1)], "mol_id long, y int")
+    out = learn.mgua_round(cells, labels, [[], [0]], [0, 1], 9, 0)
+    # Vectors of 0,1: two of (1, 0) in conflict, one of (1, none), two of (none, 0 and 1), one of (null, none).
+    want = {"0": (3 / 4, 3 / 4 * 1 / 4), "1": (3 / 4, 3 / 4 * 2 / 4), "0,1": (5 / 6, 5 / 6 * 4 / 6)}
+    assert {r["set_key"]: (r["precision"], r["recall"]) for r in out.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "set_key" not in "".join(line for line in plan.splitlines() if "Exchange" in line and "mol_id" in line) and plan.count("partial_count(1)")
+
+
 def test_class_weights(spark):
     rows = spark.createDataFrame([(1, 1), (1, 1), (1, -1), (-1, 1)], "y int, predicted int")
     assert learn.class_weights(rows) == {1: pytest.approx(4 / 6), -1: pytest.approx(2.0)}
