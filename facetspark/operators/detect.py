@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import product
+from itertools import chain, product
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from facetspark.operators.neighbours import local_extrema, scale_extrema
 from facetspark.operators.stats import standardise
 
 
+#: Points of an object up to which greedy_points works on many objects together.
+SMALL = 32
+
+
 class Finder(Protocol):
     """What finds singular points of surfaces; plug-ins implement find()."""
 
@@ -41,30 +46,86 @@ def strength_filter(points: DataFrame, responses: DataFrame, near: DataFrame, we
     return enough.where(F.abs("value") >= strong).unionByName(enough.where(F.abs("value") < strong).join(beside, ["mol_id", "v"], "left_anti"))
 
 
+def _kept_of_one(x: np.ndarray, kinds: Sequence[np.ndarray], radius: float, cells: dict) -> np.ndarray:
+    """Which points of one object, in order, are kept; cells holds those kept so far, by types and cell."""
+    steps, kept = list(product((-1, 0, 1), repeat=min(x.shape[1], 3))), np.ones(len(x), bool)
+    for i, (kind, p) in enumerate(zip(zip(*kinds) if kinds else [()] * len(x), x.tolist())):
+        if not all(map(math.isfinite, p)):
+            continue  # near to none
+        own = tuple(int(c // radius) for c in p[:3])
+        near = (q for s in steps for q in cells.get((kind, *(a + b for a, b in zip(own, s))), ()))
+        kept[i] = all(math.sqrt(sum((a - b) * (a - b) for a, b in zip(p, q))) >= radius for q in near)
+        if kept[i]:
+            cells.setdefault((kind, *own), []).append(p)
+    return kept
+
+
+def _kept_of_small(first: np.ndarray, size: np.ndarray, x: np.ndarray, kinds: Sequence[np.ndarray], radius: float) -> np.ndarray:
+    """Which points of many small objects (their first rows and sizes), in order, are kept: all objects' points of one
+    place together, against those of each place before."""
+    kept, order = np.zeros(len(x), bool), np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(size[0] if len(size) else 0):
+            at = first[: np.searchsorted(-size, -j)]  # objects of more than j points
+            near = np.zeros(len(at), bool)
+            for i in range(j):
+                apart = x[at + j] - x[at + i]
+                apart *= apart
+                total = apart[:, 0].copy()
+                for k in range(1, x.shape[1]):
+                    total += apart[:, k]
+                hit = kept[at + i] & (np.sqrt(total) < radius)
+                for kind in kinds:
+                    hit &= kind[at + j] == kind[at + i]
+                near |= hit
+            kept[at + j] = ~near
+    return kept
+
+
 def greedy_points(points: DataFrame, radius: float, order: Sequence[str], coords: Sequence[str] = ("x", "y", "z"), types: Sequence[str] = ()) -> DataFrame:
-    """Points kept in order unless an earlier kept one of the object is nearer than radius with the same types.
+    """Points kept in order unless an earlier kept one of the object is nearer than radius with the same types. A point
+    without a coordinate is kept and near to none.
 
-    Depends on the order, so an object is one task's work: rows are dealt out by object, sorted, and streamed through a
-    loop that holds the kept points of one object, in cells of side radius (over up to three coordinates), so that each
-    point is compared with its surroundings only.
+    Depends on the order, so an object is one task's work: rows are dealt out by object, sorted, and streamed. Objects of
+    at most SMALL points are worked on together, a batch at a time; of a larger one the kept points are held in cells of
+    side radius (over up to three coordinates), so that each point is compared with its surroundings only.
     """
     names, schema = points.columns, points.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mol, cells = None, {}
-        steps = list(product((-1, 0, 1), repeat=min(len(coords), 3)))
-        for g in frames:
-            kept = []
-            kinds = list(zip(*[g[t] for t in types])) if types else [()] * len(g)
-            for i, (m, kind, *x) in enumerate(zip(g["mol_id"], kinds, *[g[c] for c in coords])):
-                if m != mol:
-                    mol, cells = m, {}
-                own = tuple(int(c // radius) for c in x[:3])
-                near = (p for s in steps for p in cells.get((kind, *(a + b for a, b in zip(own, s))), ()))
-                if all(math.dist(p, x) >= radius for p in near):
-                    cells.setdefault((kind, *own), []).append(x)
-                    kept.append(i)
-            yield g.iloc[kept][names]
+        rest = held = last = None  # rows of an object that may go on, or what it kept if it has more than SMALL
+        for g in chain(frames, [None]):
+            if g is not None and not len(g):
+                continue
+            if g is None:
+                if rest is None:
+                    return
+                g, ended = rest, True
+            else:
+                new = g["mol_id"].iloc[0]
+                if held is not None and not (last == new or (pd.isna(last) and pd.isna(new))):
+                    held = None
+                g, ended = g if rest is None else pd.concat([rest, g], ignore_index=True), False
+            code = pd.factorize(g["mol_id"])[0]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            size = np.diff(np.append(first, len(g)))
+            x, kinds, kept = np.stack([g[c].to_numpy(float) for c in coords], axis=1), [g[t].to_numpy() for t in types], np.zeros(len(g), bool)
+            small = size <= SMALL
+            if held is not None:
+                small[0] = False
+            wait = bool(small[-1]) and not ended
+            together = small.copy()
+            together[-1] &= not wait
+            kept |= _kept_of_small(first[together], size[together], x, kinds, radius)
+            for n in np.flatnonzero(~small):
+                own = slice(first[n], first[n] + size[n])
+                held = {} if n or held is None else held
+                kept[own] = _kept_of_one(x[own], [k[own] for k in kinds], radius, held)
+            if small[-1]:
+                held = None
+            rest, last = g.iloc[first[-1] :] if wait else None, g["mol_id"].iloc[-1]
+            yield g.iloc[np.flatnonzero(kept)][names]
 
     return points.repartition("mol_id").sortWithinPartitions("mol_id", *order).mapInPandas(run, schema)
 

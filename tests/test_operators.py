@@ -254,6 +254,28 @@ def test_greedy_points(spark):
     assert sorted(r["p"] for r in detect.greedy_points(df, 0.9, ["p"]).collect()) == kept
 
 
+def test_greedy_points_of_many_objects(spark):
+    """Small objects together, larger ones by cells, over batches that cut them; a null coordinate failed."""
+    rng = np.random.default_rng(5)
+    rows, expected = [], set()
+    for m, n in enumerate([1, 40, 2, 0, 33, 32, 7, 90, 5, 31, 3]):
+        xyz, kinds, kept = rng.uniform(0, 3, (n, 3)), rng.integers(0, 2, n), []
+        for i in range(n):
+            null = i % 13 == 6
+            rows.append((m or None, i, *map(float, xyz[i][:2]), None if null else float(xyz[i][2]), int(kinds[i])))
+            if null or all(kinds[i] != kinds[j] or np.linalg.norm(xyz[i] - xyz[j]) >= 0.9 for j in kept):
+                kept += [] if null else [i]
+                expected.add((m or None, i))
+    df = spark.createDataFrame(rows, "mol_id int, p int, x double, y double, z double, kind int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("10000", "17", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {(r["mol_id"], r["p"]) for r in detect.greedy_points(df, 0.9, ["p"], types=("kind",)).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_balanced_accuracy_and_losses(spark):
     rows = spark.createDataFrame([(1, 1), (1, 1), (1, -1), (-1, -1)], "y int, predicted int")
     assert learn.balanced_accuracy(rows).first()[0] == pytest.approx((2 / 3 + 1) / 2)
