@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.operators.graph import written
 from facetspark.operators.numbering import numbered
 
+#: Bytes of types, a name and a number each, that may be broadcast.
+TYPE_BYTES = 32 << 20
+
 
 def nonzero_columns(md: DataFrame, value: str = "cnt") -> DataFrame:
     """Rows of the columns that have a positive entry."""
@@ -29,10 +33,15 @@ def variance_corr_filter(md: DataFrame, value: str = "value", var_tol: float = 1
 
 
 def tfidf(md: DataFrame, n_objects: int) -> DataFrame:
-    """mol_id, type, weight: cnt * (ln((1 + n) / (1 + df)) + 1), not normalised."""
-    df = md.where("cnt > 0").groupBy("type").agg(F.count_distinct("mol_id").alias("df"))
-    idf = df.select("type", (F.log((1.0 + n_objects) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    return md.join(idf, "type").select("mol_id", "type", (F.col("cnt") * F.col("idf")).alias("weight"))
+    """mol_id, type, weight: cnt * (ln((1 + n) / (1 + df)) + 1), not normalised. md has each cell once.
+
+    df is counted on the map side; types of at most TYPE_BYTES are broadcast, so that no cell is shuffled;
+    otherwise cells go by type, unsorted: a task holds its share of the types.
+    """
+    df = md.where("cnt > 0").groupBy("type").agg(F.count("*").alias("df"))
+    idf = written(df.select("type", (F.log((1.0 + n_objects) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    size = idf.agg(F.coalesce(F.sum(16 + F.octet_length(F.col("type").cast("string"))), F.lit(0))).first()[0]
+    return md.join(F.broadcast(idf) if size <= TYPE_BYTES else idf.hint("shuffle_hash"), "type").select("mol_id", "type", (F.col("cnt") * F.col("idf")).alias("weight"))
 
 
 def f_scores(md: DataFrame, labels: DataFrame, value: str = "value") -> DataFrame:

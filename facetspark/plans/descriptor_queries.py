@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
-from facetspark.operators import chains, features, learn, mesh, pairs, stats
+from facetspark.operators import chains, features, graph, learn, mesh, pairs, stats
 from facetspark.operators.numbering import numbered
 from facetspark.plans.catalogue import DIST, EV, PAIRS, PTS, QT, TYPED, events_path, fx, items, levels_sql, query, table
 
@@ -261,8 +261,10 @@ def weighted_score(spark: SparkSession, d: str) -> DataFrame:
 SELECT mol_id, type, {fx('cnt * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0)')} AS weight FROM t JOIN f USING (type)""")
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("mol_id"), "text")
-    md = docs.select("mol_id", F.explode(F.split("text", " ")).alias("type")).where("type <> ''").groupBy("mol_id", "type").agg(F.count("*").alias("cnt"))
-    return features.tfidf(md, docs.count()).withColumn("weight", X.fixed(F.col("weight")))
+    # Texts are dealt, not their words, and cells are written once for their two readers.
+    dealt = docs.repartition("mol_id")
+    md = dealt.select("mol_id", F.explode(F.split("text", " ")).alias("type")).where("type <> ''").groupBy("mol_id", "type").agg(F.count("*").alias("cnt"))
+    return features.tfidf(graph.written(md), docs.count()).withColumn("weight", X.fixed(F.col("weight")))
 
 
 CH = f"""{EV}, ch AS (SELECT mol_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM ev WINDOW w AS (PARTITION BY mol_id ORDER BY v))"""

@@ -218,6 +218,22 @@ def test_tfidf(spark):
     assert got["A", "x"] == pytest.approx(2.810930) and got["A", "y"] == 1 and got["B", "y"] == 1
 
 
+def test_tfidf_shuffles_no_cells(spark, monkeypatch):
+    """Every cell was shuffled by type, twice, whatever the number of types; a null object was in no count."""
+    md = spark.createDataFrame([("A", "x", 2), ("A", "y", 1), ("B", "y", 1), (None, "x", 1)], "mol_id string, type string, cnt int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = features.tfidf(md, 3)
+        assert {(r[0], r[1]): r[2] for r in out.collect()} == {("A", "x"): pytest.approx(2 * (np.log(4 / 3) + 1)), ("A", "y"): pytest.approx(np.log(4 / 3) + 1), ("B", "y"): pytest.approx(np.log(4 / 3) + 1), (None, "x"): pytest.approx(np.log(4 / 3) + 1)}
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(features, "TYPE_BYTES", 0)
+        shuffled = features.tfidf(md, 3)
+        assert sorted(shuffled.collect(), key=str) == sorted(out.collect(), key=str) and "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_correlation_filter(spark):
     cells = [(i, t, v) for i in range(6) for t, v in enumerate((float(i), 2.0 * i, 3.0))]
     md = spark.createDataFrame(cells, "mol_id int, type int, value double")
