@@ -175,9 +175,9 @@ def validated_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence
     def validate(g: pd.DataFrame) -> pd.DataFrame:
         wrong = tested = 0.0
         if g["n"].sum() >= least:
-            g = g.assign(key=g["vec"].map(tuple)).sort_values(["y", "n", "key"])
             x, y, n = np.stack(g["vec"].to_numpy()).astype(float), g["y"].to_numpy(float), g["n"].to_numpy(float)
-            wrong, tested = validation_error(x, y, n, np.arange(len(y)) % folds, c)
+            order = np.lexsort((*x.T[::-1], n, y))
+            wrong, tested = validation_error(x[order], y[order], n[order], np.arange(len(y)) % folds, c)
         return pd.DataFrame([(g["set_key"].iloc[0], wrong, tested)], columns=["set_key", "wrong", "tested"])
 
     error = free.groupBy("set_key").applyInPandas(validate, names)
