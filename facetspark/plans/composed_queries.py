@@ -46,8 +46,7 @@ def segments_from_seeds(spark: SparkSession, d: str) -> DataFrame:
 SELECT k.mol_id, CAST(k.v AS INTEGER) AS v, CAST(arg_min(u, abs(k.v - u) * 100000 + u) AS INTEGER) AS centre FROM k JOIN c ON c.mol_id = k.mol_id GROUP BY ALL""")
 def voronoi_segments(spark: SparkSession, d: str) -> DataFrame:
     path = events_path(spark, d)
-    near = path_near(path, 200)
-    return graph.voronoi_segments(near, path.select("mol_id", "v", F.lit(0).alias("component")), 12).select("mol_id", "v", "centre")
+    return graph.path_segments(path.select("mol_id", "v", F.lit(0).alias("component")), 12).select("mol_id", "v", "centre")
 
 
 @query(f"""WITH {EV}, t AS (SELECT a.mol_id, a.v AS t, [a.event_id % 3 + 1, b.event_id % 3 + 1, c.event_id % 3 + 1] AS k FROM ev a JOIN ev b ON a.mol_id = b.mol_id AND b.v = a.v + 1 JOIN ev c ON a.mol_id = c.mol_id AND c.v = a.v + 2)

@@ -1,10 +1,13 @@
 import colorsys
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
-from facetspark.operators import geometry, neighbours, segments
+from facetspark.operators import geometry, graph, neighbours, segments
+from facetspark.plans import queries
 from facetspark.sources import text
 
 
@@ -27,6 +30,26 @@ def test_segments_of_a_line(spark):
     assert centres.count() == len(set(got.values())) and links.count() >= len(set(got.values())) - 1
 
 
+def test_long_paths_lose_no_vertex(spark, tmp_path):
+    """Vertices more than 200 steps from the last seed were left out; 2,999 events leave 259 after it."""
+    rows = [(u, t, "view") for u, n in ((7, 2999), (8, 13), (9, 1), (None, 3)) for t in range(n)]
+    events = pd.DataFrame([(i, t, u, kind, float(i % 11), "{}") for i, (u, t, kind) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    events["ts"], events["user_id"] = pd.to_datetime(events["ts"], unit="s"), events["user_id"].astype("Int64")
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    got = queries.queries()["voronoi_segments"](spark, str(tmp_path))
+    want = duckdb.sql(queries.oracle_sql()["voronoi_segments"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(map(tuple, got.select("mol_id", "v", "centre").collect())) == sorted(want) and len(want) == 2999 + 13 + 1
+
+
+def test_path_segments_equal_those_by_distances(spark):
+    parts = spark.createDataFrame([(m, v, c) for m, c, n in ((0, 0, 40), (0, 1, 7), (1, 0, 1), (2, 5, 26)) for v in range(100 * c, 100 * c + n)], "mol_id int, v int, component int")
+    other = parts.select("mol_id", F.col("v").alias("u"))
+    apart = parts.join(other, "mol_id").select("mol_id", "v", "u", F.abs(F.col("v") - F.col("u")).cast("double").alias("d"))
+    for size in (3, 5, 12):
+        want = graph.voronoi_segments(apart, parts, size).select("mol_id", "component", "v", "centre").collect()
+        assert sorted(map(tuple, graph.path_segments(parts, size).collect())) == sorted(map(tuple, want)) and len(want) == 74
+
+
 def test_hessian_of_a_quadratic(spark):
     ring = [(1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
     f = lambda p, q: 2 * p * p / 2 + 3 * p * q + 5 * q * q / 2
