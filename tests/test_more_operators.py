@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from facetspark.functions import expressions as X
 from facetspark.operators import chains, detect, filters, geometry, graph, kernels, learn, pairs, spheres
+from facetspark.plans import queries
 from facetspark.sources.text import STAGES
 
 
@@ -162,6 +163,28 @@ def test_grown_sets(spark):
     assert Counter(r["round"] for r in out) == {0: 5, 1: 10}
 
 
+def test_sets_grow_until_they_no_longer_tell_better(spark, monkeypatch):
+    """The query stopped after four rounds, with sets of four signs."""
+    r = random.Random(5)
+    x = [[r.randrange(2) for _ in range(7)] for _ in range(300)]
+    x += x[:40]
+    y = [1 if sum(a[:6]) % 2 else -1 for a in x]
+    # Some cells are missing or stand twice.
+    rows = [(i, t, v) for i, row in enumerate(x) for t, v in enumerate(row) if (i, t) not in {(3, 0), (4, 6)}] + [(5, 2, 1), (400, 3, 0)]
+    cells = spark.createDataFrame(rows, "mol_id long, type int, value int")
+    labels = spark.createDataFrame([*enumerate(y), (400, 1)], "mol_id long, y int")
+    out = [tuple(o) for o in learn.mgua(cells, labels, range(7), 15, None, 0, good=0.0).collect()]
+    assert max(out, key=lambda o: o[-1])[1] == "0,1,2,3,4,5" and {o[0] for o in out} == set(range(6))
+    monkeypatch.setattr(learn, "FEW", 4)  # most sets' vectors meet
+    assert [tuple(o) for o in learn.mgua(cells, labels, range(7), 15, None, 0, good=0.0).collect()] == out
+    monkeypatch.setattr(learn, "coded_objects", lambda *_: None)  # by mgua_round's own sums
+    assert [tuple(o) for o in learn.mgua(cells, labels, range(7), 15, None, 0, good=0.0).collect()] == out
+    taken = []
+    monkeypatch.setattr(learn, "mgua", lambda cells, labels, types, keep, rounds, *_: taken.append(rounds) or spark.createDataFrame([], "round int, set_key string, f double"))
+    queries.queries()["grown_sets"](spark, "/root/testdata/sf0.001")
+    assert taken == [None]
+
+
 def test_sets_are_counted_where_objects_are(spark):
     """Every object was shuffled once for each set. Cells may be missing or stand twice."""
     cells = [(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 1, 0), (2, 0, 1), (3, 1, 0), (3, 1, 1), (4, 1, 1), (4, 1, 0), (5, 0, None), (6, 2, 1), (7, 0, 1), (7, 1, 0)]
