@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from facetspark.operators import graph, tiles
@@ -64,6 +65,33 @@ def test_sums_of_gaussian_rows(spark, rows):
     assert {p: t for p, t in got.items() if p[0] < 200} == pytest.approx(want)
 
 
+def test_vectors_of_large_keys_travel_a_few_times(spark, rows):
+    """Each vector travelled once for every `size` vectors of its key; a tile's pairs were one table."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    work = lambda a, b, same: iter([{"n": [len(a.ids) + (0 if same else len(b.ids))]}])
+    for size, chunks in ((1, 8), (2, 8), (7, 5), (100, 1)):
+        met = tiles.tiled(df, ["key"], work, "n long", size=size).agg({"n": "sum"}).first()[0]
+        assert met == 90 * chunks
+    chunk = tiles.Chunk(np.arange(70_000), pa.array([[0.0]] * 70_000))
+    parts = list(tiles.strips(chunk, chunk))
+    assert parts[0].stop == 1 and len(parts) == 70_000 and len(list(tiles.strips(chunk, tiles.Chunk(np.arange(9), pa.array([[0.0]] * 9))))) == 1094
+
+
+def test_gaussians_of_doubled_parameters_are_squares(monkeypatch):
+    """Each kernel was a power of its own, and each distance 64 steps through memory."""
+    r, gammas, calls, exp = np.random.default_rng(2), [2.0**i for i in range(-10, 5)] + [3.0], [], np.exp
+    a, b = r.normal(size=(20, 64)) / 8, r.normal(size=(30, 64)) / 8
+    out = np.zeros((20, 30), bool)
+    out[3, 4] = True
+    monkeypatch.setattr(tiles, "squares", lambda *_: pytest.fail("by components"))
+    d2 = tiles.squares_within(a, b, tiles.ERROR / 16)
+    monkeypatch.setattr(tiles.np, "exp", lambda *args, **named: calls.append(1) or exp(*args, **named))
+    got = [k.copy() for k in tiles.gaussians(d2, out, gammas)]
+    assert len(calls) == 4
+    for k, gamma in zip(got, gammas):
+        assert k == pytest.approx(np.where(out, 0.0, exp(-gamma * ((a[:, None] - b[None]) ** 2).sum(axis=2))), rel=1e-11)
+
+
 def test_geodesics_of_at_most_two_edges(spark):
     """A path of three edges is no path of two; one of two may be shorter than one edge."""
     one = [(0, 1, 2, 1.0), (0, 2, 3, 0.5), (0, 3, 4, 0.5), (0, 1, 3, 1.9)]
