@@ -168,6 +168,91 @@ def validated_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence
     all sets are fitted in one grouped job. The order is by F, then by the set.
     """
     grown = grown_from(sets, candidates)
+    types = sorted({int(t) for s in grown for t in s})
+    if (dense := dense_objects(cells, labels, types)) is not None:
+        return validated_scores(dense, types, grown, keep, least, folds, c)
+    return _validated_cells(cells, labels, grown, keep, least, folds, c)
+
+
+def dense_objects(cells: DataFrame, labels: DataFrame, types: Sequence[int]) -> DataFrame | None:
+    """(x, y) of every object that has a label: its values in the order of types and 1 or -1; None if an object with a cell of
+    types lacks one, has one twice or a value that is no number."""
+    typed = cells.select("mol_id", F.col("type").cast("bigint").alias("type"), F.col("value").cast("double").alias("value")).where(F.col("type").isin([int(t) for t in types]))
+    own = typed.groupBy("mol_id").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("own"))
+    whole = (F.transform("own", lambda o: o["type"]) == F.array(*[F.lit(int(t)).cast("bigint") for t in sorted(types)])) & ~F.exists("own", lambda o: o["value"].isNull() | F.isnan(o["value"]))
+    place = {t: i for i, t in enumerate(sorted(types))}
+    x = F.array(*[F.get(F.transform("own", lambda o: o["value"]), F.lit(place[t])) for t in types])
+    held = written(own.join(labels.select("mol_id", F.when(F.col("y") > 0, 1).otherwise(-1).alias("y")), "mol_id").select(F.when(whole, x).alias("x"), "y"))
+    return held if held.where("x is null").isEmpty() else None
+
+
+def validated_scores(dense: DataFrame, types: Sequence[int], grown: Sequence[Sequence[int]], keep: int, least: int, folds: int, c: float = 1.0) -> DataFrame:
+    """validated_round() over dense_objects(): sets that are grown from one meet in a task, which is sent the columns of that set
+    and of what it is grown by, as blocks of numbers; a set's vectors are formed there."""
+    spark, place = dense.sparkSession, {int(t): i for i, t in enumerate(types)}
+    at_once = max(1, -(-len(grown) // (3 * spark.sparkContext.defaultParallelism)))
+    jobs = []  # columns, and the sets by their places among them
+    for base, mine in _by_parent([tuple(place[int(t)] for t in s) for s in grown]):
+        for first in range(0, len(mine), at_once):
+            columns = [*base, *[t for _, t in mine[first : first + at_once]]]
+            jobs.append((columns, [(",".join(map(str, grown[i])), [columns.index(place[int(t)]) for t in grown[i]]) for i, _ in mine[first : first + at_once]]))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) + 0.0, batch.column("y").to_numpy().astype(np.int8).tobytes()
+                for number, (columns, _) in enumerate(jobs):
+                    yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "x": [np.ascontiguousarray(x[:, columns].T).tobytes()], "y": [y]})
+
+    def validate(table: pa.Table) -> pa.Table:
+        columns, sets = jobs[table.column("number")[0].as_py()]
+        x = np.concatenate([np.frombuffer(b, float).reshape(len(columns), -1) for b in table.column("x").to_pylist()], axis=1)
+        y, out = np.concatenate([np.frombuffer(b, np.int8) for b in table.column("y").to_pylist()]), []
+        for key, own in sets:
+            order = np.lexsort([x[j] for j in own[::-1]])
+            v, label = x[own][:, order], y[order]
+            first = np.flatnonzero(np.append(True, (v[:, 1:] != v[:, :-1]).any(axis=0)))
+            n, low, high = np.diff(np.append(first, len(label))).astype(float), np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+            free, wrong, tested = low == high, 0.0, 0.0
+            if (some := n[free].sum()) >= least:
+                v, label, weight = v[:, first[free]], low[free].astype(float), n[free]
+                order = np.lexsort((*v[::-1], weight, label))
+                wrong, tested = validation_error(np.ascontiguousarray(v[:, order].T), label[order], weight[order], np.arange(len(order)) % folds, c)
+            out.append((key, len(y), int(some), wrong, tested))
+        return pa.table(dict(zip(("set_key", "n", "free", "wrong", "tested"), map(pa.array, zip(*out)))))
+
+    sent = dense.mapInArrow(dealt, "number int, x binary, y binary").repartition(len(jobs), "number") if jobs else None
+    if sent is None:
+        return spark.createDataFrame([], "set_key string, n long, free long, precision double, recall double, f double")
+    error = sent.groupBy("number").applyInArrow(validate, "set_key string, n long, free long, wrong double, tested double")
+    return _validated_best(error.where((F.col("free") >= least) & (F.col("tested") > 0)), keep)
+
+
+def _validated_best(scored: DataFrame, keep: int) -> DataFrame:
+    """The best sets of scored(set_key, n, free, wrong, tested)."""
+    p = 1 - F.col("wrong") / F.col("tested")
+    scored = scored.withColumn("precision", p).withColumn("recall", p * F.col("free") / F.col("n"))
+    return scored.withColumn("f", f_measure(F.col("precision"), F.col("recall"))).drop("wrong", "tested").orderBy(F.desc("f"), "set_key").limit(keep)
+
+
+def _by_parent(sets: Sequence[tuple[int, ...]]) -> list[tuple[tuple[int, ...], list[tuple[int, int]]]]:
+    """Few sets with one member less that all of sets are grown from, each with (number of the set, the member more): the one
+    that most are grown from, then that of the rest."""
+    left, work = set(range(len(sets))), []
+    of: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    for number, s in enumerate(sets):
+        for t in s:
+            of.setdefault(tuple(x for x in s if x != t), []).append((number, t))
+    for base in sorted(of, key=lambda b: (-len(of[b]), b)):
+        mine = [(number, t) for number, t in of[base] if number in left]
+        if mine:
+            work.append((base, mine))
+            left -= {number for number, _ in mine}
+    return work
+
+
+def _validated_cells(cells: DataFrame, labels: DataFrame, grown: Sequence[Sequence[int]], keep: int, least: int, folds: int, c: float) -> DataFrame:
+    """validated_round() for objects that lack cells or have one twice."""
     spark, names = cells.sparkSession, "set_key string, wrong double, tested double"
     table = spark.createDataFrame([(",".join(map(str, s)), t) for s in grown for t in s], "set_key string, type int")
     vectors = cells.join(table, "type").groupBy("set_key", "mol_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("type", F.col("value").cast("double").alias("value")))), lambda v: v["value"]).alias("vec"))
@@ -185,9 +270,7 @@ def validated_round(cells: DataFrame, labels: DataFrame, sets: Sequence[Sequence
         return pd.DataFrame([(g["set_key"].iloc[0], wrong, tested)], columns=["set_key", "wrong", "tested"])
 
     error = free.groupBy("set_key").applyInPandas(validate, names)
-    p = 1 - F.col("wrong") / F.col("tested")
-    scored = size.where(F.col("free") >= least).join(error.where("tested > 0"), "set_key").withColumn("precision", p).withColumn("recall", p * F.col("free") / F.col("n"))
-    return scored.withColumn("f", f_measure(F.col("precision"), F.col("recall"))).drop("wrong", "tested").orderBy(F.desc("f"), "set_key").limit(keep)
+    return _validated_best(size.where(F.col("free") >= least).join(error.where("tested > 0"), "set_key"), keep)
 
 
 def validation_error(x: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray, c: float) -> tuple[float, float]:
@@ -276,18 +359,7 @@ def refined_scores(objects: DataFrame, sizes: Sequence[int], types: Sequence[int
     A set with few possible vectors has them counted where the objects are; of others, the objects of a vector fit a task.
     """
     spark, place = objects.sparkSession, {int(t): i for i, t in enumerate(types)}
-    parents = [tuple(place[t] for t in s) for s in grown]
-    # As few sets as possible from which all are grown: the one that most are grown from, then of the rest.
-    left, work = set(range(len(parents))), []
-    of: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    for number, s in enumerate(parents):
-        for t in s:
-            of.setdefault(tuple(x for x in s if x != t), []).append((number, t))
-    for base in sorted(of, key=lambda b: (-len(of[b]), b)):
-        mine = [(number, t) for number, t in of[base] if number in left]
-        if mine:
-            work.append((base, mine))
-            left -= {number for number, _ in mine}
+    work = _by_parent([tuple(place[t] for t in s) for s in grown])
     few = [(base, mine) for base, mine in work if np.prod([float(sizes[i]) for i in base]) <= FEW]
     many = [(base, mine) for base, mine in work if np.prod([float(sizes[i]) for i in base]) > FEW]
 
@@ -357,6 +429,7 @@ def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep:
     types = list(candidates)
     # Read by every round, each object once for each set: small rows and much work, so over more tasks than their bytes ask for.
     objects = None if folds else written(objects_of(cells, labels, candidates).repartition(3 * spark.sparkContext.defaultParallelism))
+    dense = dense_objects(cells, labels, types) if folds else None
     coded = None if folds else coded_objects(objects, types)
     if coded:
         coded = written(coded[0].repartition(3 * spark.sparkContext.defaultParallelism)), coded[1]
@@ -364,7 +437,9 @@ def mgua(cells: DataFrame, labels: DataFrame, descriptors: Sequence[int], keep:
         most, grown = keep if number else len(candidates), grown_from(sets, candidates)
         if not grown:
             break
-        if folds:
+        if dense is not None:
+            step = validated_scores(dense, types, grown, most, least, folds)
+        elif folds:
             step = validated_round(cells, labels, sets, candidates, most, least, folds)
         else:
             step = refined_scores(*coded, types, grown, most, least) if coded else majority_scores(objects, grown, most, least)

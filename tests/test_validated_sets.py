@@ -57,3 +57,24 @@ def test_growth_finds_the_telling_pair(spark):
     out = learn.mgua(cells, labels, range(5), 3, 2, folds=5).collect()
     best = max(out, key=lambda o: o.f)
     assert best.set_key == "1,3" and best.precision > 0.93 and {o.round for o in out} == {0, 1}
+
+
+def test_objects_are_sent_as_columns(spark, monkeypatch):
+    """Every cell was a row for every set with its type, and every object a row for every set, twice."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(120, 6)).round(2).tolist()
+    y = [1 if a[1] + a[4] > 0.2 else -1 for a in x]
+    x += x[:15]
+    y += [-y[0], *y[1:15]]
+    cells = spark.createDataFrame([(i, t, v) for i, row in enumerate(x) for t, v in enumerate(row)], "mol_id long, type int, value double")
+    labels = spark.createDataFrame(list(enumerate(y)), "mol_id long, y int")
+    own = [tuple(o) for o in learn.mgua(cells, labels, range(6), 4, 3, folds=5).collect()]
+    held = learn.dense_objects(cells, labels, range(6))
+    plan = learn.validated_scores(held, range(6), [(0, 1), (0, 2), (1, 3)], 9, 10, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "set_key" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    monkeypatch.setattr(learn, "dense_objects", lambda *_: None)
+    assert [tuple(o) for o in learn.mgua(cells, labels, range(6), 4, 3, folds=5).collect()] == own and len(own) == 8
+    monkeypatch.undo()
+    for odd in ([(0, 0, 2.0)], [(500, 1, 1.0)], [(500, t, None) for t in range(6)]):
+        more = cells.unionByName(spark.createDataFrame(odd, cells.schema))
+        assert learn.dense_objects(more, labels.unionByName(spark.createDataFrame([(500, 1)], labels.schema)), range(6)) is None
